@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, licenses, line_dedup, mixing, packing, quality_rules, simhash
+from . import exact_dedup, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, toxicity
 from .common import read_table
+from .labelled import remainder
 
 
 def tokenizer_path() -> str:
@@ -17,6 +18,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(remainder(F.col("doc_id"), quality_classifier.MODULUS) == quality_classifier.HELD_OUT, F.lit(False))
+    return quality_classifier.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -42,6 +50,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(remainder(F.col("doc_id"), toxicity.MODULUS) == toxicity.HELD_OUT, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,11 +66,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
