@@ -144,6 +144,17 @@ def apply_policy(ledger: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RU
     return ledger.withColumn("kept", passes(policy, rules))
 
 
+def select_passing(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The documents that the policy keeps, with their own columns.
+
+    The bits go through a generator of one row: a filter on its output stays above it, where a filter on a
+    projected column would be rewritten to evaluate the rules inside its own expression again."""
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[text].alias("_body"))
+    ledger = build_ledger(whole, rules, "_body")
+    judged = ledger.select("_row", F.explode(F.array("failed_bits")).alias("failed_bits"))
+    return judged.where(passes(policy, rules)).select("_row.*")
+
+
 def ablations(ledger: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per policy and rule of it: documents that fail the rule, that fail it alone (they would stay
     without it), and that the policy keeps. One count per distinct bitmask, then bitwise sums over
