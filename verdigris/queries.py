@@ -1,3 +1,453 @@
-"""The engine's queries by name."""
+"""The engine's queries by name: every operator over the driver's tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .context import RunContext
+from .functions.columns import batch_date, in_year, iso_timestamp, null_or_blank, payload
+from .operators import checks, metrics
+from .operators.validate import ForeignKey, clean, dimension_spec, event_spec, probe, rejected, stamp, tag, union_all
+from .plans.dirtied import dirtied
+from .plans.sqlrun import run_sql
+from .sources.files import bad_pages, csv_source, json_pages, page_records
+from .sources.versioned import VersionedTable
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+YEAR = 1998
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__.rstrip("_")] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="verdigris-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+# Metrics
+
+
+def located_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders with their customer's market segment and nation."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("job"))
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("department"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+
+
+@query
+def quarter_pivot(spark, sf_dir):
+    return metrics.quarter_pivot(located_orders(spark, sf_dir), "o_orderdate", YEAR, ["department", "job"]).orderBy("department", "job")
+
+
+@query
+def above_average(spark, sf_dir):
+    counts = metrics.counts_in_year(located_orders(spark, sf_dir), "o_orderdate", YEAR, "c_nationkey")
+    nation = table(spark, sf_dir, "nation")
+    found = metrics.above_average(counts).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return found.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("department"), "hired").orderBy(F.desc("hired"), "id")
+
+
+@query
+def gold_sanity_rollup(spark, sf_dir):
+    return checks.gold_rollup(quarter_pivot(spark, sf_dir))
+
+
+@query
+def count_by_key(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query
+def avg_of_counts(spark, sf_dir):
+    return count_by_key(spark, sf_dir).agg(F.avg("n").alias("avg_n"))
+
+
+@query
+def cross_join_scalar(spark, sf_dir):
+    return metrics.above_average(count_by_key(spark, sf_dir), "n")
+
+
+# Filters and predicates
+
+
+@query
+def year_filter(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").where(in_year(F.col("o_orderdate"), YEAR))
+    return orders.select("o_orderkey", F.year("o_orderdate").cast("long").alias("y"), F.quarter("o_orderdate").cast("long").alias("q"))
+
+
+@query
+def filter_eq(spark, sf_dir):
+    return dirtied(spark, sf_dir).where(F.col("source_file") == "orders_1998_01_02.csv").select("id", "name")
+
+
+@query
+def null_predicates(spark, sf_dir):
+    known = F.col("id").isNotNull() & F.col("name").isNull() | F.col("job_id").isNull() & F.col("department_id").isNotNull()
+    return dirtied(spark, sf_dir).where(known).select("id", "department_id", "job_id")
+
+
+@query
+def null_or_blank_(spark, sf_dir):
+    return dirtied(spark, sf_dir).where(null_or_blank(F.col("name"))).select("id", "name", "source_file")
+
+
+# Joins
+
+
+def open_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"))
+
+
+@query
+def star_inner_join(spark, sf_dir):
+    return located_orders(spark, sf_dir).select("o_orderkey", "department", "job")
+
+
+@query
+def fk_probe_left_join(spark, sf_dir):
+    fk = ForeignKey("o_custkey", "customers")
+    orders = probe(table(spark, sf_dir, "orders"), {"customers": open_customers(spark, sf_dir)}, [fk])
+    return orders.select("o_orderkey", "o_custkey", F.col(fk.found).isNotNull().alias("found"))
+
+
+@query
+def orphan_check(spark, sf_dir):
+    fks = [ForeignKey("o_custkey", "customers"), ForeignKey("o_orderkey", "lines", "l_orderkey")]
+    dims = {"customers": open_customers(spark, sf_dir), "lines": table(spark, sf_dir, "lineitem")}
+    return checks.orphans(table(spark, sf_dir, "orders"), dims, fks, ["o_orderkey", "o_custkey"])
+
+
+# Windows
+
+
+def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators.validate import rank_in_key
+
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
+    rank = rank_in_key(lines, ["l_orderkey", "l_linenumber"], [F.col("l_shipdate")], ["l_partkey", "l_suppkey", "l_extendedprice"])
+    return lines.withColumn("rn", rank)
+
+
+@query
+def dedup_row_number(spark, sf_dir):
+    return ranked_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("rn").cast("int").alias("rn"))
+
+
+@query
+def dedup_kept(spark, sf_dir):
+    return ranked_lines(spark, sf_dir).where("rn = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query
+def dedup_superseded(spark, sf_dir):
+    return ranked_lines(spark, sf_dir).where("rn > 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query
+def duplicate_check(spark, sf_dir):
+    return checks.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# Data quality on the dirtied facts
+
+REFERENCES = (ForeignKey("department_id", "departments"), ForeignKey("job_id", "jobs"))
+FACTS = event_spec("hired_employees", REFERENCES)
+RUN = RunContext("batch", datetime(1998, 2, 1))
+
+
+def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {
+        "departments": table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("department")),
+        "jobs": table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("job")),
+    }
+
+
+def tagged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tag(FACTS, stamp(dirtied(spark, sf_dir), RUN, "landing_csv"), dimensions(spark, sf_dir))
+
+
+@query
+def parse_iso_ts(spark, sf_dir):
+    return dirtied(spark, sf_dir).select("id", "datetime", iso_timestamp(F.col("datetime")).alias("hire_datetime"))
+
+
+@query
+def batch_date_(spark, sf_dir):
+    files = dirtied(spark, sf_dir).select("source_file").distinct()
+    return files.select("source_file", batch_date(F.col("source_file"), RUN.timestamp()).alias("batch_date"))
+
+
+@query
+def distinct_files(spark, sf_dir):
+    return dirtied(spark, sf_dir).select("source_file").distinct()
+
+
+@query
+def reasons_array(spark, sf_dir):
+    return tagged_facts(spark, sf_dir).select("id", "source_file", F.array_join("_reasons", "; ").alias("reasons"), F.size("_reasons").cast("long").alias("n_reasons"))
+
+
+@query
+def valid_split(spark, sf_dir):
+    valid = F.size("_reasons") == 0
+    return tagged_facts(spark, sf_dir).groupBy(valid.alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query
+def fact_validate_clean(spark, sf_dir):
+    return clean(FACTS, tagged_facts(spark, sf_dir))
+
+
+@query
+def fact_validate_rejected(spark, sf_dir):
+    found = rejected(FACTS, tagged_facts(spark, sf_dir), RUN)
+    return found.select("table_name", "record_id", "source_system", "source_file", "rejection_reason")
+
+
+@query
+def rejected_projection(spark, sf_dir):
+    found = rejected(FACTS, tagged_facts(spark, sf_dir), RUN)
+    return found.select("table_name", "record_id", "source_system", "source_file", "rejection_reason", "rejection_timestamp", "batch_id")
+
+
+@query
+def raw_payload_json(spark, sf_dir):
+    return dirtied(spark, sf_dir).select("id", "source_file", payload(["id", "name", "datetime", "department_id", "job_id"]).alias("raw_payload"))
+
+
+@query
+def rejection_breakdown(spark, sf_dir):
+    return checks.rejections(rejected(FACTS, tagged_facts(spark, sf_dir), RUN))
+
+
+def dirty_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    first = n.select(F.when(k % 7 == 0, None).otherwise(k).alias("id"), F.when(k % 5 == 0, " ").otherwise(F.col("n_name")).alias("department"), F.lit("d_2021_01_01.csv").alias("source_file"))
+    again = n.where(k % 3 == 0).select(k.alias("id"), F.concat("n_name", F.lit(" II")).alias("department"), F.lit("d_2021_01_02.csv").alias("source_file"))
+    return stamp(first.unionByName(again), RUN, "landing_csv")
+
+
+@query
+def dimension_validate(spark, sf_dir):
+    spec = dimension_spec("departments", "department")
+    rows = tag(spec, dirty_nations(spark, sf_dir))
+    kept = clean(spec, rows).select("id", "department", F.lit("").alias("reason"))
+    lost = rejected(spec, rows, RUN).select(F.col("record_id").cast("int").alias("id"), F.get_json_object("raw_payload", "$.department").alias("department"), F.col("rejection_reason").alias("reason"))
+    return kept.unionByName(lost)
+
+
+@query
+def union_sources(spark, sf_dir):
+    rows = dirtied(spark, sf_dir)
+    api = rows.where("id % 2 = 0").select("source_file", "job_id", "id", "name")
+    return rows.where("id % 2 = 1").select("id", "name", "job_id", "source_file").unionByName(api)
+
+
+@query
+def rejected_union(spark, sf_dir):
+    spec = dimension_spec("departments", "department")
+    lost = rejected(spec, tag(spec, dirty_nations(spark, sf_dir)), RUN)
+    found = union_all(lost, rejected(FACTS, tagged_facts(spark, sf_dir), RUN))
+    return found.groupBy("table_name").agg(F.count("*").alias("n"))
+
+
+# Checks
+
+
+@query
+def layer_counts(spark, sf_dir):
+    rows = tagged_facts(spark, sf_dir)
+    return checks.row_counts({"bronze": dirtied(spark, sf_dir), "silver": clean(FACTS, rows), "rejected": rejected(FACTS, rows, RUN)})
+
+
+@query
+def reconcile_fact(spark, sf_dir):
+    rows = tagged_facts(spark, sf_dir)
+    return checks.reconcile(FACTS.name, dirtied(spark, sf_dir), clean(FACTS, rows), rejected(FACTS, rows, RUN))
+
+
+@query
+def reconcile_dims(spark, sf_dir):
+    spec = dimension_spec("departments", "department")
+    bronze = dirty_nations(spark, sf_dir)
+    rows = tag(spec, bronze)
+    none = dimension_spec("jobs", "job")
+    jobs = dimensions(spark, sf_dir)["jobs"].withColumn("source_file", F.lit("jobs_2021_01_01.csv"))
+    tagged_jobs = tag(none, stamp(jobs, RUN, "landing_csv"))
+    lost = union_all(rejected(spec, rows, RUN), rejected(none, tagged_jobs, RUN))
+    return union_all(
+        checks.reconcile("departments", bronze, clean(spec, rows), lost), checks.reconcile("jobs", jobs, clean(none, tagged_jobs), lost)
+    )
+
+
+# Sources
+
+
+@query
+def table_scan(spark, sf_dir):
+    table(spark, sf_dir, "customer").createOrReplaceTempView("verdigris_customer")
+    return run_sql(spark, "-- one; comment\nSELECT c_custkey, c_name FROM verdigris_customer WHERE c_mktsegment <> ';' AND c_nationkey >= :least;", {"least": 3})
+
+
+@query
+def one_row_relation(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("verdigris_orders")
+    return run_sql(spark, "SELECT (SELECT count(*) FROM verdigris_orders) AS n, (SELECT count(*) FROM verdigris_orders) + 1 AS n_plus_one")
+
+
+@query
+def canonical_projection(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("string").alias("nation"))
+
+
+@query
+def explode_struct(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    parts = F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.cast("double").alias("x")))
+    return vectors.select("vec_id", F.explode(parts).alias("rec")).select("vec_id", "rec.*")
+
+
+def landed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer written as CSV and read again."""
+    from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+    path = work_dir(spark, "csv")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    rows.write.option("header", True).csv(path)
+    schema = StructType([StructField("c_custkey", LongType()), StructField("c_name", StringType()), StructField("c_nationkey", IntegerType())])
+    return csv_source(spark, f"{path}/*.csv", schema)
+
+
+@query
+def bronze_csv_scan(spark, sf_dir):
+    return landed_customers(spark, sf_dir).drop("source_file")
+
+
+@query
+def source_file_basename(spark, sf_dir):
+    from .functions.columns import basename
+
+    rows = landed_customers(spark, sf_dir)
+    plain = F.col("source_file").rlike("^part-[^/]*[.]csv$") & (F.col("source_file") == basename(F.concat(F.lit("a/b/"), F.col("source_file"))))
+    return rows.groupBy(plain.alias("is_basename")).agg(F.count("*").alias("n"))
+
+
+def landed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation as JSON pages, one per region and one empty, spread over lines."""
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    path = work_dir(spark, "pages")
+    record = F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    pages = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(record)).alias("data"))
+    empty = pages.limit(1).select(F.lit(99).alias("n_regionkey"), F.array().cast(pages.schema["data"].dataType).alias("data"))
+    pages = pages.unionByName(empty).select(F.col("n_regionkey").alias("page"), F.lit(True).alias("has_next"), F.lit("api").alias("source_system"), "data")
+    text = F.regexp_replace(F.to_json(F.struct("*")), "([,{])", "$1\n")
+    pages.select(text.alias("value"), "page").repartition("page").write.partitionBy("page").text(path)
+    schema = StructType([StructField("id", IntegerType()), StructField("name", StringType())])
+    return json_pages(spark, f"{path}/page=*/*.txt", schema)
+
+
+@query
+def bronze_json_scan(spark, sf_dir):
+    return page_records(landed_pages(spark, sf_dir)).select("id", "name", "source_system")
+
+
+@query
+def page_rejects(spark, sf_dir):
+    return bad_pages(landed_pages(spark, sf_dir)).select("source_system", "rejection_reason", F.col("page").cast("long").alias("page"))
+
+
+@query
+def bronze_metadata(spark, sf_dir):
+    rows = stamp(table(spark, sf_dir, "nation").select("n_nationkey"), RUN, "landing_csv")
+    own = stamp(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_nationkey"), F.lit("api").alias("source_system")), RUN, "landing_csv")
+    return rows.unionByName(own)
+
+
+# Versioned tables
+
+
+def new_table(spark: SparkSession, name: str) -> VersionedTable:
+    return VersionedTable(spark, work_dir(spark, name))
+
+
+@query
+def bronze_load(spark, sf_dir):
+    made = new_table(spark, "bronze")
+    made.replace_by_key(dirtied(spark, sf_dir))
+    return made.read().groupBy("source_file").agg(F.count("*").alias("n"), F.count("id").alias("n_ids"))
+
+
+def order_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The even orders; then a batch that changes every sixth of them and brings the odd ones."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    first = orders.where("o_orderkey % 2 = 0")
+    changed = first.where("o_orderkey % 6 = 0").withColumn("o_custkey", F.col("o_custkey") + 1)
+    return first, changed.unionByName(orders.where("o_orderkey % 2 = 1"))
+
+
+def merged_orders(spark: SparkSession, sf_dir: str, times: int = 1) -> VersionedTable:
+    made = new_table(spark, "orders")
+    first, second = order_batches(spark, sf_dir)
+    made.merge(first, ["o_orderkey"])
+    for _ in range(times):
+        made.merge(second, ["o_orderkey"], skip_unchanged=True)
+    return made
+
+
+@query
+def merge_upsert(spark, sf_dir):
+    return merged_orders(spark, sf_dir).read()
+
+
+@query
+def merge_idempotent(spark, sf_dir):
+    made = merged_orders(spark, sf_dir, times=2)
+    return made.read().agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("n_keys"), F.sum("o_custkey").alias("s"), F.lit(made.version()).cast("long").alias("version"))
+
+
+@query
+def time_travel_count(spark, sf_dir):
+    return merged_orders(spark, sf_dir).as_of(0).agg(F.count("*").alias("row_count_at_version_0"))
+
+
+@query
+def change_feed(spark, sf_dir):
+    return merged_orders(spark, sf_dir).changes(1).select("o_orderkey", "o_custkey", "_change_type", "_commit_version")
+
+
+@query
+def table_history(spark, sf_dir):
+    return merged_orders(spark, sf_dir, times=2).history().select("version", "operation")
+
+
+@query
+def replace_by_source_file(spark, sf_dir):
+    made = new_table(spark, "files")
+    rows = dirtied(spark, sf_dir)
+    made.replace_by_key(rows)
+    fewer = rows.where("source_file = 'orders_1998_01_02.csv' AND id % 2 = 0").withColumn("name", F.lit("it's new"))
+    made.replace_by_key(fewer)
+    return made.read().select("id", "name", "source_file")
