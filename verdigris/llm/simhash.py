@@ -177,15 +177,19 @@ def links(prints: DataFrame, n_prints: int) -> DataFrame:
     return dealt.select(F.col("b.k").alias("k"), "fp").mapInArrow(_task_links, "u long, v long")
 
 
+# The least neighbours are staged so that the join deals both of its sides itself: a node with very many
+# neighbours is then a skewed partition that Spark splits.
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")), "simhash-least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(down.groupBy("u").agg(F.min("v").alias("m")), "simhash-least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
