@@ -6,10 +6,9 @@ from datetime import datetime
 import pytest
 
 from verdigris.context import Paths, RunContext
-from verdigris.plans.pipeline import Lakehouse
+from verdigris.plans.pipeline import SCHEMAS, Lakehouse, run_bronze, run_gold, run_silver
 from verdigris.plans.sqlrun import run_sql, run_sql_file, statements
 from verdigris.sources.files import bad_pages, json_pages
-from verdigris.plans.pipeline import SCHEMAS
 
 
 def write(path, text):
@@ -56,6 +55,21 @@ def test_pipeline(spark, lake, tmp_path):
     assert lake.table("silver", "hired_employees").as_of(0).where("name = 'Bobby'").count() == 1
 
 
+def test_steps_and_sql_over_the_layers(spark, lake):
+    assert run_bronze(spark, lake.paths, "mine") == "mine"
+    run_silver(spark, lake.paths)
+    run_gold(spark, lake.paths, 2021)
+    text = """
+    -- Every landed row is valid or rejected; nothing is doubled; every reference exists.
+    SELECT (SELECT count(*) FROM bronze.hired_employees_raw) - (SELECT count(*) FROM silver.hired_employees)
+         - (SELECT count(*) FROM silver.rejected_records WHERE table_name = 'hired_employees') AS missing,
+           (SELECT count(*) FROM (SELECT id FROM silver.hired_employees GROUP BY id HAVING count(*) > 1)) AS doubled,
+           (SELECT sum(Q1 + Q2 + Q3 + Q4) FROM gold.hires_by_department_job_quarter_2021) AS hired,
+           (SELECT count(*) FROM silver.hired_employees WHERE year(hire_datetime) = :year) AS in_year;
+    """
+    assert tuple(run_sql(spark, text, {"year": 2021}).first()) == (0, 0, 3, 3)
+
+
 def test_bad_pages_are_told(spark, lake, tmp_path):
     write(tmp_path / "data/api/hired_employees_page_3.json", "{broken")
     pages = json_pages(spark, lake.paths.api("hired_employees_page_*.json"), SCHEMAS["hired_employees"])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,3 +46,15 @@ class Paths:
 
     def table(self, layer: str, name: str) -> str:
         return "/".join([self.lakehouse_root, layer, name])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where that is unset,
+    as in tests on one machine, a temporary folder is made and set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="verdigris-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")

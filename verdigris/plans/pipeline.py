@@ -155,6 +155,19 @@ class Lakehouse:
         return run.batch_id
 
 
+def run_bronze(spark: SparkSession, paths: Paths, batch_id: str | None = None) -> str:
+    """Land all files; returns the batch's id."""
+    return Lakehouse(spark, paths).bronze(RunContext(batch_id) if batch_id else RunContext())
+
+
+def run_silver(spark: SparkSession, paths: Paths, batch_id: str | None = None) -> None:
+    Lakehouse(spark, paths).silver(RunContext(batch_id) if batch_id else RunContext())
+
+
+def run_gold(spark: SparkSession, paths: Paths, year: int = 2021) -> None:
+    Lakehouse(spark, paths).gold(year)
+
+
 def _same(columns: Sequence[str]):
     out = F.lit(True)
     for c in columns:
