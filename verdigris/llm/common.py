@@ -46,6 +46,14 @@ def clear_staged(spark: SparkSession) -> int:
     return len(paths)
 
 
+def with_row_key(docs: DataFrame, doc_id: str, name: str = "_row") -> tuple[DataFrame, str]:
+    """The rows with a column that tells them apart: doc_id if it does, else a row number of a staged copy."""
+    n, distinct = docs.agg(F.count("*"), F.count_distinct(doc_id)).first()
+    if n == distinct:
+        return docs, doc_id
+    return stage(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(docs[column], F.lit(""))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, stage, text_of
+from .common import NO_ID, stage, text_of, with_row_key
 
 SHINGLE = 3
 SEED = 42
@@ -224,7 +224,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each component: the rows whose doc_id is the component's id."""
-    found = near_duplicates(docs, text, doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = found.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, docs[doc_id].eqNullSafe(ids["_kept"]), "left_semi")
+    """One document of each component, the one with the smallest doc_id; where rows repeat a doc_id, or
+    have none, the first by a row number."""
+    columns = docs.columns
+    docs, key = with_row_key(docs, doc_id)
+    found = near_duplicates(docs, text, key).where(F.col("doc_id") == F.col("component_id"))
+    return docs.join(found.select(F.col("doc_id").alias("_kept")), docs[key] == F.col("_kept"), "left_semi").select(*columns)
