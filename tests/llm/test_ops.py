@@ -195,6 +195,12 @@ def test_suffix_dedup(spark, sf, texts, keep):
     assert repeats(spark.read.parquet(f"{sf}/documents.parquet"), keep) == brute_repeats(sorted(texts.items()), keep)
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_suffix_dedup_crowded_grams(spark, sf, texts, monkeypatch, keep):
+    monkeypatch.setattr(suffix_dedup, "GROUP_SPANS", 1)
+    assert repeats(spark.read.parquet(f"{sf}/documents.parquet"), keep) == brute_repeats(sorted(texts.items()), keep)
+
+
 def test_suffix_dedup_edges(edge, empty):
     assert repeats(edge) == brute_repeats([(d, t or "") for d, t in EDGE])
     assert repeats(empty) == []
@@ -504,6 +510,14 @@ def test_ftrl_learns_a_word():
     assert len(model.coordinates) < 200 and model.dense()[7] > 1
 
 
+def test_staged_tables_can_be_cleared(spark):
+    from verdigris.llm.common import clear_staged, stage
+
+    made = stage(spark.range(3), "test-staged")
+    assert made.count() == 3 and made.inputFiles()
+    assert clear_staged(spark) >= 1 and clear_staged(spark) == 0
+
+
 # The pipeline
 
 
@@ -531,3 +545,27 @@ def test_pipeline(spark, sf, texts):
     words = packing.WordIds(tokenizer_path())
     assert sum(r.length for r in packed.collect()) == sum(k * (len(words.encode(got[d][0])) // 4 + 1) for d, k in n.items())
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "start", "length").collect())) == sorted((r.doc_id, r.start, r.length) for r in packed.collect())
+
+
+def test_pipeline_edges(spark, edge, empty):
+    import corpus_pipeline
+    from verdigris.llm.common import stage
+
+    for docs in (edge, empty):
+        rules = corpus_pipeline.STAGES[0][1](spark, docs, "")
+        assert rules.columns == docs.columns and rules.count() <= docs.count()
+        n = [docs.count()]  # go on with all of them
+        for k, (_, function) in enumerate(corpus_pipeline.STAGES[1:]):
+            columns, docs = docs.columns, stage(function(spark, docs, ""), "test-pipeline")
+            assert k == 3 or docs.columns == columns
+            n.append(docs.count())
+        assert n[0] == n[1] >= n[2] and (n[0] == 0) == (n[4] == 0)
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    rows = [(1, f"{k} " + "word " * 20, "en", "s", 1) for k in range(4)] + [(None, "nobody knows the owner of this one", "en", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    mixed = Counter(r.text for r in mixing.mix(df).collect())
+    assert set(mixed) == {r[1] for r in rows} and max(mixed.values()) <= 2
+    same = spark.createDataFrame([(1, "a b c d", "en", "s", 1), (1, "a b c d", "en", "s", 1), (2, "e f g h", "en", "s", 1)], DOCS)
+    assert sorted(r.text for r in simhash.keep_first(same).collect()) == ["a b c d", "e f g h"]

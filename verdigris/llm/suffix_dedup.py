@@ -12,6 +12,11 @@ neighbours with smaller and with larger position, the common length gives the lo
 longest next factor. A window with a previous factor of MIN_BYTES is a later copy; with either it is
 repeated. `keep="first"` removes later copies only, `keep="none"` all.
 
+A gram with more than GROUP_SPANS different spans, such as one at the edge of a passage that very many
+documents share, would be too much for a task. Its spans are cut once more, into one span per window: equal ones
+are counted and stand for each other as before, by a shuffle that adds up on the way, and no group is left
+to sort.
+
 Results hold the union of the removed windows, judged on the input.
 
 Defined cases: a null text is empty and keeps nothing; texts shorter than MIN_BYTES stay; rows that repeat a
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, with_row_key
 
 MIN_BYTES = 200
 #: Bytes of a gram: 32 + 16.
@@ -39,8 +44,12 @@ SLICE, PLACE_BITS = 1 << 18, 20
 #: Bytes of spans that one suffix array is built over, unless one gram has more.
 ARRAY_BYTES = 1 << 20
 
+#: Different spans of a gram that a task sorts; beyond, they are cut into single windows.
+GROUP_SPANS = 1000
+
 _ANCHORS = "did long, pos long, kh long, sh long"
 _SPANS = "kh long, sh long, did long, pos long, n long, bytes binary"
+_WINDOWS = "kh long, sh long, did long, pos long, n long, i int, w1 long, w2 long"
 _VERDICTS = "kh long, sh long, earlier array<int>, `any` array<int>"
 
 _rng = np.random.default_rng(20_11)
@@ -233,6 +242,46 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _judge(rows)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of every span, by a 128-bit hash."""
+    names = [c.split()[0] for c in _WINDOWS.split(", ")]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            bodies = part.column(5).to_pylist()
+            sizes = [len(b) - MIN_BYTES + 1 for b in bodies]
+            hashed = b"".join([xxhash.xxh3_128_digest(b[i : i + MIN_BYTES]) for b, w in zip(bodies, sizes) for i in range(w)])
+            w = np.frombuffer(hashed, np.int64).reshape(-1, 2)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            i = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            columns = [c.take(pa.array(row)) for c in part.columns[:5]]
+            arrays = [*columns, pa.array(i.astype(np.int32)), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _flag_runs(earlier: pa.Array, any_: pa.Array) -> pa.Array:
+    def runs(places: list[int] | None) -> list[int]:
+        flags = np.zeros(256, bool)
+        flags[places or []] = True
+        return _runs(flags)
+
+    both = [[runs(x) for x in c.to_pylist()] for c in (earlier, any_)]
+    return pa.StructArray.from_arrays([pa.array(c, pa.list_(pa.int32())) for c in both], ["earlier", "any"])
+
+
+def _by_window(spans_: DataFrame) -> DataFrame:
+    """Verdicts on spans (_SPANS) by counting their windows."""
+    windows = stage(spans_.mapInArrow(_windows, _WINDOWS), "suffix-windows")
+    place = F.struct("did", "pos", "i")
+    counted = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total"), F.min(place).alias("first"))
+    counted = stage(counted.where("total > 1"), "suffix-window-counts")
+    found = windows.join(counted, ["w1", "w2"]).groupBy("kh", "sh").agg(
+        F.collect_list(F.when(place != F.col("first"), F.col("i"))).alias("e"), F.collect_list("i").alias("a")
+    )
+    flags = F.arrow_udf(_flag_runs, "struct<earlier:array<int>,any:array<int>>")
+    return found.select("kh", "sh", flags("e", "a").alias("v")).select("kh", "sh", "v.earlier", "v.any")
+
+
 def _cut(text: pa.Array, gone: pa.Array) -> pa.Array:
     kept, n_bytes, n_removed, n_spans = [], [], [], []
     for x, ranges in zip(text, gone.to_pylist()):
@@ -263,14 +312,16 @@ def repeated_ranges(body: DataFrame, keep: str = "none") -> DataFrame:
     anchors = stage(anchors.join(shared, "kh", "left_semi"), "suffix-candidates")
     groups = anchors.groupBy("kh", "sh").agg(F.count("*").alias("n"), F.min(F.struct("did", "pos")).alias("ex"))
     groups = stage(groups.select("kh", "sh", "n", "ex.did", "ex.pos"), "suffix-spans")
-    several = stage(groups.groupBy("kh").count().where("count > 1").select("kh"), "suffix-several")
-    wanted = groups.join(several, "kh", "left_semi").groupBy("did").agg(F.collect_list(F.struct("kh", "sh", "pos", "n")).alias("wanted"))
+    several = stage(groups.groupBy("kh").count().where("count > 1").withColumnRenamed("count", "spans"), "suffix-several")
+    wanted = groups.join(several.select("kh"), "kh", "left_semi").groupBy("did").agg(F.collect_list(F.struct("kh", "sh", "pos", "n")).alias("wanted"))
     fetched = body.join(wanted.withColumnRenamed("did", "_did"), F.col("did") == F.col("_did"))
     fetched = fetched.select("did", F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(_wanted, _SPANS)
-    judged = fetched.repartition("kh").sortWithinPartitions("kh", "did", "pos").mapInArrow(_verdicts, _VERDICTS)
-    judged = stage(judged, "suffix-verdicts")
+    fetched = stage(fetched, "suffix-bytes")
+    crowded = several.where(F.col("spans") > GROUP_SPANS).select("kh")
+    judged = fetched.join(crowded, "kh", "left_anti").repartition("kh").sortWithinPartitions("kh", "did", "pos").mapInArrow(_verdicts, _VERDICTS)
+    judged = stage(judged.unionByName(_by_window(fetched.join(crowded, "kh", "left_semi"))), "suffix-verdicts")
     whole = F.array(F.lit(0), (F.col("pos").bitwiseAND(F.lit(255)) - 1).cast("int"))
-    alone = groups.join(several, "kh", "left_anti").select("kh", "sh", F.lit(None).cast("array<int>").alias("earlier"), whole.alias("any"))
+    alone = groups.join(several.select("kh"), "kh", "left_anti").select("kh", "sh", F.lit(None).cast("array<int>").alias("earlier"), whole.alias("any"))
     verdicts = alone.unionByName(judged)
     if keep == "first":
         verdicts = groups.select("kh", "sh", F.col("did").alias("xd"), F.col("pos").alias("xp")).join(verdicts, ["kh", "sh"])
@@ -289,11 +340,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """One row per document: doc_id, kept (its remaining bytes), n_bytes, n_removed and n_spans (removed
     runs)."""
     body = docs.select(F.col(doc_id).alias("doc_id"), text_of(docs, text).alias("text"))
-    n, distinct = body.agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if n == distinct:
-        body = body.withColumn("did", F.col("doc_id").cast("long"))
-    else:
-        body = stage(body.withColumn("did", F.monotonically_increasing_id()), "suffix-rows")
+    body, key = with_row_key(body, "doc_id")
+    body = body.select("doc_id", "text", F.col(key).cast("long").alias("did"))
     ranges = repeated_ranges(body, keep).groupBy("did").agg(F.collect_list(F.struct("a", "b")).alias("_gone"))
     out = body.join(ranges.withColumnRenamed("did", "_did"), F.col("did") == F.col("_did"), "left")
     cut = F.arrow_udf(_cut, "struct<kept:binary,n_bytes:long,n_removed:long,n_spans:long>")
