@@ -195,12 +195,6 @@ def test_suffix_dedup(spark, sf, texts, keep):
     assert repeats(spark.read.parquet(f"{sf}/documents.parquet"), keep) == brute_repeats(sorted(texts.items()), keep)
 
 
-@pytest.mark.parametrize("keep", ["none", "first"])
-def test_suffix_dedup_crowded_grams(spark, sf, texts, monkeypatch, keep):
-    monkeypatch.setattr(suffix_dedup, "GROUP_SPANS", 1)
-    assert repeats(spark.read.parquet(f"{sf}/documents.parquet"), keep) == brute_repeats(sorted(texts.items()), keep)
-
-
 def test_suffix_dedup_edges(edge, empty):
     assert repeats(edge) == brute_repeats([(d, t or "") for d, t in EDGE])
     assert repeats(empty) == []
@@ -424,7 +418,8 @@ def brute_components(prints):
 
     def find(i):
         while root[i] != i:
-            i = root[i] = root[root[i]]
+            root[i] = root[root[i]]
+            i = root[i]
         return i
 
     v = np.array([p for _, p in prints], np.uint64)
