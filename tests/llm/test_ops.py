@@ -1,6 +1,7 @@
 """Every text operator against its SQL or a brute-force version, on whole small tables."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -385,6 +386,36 @@ def test_mix_orders_copies_by_the_schedule(spark):
     assert [tuple(r) for r in mixing.mix(df).collect()] == [tuple(r) for r in mixed.collect()]
 
 
+def brute_positions(docs):
+    """Per doc_id the training positions of its copies, by walking the integrated schedules in small steps."""
+    per, out = defaultdict(list), {}
+    for r in docs:
+        per[r.source].append(r)
+    for rank, source in enumerate(sorted(per)):
+        a, b = mixing.SCHEDULES[rank % 3]
+        t = np.linspace(0, 1, 20001)
+        demand = np.concatenate(([0], np.cumsum((a + (b - a) * (t[1:] + t[:-1]) / 2) / 20000))) / ((a + b) / 2)
+        stream = sorted(per[source], key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id)) * 2
+        asked, done = math.floor(stream[0].target + 0.5), 0
+        for r in stream:
+            words = min(r.size, asked - done)
+            if words > 0:
+                out.setdefault(r.doc_id, []).append(float(np.interp((done + words / 2) / asked, demand, t)))
+            done += r.size
+    return out
+
+
+def test_op9_rows_stand_in_training_order(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = brute_positions(mixing.plan(docs).collect())
+    rows = mixing.curriculum(docs).collect()
+    assert {r.doc_id: r.positions for r in rows if r.positions} == {d: pytest.approx(p, abs=1e-6) for d, p in want.items()}
+    assert all((r.position is None) == (r.taken == 0) for r in rows) and {len(r.positions) for r in rows} >= {0, 2}
+    first = [want.get(r.doc_id, [2.0])[0] for r in QUERIES["op9_mixing"](spark, sf).collect()]
+    assert len(first) == docs.count() and np.all(np.diff(first) > -2e-6)
+    assert mixing.curriculum(docs).where("position IS NULL").select(F.spark_partition_id()).distinct().count() > 1
+
+
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [1000, 1, 1, 1], [1, 1, 1000, 5, 0, 7], [0, 0]])
 def test_targets_are_filled_up(spark, sizes):
     rows = [(k, "w " * n, "en", f"s{k}", 1) for k, n in enumerate(sizes)]

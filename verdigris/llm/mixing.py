@@ -132,29 +132,53 @@ def plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: st
     return found.withColumn("taken", taken)
 
 
+def _copies() -> Column:
+    """The copies of a planned document that are taken, as structs of `epoch`, `copy_words` and `position`, in order."""
+    asked = F.round("target").cast("long")
+    found = []
+    for e in range(MAX_EPOCHS):
+        start = F.col("words_before") + e * F.col("source_size")
+        words = F.least(F.col("size"), asked - start)
+        at = position(F.least(F.lit(1.0), (start + words / 2) / asked), F.col("schedule"))
+        found.append(F.when(words > 0, F.struct(F.lit(e).alias("epoch"), words.alias("copy_words"), at.alias("position"))))
+    return F.array_compact(F.array(*found))
+
+
 def copies(planned: DataFrame) -> DataFrame:
     """One row per copy that is taken: the plan's columns with `epoch`, `copy_words` and `position`."""
-    asked = F.round("target").cast("long")
-    out = planned.where(F.col("taken") > 0).withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(MAX_EPOCHS)])))
-    start = F.col("words_before") + F.col("epoch") * F.col("source_size")
-    out = out.withColumn("copy_words", F.least(F.col("size"), asked - start)).where(F.col("copy_words") > 0)
-    middle = start + F.col("copy_words") / 2
-    return out.withColumn("position", position(F.least(F.lit(1.0), middle / asked), F.col("schedule")))
+    return planned.withColumn("_copy", F.explode(_copies())).select(*planned.columns, "_copy.*")
+
+
+def by_position(rows: DataFrame, at: str, *then: str) -> DataFrame:
+    """The rows range-sorted by the column `at`; rows where it is null come last, in no order.
+
+    Positions lie in [0, 1] and the demand is spread over all of it, so equal ranges of positions are the
+    partitions and no sampling pass is needed. Rows without a position are dealt over as many partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = F.least(F.floor(F.col(at) * parts), F.lit(parts - 1)).cast("int")
+    last = parts + F.pmod(F.xxhash64(*[F.col(c) for c in then]), F.lit(parts)).cast("int")
+    part = F.when(F.col(at).isNull(), last).otherwise(ranges)
+    return rows.repartitionById(2 * parts, part).sortWithinPartitions(F.col(at).asc_nulls_last(), *then)
+
+
+def curriculum(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """One row per document in training order: doc_id, source, size, source_size, target, `taken` (the words
+    of all its copies), `positions` (of its copies, in order) and `position`, the first of them, by which the
+    rows are range-sorted. A document that isn't taken has no position and comes last."""
+    out = plan(docs, text, doc_id, source).withColumn("_copies", _copies())
+    out = out.withColumn("taken", F.aggregate("_copies", F.lit(0).cast("long"), lambda n, c: n + c["copy_words"]))
+    out = out.withColumn("positions", F.transform("_copies", lambda c: c["position"])).withColumn("position", F.get("positions", F.lit(0)))
+    out = out.select("doc_id", "source", "size", "source_size", "target", "taken", "positions", "position")
+    return by_position(out, "position", "doc_id", "size")
 
 
 def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The documents as often as the mix takes them, range-sorted by training position, with their
     own columns only. Documents are never cut: a source's last copy is in if at least half of its
-    words are taken. Rows that repeat a doc_id, or have none, are told apart by a row number.
-
-    Positions lie in [0, 1] and the demand is spread over all of it, so equal ranges of positions are the
-    partitions and no sampling pass is needed."""
+    words are taken. Rows that repeat a doc_id, or have none, are told apart by a row number."""
     columns = docs.columns
     docs, key = with_row_key(docs, doc_id)
     taken = copies(plan(docs, text, key, source)).where(2 * F.col("copy_words") >= F.col("size"))
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("position").alias("_position"), F.col("epoch").alias("_epoch"))
     out = docs.join(stage(taken, "mix-copies"), docs[key] == F.col("_id"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = F.least(F.floor(F.col("_position") * parts), F.lit(parts - 1)).cast("int")
-    out = out.repartitionById(parts, ranges).sortWithinPartitions("_position", "_id", "_epoch")
-    return out.select(*[docs[c] for c in columns])
+    return by_position(out, "_position", "_id", "_epoch").select(*[docs[c] for c in columns])
