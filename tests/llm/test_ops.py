@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -253,6 +255,45 @@ def test_license_rules(text, labels):
     assert len(licenses.signatures()) > 300
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Released under CC BY 4.0.", "cc-by"), ("distributed under GPLv3", "gpl-3"), ("available under MPL 2.0", "mpl-2"),
+    ("published under CC0", "cc0-1"), ("Provided under the terms of the Apache 2.0", "apache-2"),
+])
+def test_grants_without_the_word_license(text, labels):
+    found = licenses.scan(text.encode())
+    assert found[5] == labels and found[6] == 0.95
+
+
+def a_match(parsed, rng):
+    """A text that the parsed expression matches, by chance."""
+    out = b""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += bytes([arg])
+        elif op == "IN":
+            out += b" " if str(arg[0][0]) == "NEGATE" else bytes([rng.choice(arg)[1]])
+        elif op == "BRANCH":
+            out += a_match(rng.choice(arg[1]), rng)
+        elif op == "MAX_REPEAT":
+            out += b"".join(a_match(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif op == "SUBPATTERN":
+            out += a_match(arg[-1], rng)
+        else:
+            assert op == "ASSERT_NOT"
+    return out
+
+
+def test_keywords_are_in_every_match():
+    rng = random.Random(1)
+    for rule in licenses.signatures():
+        parsed = re._parser.parse(rule.expression.pattern)
+        for _ in range(30):
+            text = a_match(parsed, rng)
+            assert rule.expression.fullmatch(text) and all(k in text for k in rule.keywords), (rule, text)
+            assert any(d.label == rule.label and d.end == len(text) for d in licenses.detections(text))
+
+
 def test_suppression_keeps_the_outer_place():
     d = lambda s, e, p: licenses.Detection(s, e, f"{s}-{e}", p, 0.5, False)
     found = [d(0, 10, 5), d(2, 4, 9), d(3, 4, 9), d(0, 3, 5), d(2, 4, 1), d(8, 12, 5)]

@@ -77,15 +77,15 @@ LICENSES = {
     "cc-by-nc-nd": ("cc by nc nd 4 0|cc by nc nd|creative commons attribution noncommercial noderivatives", "cc by nc nd 4 0"),
 }
 
-#: Priority, confidence, phrasing. {name} is one of the license's names with the word "license" left out or
-#: in where it may stand, {id} its identifier.
+#: Priority, confidence, keyword, phrasing. The keyword is in every text that the phrasing can match. {name} is
+#: one of the license's names with the word "license" left out or in where it may stand, {id} its identifier.
 PHRASINGS = (
-    (60, 1.0, "spdx license identifier {id}"),
-    (50, 0.95, "(?:licensed|released|distributed|available|published|provided)~under~(?:the~)?(?:terms~of~)?(?:the~)?{name}"),
-    (45, 0.9, "under~the~(?:terms~(?:and~conditions~)?of~the~)?{name}"),
-    (40, 0.9, "subject~to~(?:the~terms~of~)?the~{name}"),
-    (35, 0.8, "licen[cs]es?~(?:is~|the~)?{name}"),
-    (30, 0.7, "{named}"),
+    (60, 1.0, "spdx", "spdx license identifier {id}"),
+    (50, 0.95, "under", "(?:licensed|released|distributed|available|published|provided)~under~(?:the~)?(?:terms~of~)?(?:the~)?{name}"),
+    (45, 0.9, "under", "under~the~(?:terms~(?:and~conditions~)?of~the~)?{name}"),
+    (40, 0.9, "subject", "subject~to~(?:the~terms~of~)?the~{name}"),
+    (35, 0.8, "licen", "licen[cs]es?~(?:is~|the~)?{name}"),
+    (30, 0.7, "licen", "{named}"),
 )
 
 #: Statements that aren't a license by name: label, priority, confidence, keyword, expression.
@@ -137,13 +137,12 @@ def signatures() -> tuple[Signature, ...]:
         for name in names.split("|"):
             free, must = _named(name)
             rare = max(name.split(), key=len)
-            for priority, confidence, phrasing in PHRASINGS:
+            for priority, confidence, keyword, phrasing in PHRASINGS:
                 if "{id}" in phrasing:
                     if name == names.split("|")[0]:
-                        rules.append(_signature(label, priority, confidence, [max(identifier.split(), key=len), "spdx"], phrasing.replace("{id}", identifier)))
+                        rules.append(_signature(label, priority, confidence, [max(identifier.split(), key=len), keyword], phrasing.replace("{id}", identifier)))
                 else:
-                    keywords = [rare, *(["licen"] if "licen" in phrasing else ["under"] if "under" in phrasing else ["subject"] if "subject" in phrasing else ["licen"])]
-                    rules.append(_signature(label, priority, confidence, keywords, phrasing.replace("{name}", free).replace("{named}", must)))
+                    rules.append(_signature(label, priority, confidence, [rare, keyword], phrasing.replace("{name}", free).replace("{named}", must)))
     rules += [_signature(label, p, c, [k], body) for label, p, c, k, body in STATEMENTS]
     return tuple(sorted(rules, key=lambda r: -r.priority))
 
