@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import line_dedup, mixing, packing, quality_rules, simhash
+from verdigris.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from verdigris.llm.common import read_table, stage
 from verdigris.llm.queries import tokenizer_path
 
@@ -21,9 +21,9 @@ def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
-def _simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    return simhash.keep_first(docs)
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (5-word shingles, similarity of at least 0.8) the document with the smallest doc_id stays."""
+    return near_dedup.keep_first(docs)
 
 
 def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", _quality_rules),
     ("line dedup", _line_dedup),
-    ("SimHash near-dedup", _simhash),
+    ("near-dedup", _near_dedup),
     ("mixing", _mixing),
     ("packing", _packing),
 ]

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from verdigris.llm import exact_dedup, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from verdigris.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from verdigris.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -541,6 +541,38 @@ def test_components_of_a_chain(spark):
     assert found == {k: 0 for k in range(1, 61)} | {101: 100}
 
 
+# Near-dedup of the pipeline
+
+
+def brute_similar(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_near_dedup_finds_every_similar_pair(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    docs = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 200))]
+        for _ in range(rng.randrange(1, 6)):
+            docs.append(" ".join(words))
+            for _ in range(rng.randrange(1, 4)):
+                words[rng.randrange(len(words))] = "edited"
+    docs += ["one common line " * 3 + d for d in docs[:20]] + ["", " ", "a b"]
+    want = [(d, x) for d, x in enumerate(docs)]
+    rng.shuffle(want)
+    root = list(range(len(docs)))
+    pairs = [(i, j) for j in range(len(docs)) for i in range(j) if brute_similar(docs[i], docs[j])]
+    for _ in docs:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame([(d, x, "en", "s", 1) for d, x in want], DOCS)
+    assert len(pairs) > 20 and sum((brute_print(docs[i]) ^ brute_print(docs[j])).bit_count() > 3 for i, j in pairs) > 10
+    assert {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, df, "").collect()} == set(root)
+
+
 # Classifiers
 
 
