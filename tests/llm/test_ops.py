@@ -57,10 +57,11 @@ def norm(t):
 
 
 def brute_exact(rows):
+    """One row of each group is kept, also where rows repeat a doc_id."""
     groups = defaultdict(list)
     for d, t in rows:
-        groups[norm(t or "")].append((-len(t or ""), 1 << 62 if d is None else d, d))
-    return sorted(((d, min(g)[2], len(g), d == min(g)[2]) for t, g in groups.items() for _, _, d in g), key=repr)
+        groups[norm(t or "")].append((-len(t or ""), d is None, d or 0, d))
+    return sorted(((x[3], min(g)[3], len(g), k == 0) for g in groups.values() for k, x in enumerate(sorted(g))), key=repr)
 
 
 def test_exact_dedup_edges(edge, empty):
@@ -668,3 +669,29 @@ def test_repeated_ids_are_documents_of_their_own(spark):
     assert set(mixed) == {r[1] for r in rows} and max(mixed.values()) <= 2
     same = spark.createDataFrame([(1, "a b c d", "en", "s", 1), (1, "a b c d", "en", "s", 1), (2, "e f g h", "en", "s", 1)], DOCS)
     assert sorted(r.text for r in simhash.keep_first(same).collect()) == ["a b c d", "e f g h"]
+
+
+def test_packed_sequences_follow_the_curriculum(spark, sf):
+    import corpus_pipeline
+    from verdigris.llm.common import read_table, stage
+
+    docs = read_table(spark, sf, "documents")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = {r.doc_id: r for r in mixing.plan(docs).collect()}
+    want = defaultdict(Counter)
+    for d, positions in brute_positions(list(size.values())).items():
+        words = size[d].taken
+        for k, p in enumerate(positions):
+            n = min(size[d].size, words - k * size[d].size)
+            if 2 * n >= size[d].size:
+                want[min(int(p * parts), parts - 1)][d] += 1
+    mixed = stage(corpus_pipeline.STAGES[3][1](spark, docs, sf), "test-order")
+    got = defaultdict(Counter)
+    for r in corpus_pipeline.STAGES[4][1](spark, mixed, sf).collect():
+        if r.start == 0:
+            got[r.sequence_id >> 44][r.doc_id] += 1
+    assert got == want and len(got) == parts
+
+
+def test_files_that_no_write_has_numbered_have_no_order(spark, edge):
+    assert packing.written_order(edge) is None

@@ -1,4 +1,4 @@
-"""What the text operators share: table reading, staging in the shared folder, white space."""
+"""What the text operators share: table reading, staging in the shared folder, row keys, white space."""
 
 from __future__ import annotations
 
@@ -14,8 +14,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACE_BYTES = SPACE_CHARS.encode()
 
-#: Stands for a null doc_id wherever the smallest doc_id of a group is looked for: nulls come last.
-NO_ID = 9223372036854775807
+MAX_LONG = (1 << 63) - 1
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,14 +45,55 @@ def clear_staged(spark: SparkSession) -> int:
     return len(paths)
 
 
-def with_row_key(docs: DataFrame, doc_id: str, name: str = "_row") -> tuple[DataFrame, str]:
-    """The rows with a column that tells them apart: doc_id if it does, else a row number of a staged copy."""
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing needs any more, before their application ends."""
+    for df in tables:
+        spark = df.sparkSession
+        mine = _STAGED.get(spark.sparkContext.applicationId, [])
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            for known in [p for p in mine if p.rstrip("/").endswith(path.rsplit("/", 1)[-1])]:
+                at = spark._jvm.org.apache.hadoop.fs.Path(known)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+                mine.remove(known)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until df has no such column; for columns of our own beside a caller's."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_row_key(docs: DataFrame, doc_id: str) -> tuple[DataFrame, str]:
+    """The rows with a column that tells them apart: doc_id if it does, else a row number, under a name that docs
+    hasn't, of a staged copy."""
     n, distinct = docs.agg(F.count("*"), F.count_distinct(doc_id)).first()
     if n == distinct:
         return docs, doc_id
+    (name,) = fresh(docs, "_row")
     return stage(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
+def nulls_last(docs: DataFrame, doc_id: str) -> Column:
+    """doc_id as a long in the same order with nulls as the largest. If the largest long is itself an id, the ids above
+    one that is free move down by one."""
+    none, top = docs.agg(F.count_if(F.col(doc_id).isNull()), F.max(F.col(doc_id).cast("long"))).first()
+    at = F.col(doc_id).cast("long")
+    if not none:
+        return at
+    if top != MAX_LONG:
+        return F.coalesce(at, F.lit(MAX_LONG))
+    some = [(k * 0x9E3779B97F4A7C15 & MAX_LONG) >> 1 for k in range(1, 65)]
+    used = {r[0] for r in docs.select(at.alias("i")).where(F.col("i").isin(some)).distinct().collect()}
+    free = next(x for x in some if x not in used)
+    return F.when(at.isNull(), F.lit(MAX_LONG)).when(at > free, at - 1).otherwise(at)
+
+
 def text_of(docs: DataFrame, column: str = "text") -> Column:
     """The text; null counts as empty."""
     return F.coalesce(docs[column], F.lit(""))

@@ -11,9 +11,9 @@ No source is held in one task: sizes are summed per (source, bucket of the order
 buckets are added to a running sum inside a bucket, and buckets hold about BUCKET_ROWS rows.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own that comes
-last; a null doc_id comes last in its source; rows that repeat a doc_id are documents of their own, in an
-order fixed by their size; an empty table gives no rows; columns of the input other than the four that
-are used do not matter.
+last; rows with a null doc_id stand where a hash of their text puts them, so that they too are dealt over all
+buckets; rows that repeat a doc_id are documents of their own, in an order fixed by their size; an empty
+table gives no rows; columns of the input other than the three that are used do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, stage, text_of, with_row_key, word_array
+from .common import fresh, stage, text_of, with_row_key, word_array
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -41,7 +41,7 @@ def sizes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: s
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.size(word_array(text_of(docs, text))).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")).alias("rank_key"),
+        F.md5(F.coalesce(F.col(doc_id).cast("string").cast("binary"), F.concat(F.lit(b"\0"), text_of(docs, text).cast("binary")))).alias("rank_key"),
     )
 
 
@@ -111,7 +111,7 @@ def plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: st
     sums = sums.withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0).cast("long"))).drop("words")
     inside = (
         Window.partitionBy("source", "bucket")
-        .orderBy("rank_key", F.coalesce("doc_id", F.lit(NO_ID)), "size")
+        .orderBy("rank_key", F.col("doc_id").asc_nulls_last(), "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
@@ -178,7 +178,8 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     words are taken. Rows that repeat a doc_id, or have none, are told apart by a row number."""
     columns = docs.columns
     docs, key = with_row_key(docs, doc_id)
+    own = fresh(docs, "_id", "_position", "_epoch")
     taken = copies(plan(docs, text, key, source)).where(2 * F.col("copy_words") >= F.col("size"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("position").alias("_position"), F.col("epoch").alias("_epoch"))
-    out = docs.join(stage(taken, "mix-copies"), docs[key] == F.col("_id"))
-    return by_position(out, "_position", "_id", "_epoch").select(*[docs[c] for c in columns])
+    taken = taken.select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "position", "epoch"), own)])
+    out = docs.join(stage(taken, "mix-copies"), F.col(key) == F.col(own[0]))
+    return by_position(out, own[1], own[0], own[2]).select(*columns)

@@ -1,17 +1,22 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
+"""Near-duplicates of word shingles: SimHash links, verified by exact similarity and completed by a prefix filter.
 
-Two documents are linked if their sets of word shingles have a similarity of at least NUM / DEN; of every
-connected group the smallest doc_id stays. No number of differing SimHash bits holds all such pairs, so
-candidates come from a prefix filter, which loses none: with the shingles of every set in one order, two
-sets that are similar share a shingle among the first n - ceil(n * NUM / DEN) + 1 of each. The order puts
-shingles that are frequent in a bounded sample last; any order gives the same result, this one few candidates.
+Two documents are linked if their sets of word shingles have a Jaccard similarity of at least NUM / DEN; of every
+connected group the smallest doc_id stays.
 
-Documents of equal sets are collapsed first. Every document is then compared with the smallest doc_id that it
-shares a prefix shingle with, and after that all candidates that aren't connected yet, so that a dense group
-costs no verified pair per pair of members.
+1. Documents of equal sets are collapsed.
+2. The trie self-join over fingerprints of these shingles links what differs in few bits; these pairs are compared.
+3. No number of differing bits holds all similar pairs (at 0.8, a tenth and more of the bits differ), so the rest comes
+   from a prefix filter, which loses none. With the shingles of every set in one order, two sets of n and m shingles that
+   are similar have at least a = ceil((n + m) * NUM / (NUM + DEN)) in common, so they share a shingle that stands among the
+   first n - a + 1 of one and m - a + 1 of the other. The order puts shingles that are frequent in a bounded sample
+   last; any order gives the same result, this one few candidates. Every document is compared with a few
+   centres among those that share a shingle with it, before the candidates that are still in different groups are.
+
+So a dense group costs comparisons with centres, not a comparison per pair of members.
 
 Defined cases: texts without a word have equal sets; a text of fewer words than a shingle is one shingle;
-rows that repeat a doc_id, or have none, are told apart by a row number; an empty table gives no rows.
+rows that repeat a doc_id, or have none, are told apart by a row number; an empty table gives no rows;
+other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,28 +24,28 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of, with_row_key
-from .simhash import components
+from .common import fresh, stage, text_of, unstage, with_row_key
+from .simhash import SEED, components, links, majority, shingle_hashes
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 NUM, DEN = 4, 5
-SEED = 42
 #: Documents whose shingles are counted for the order, about, and the least count that matters.
 SAMPLE, FREQUENT = 16_384, 8
+#: Centres per shared shingle: the smallest id, and the smallest hashes of ids.
+CENTRES = 3
+
+_SETS = "struct<digest:binary,fp:long,h:binary>"
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of the text's word shingles."""
-    words = text.lower().split()  # of bytes: A-Z only, and [\x20\x09-\x0D]
-    if not words:
-        return np.zeros(0, np.int64)
-    digest = xxhash.xxh64_digest
-    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-    return np.unique(np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.int64))
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, int]:
+    """The sorted distinct 64-bit hashes of the text's word shingles, and its fingerprint."""
+    chunks = list(shingle_hashes(text, shingle, SEED))
+    found = np.concatenate(chunks) if chunks else np.zeros((0, 8), np.uint8)
+    return np.unique(found.view(np.int64).ravel()), majority(chunks)
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
@@ -48,25 +53,100 @@ def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> boo
     return den * common >= num * (len(a) + len(b) - common)
 
 
-def _bytes(text: pa.Array) -> list[bytes]:
-    return [x.as_buffer().to_pybytes() for x in text]
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.int64) for x in column]
 
 
-def _lists(found: list[np.ndarray]) -> pa.Array:
+def _lists(found: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), kind))
+
+
+def shingle_sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(id, digest, fp, h) of rows (id, text as binary): the set's digest, the fingerprint and the set, 8 bytes a shingle."""
+
+    def sets(text: pa.Array) -> pa.Array:
+        found = [shingle_set(x.as_buffer().to_pybytes(), shingle) for x in text]
+        digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s, _ in found], pa.binary())
+        prints = pa.array(np.array([f for _, f in found], np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([digests, prints, pa.array([s.tobytes() for s, _ in found], pa.binary())], ["digest", "fp", "h"])
+
+    return rows.select("id", F.arrow_udf(sets, _SETS)("text").alias("s")).select("id", "s.*")
+
 
+def _needed(n: Column, m: Column, num: int, den: int) -> Column:
+    """Shingles that two similar sets of n and m have in common at least."""
+    return F.floor(((n + m) * num + (num + den - 1)) / (num + den))
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Those (u, v) whose texts, by id in `sets`, are similar."""
+
+def _meets(a: dict[str, Column], b: dict[str, Column], num: int, den: int) -> Column:
+    """Whether sets with n shingles, whose i-th is shared, may be similar as far as that shingle tells."""
+    least = _needed(a["n"], b["n"], num, den)
+    return (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"])) & (a["i"] <= a["n"] - least) & (b["i"] <= b["n"] - least)
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those (u, v) whose sets, by id, are similar."""
     both = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = stage(sets.join(both, "id", "left_semi"), "near-texts")
-    check = F.arrow_udf(
-        lambda a, b: pa.array([similar(shingles(x, shingle), shingles(y, shingle), num, den) for x, y in zip(_bytes(a), _bytes(b))], pa.bool_()), "boolean"
-    )
-    out = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-    out = out.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    return stage(out.withColumn("ok", check("a", "b")).where("ok").select("u", "v"), "near-links")
+    some = stage(sets.join(both, "id", "left_semi").select("id", "h"), "near-compared")
+    check = F.arrow_udf(lambda a, b: pa.array([similar(x, y, num, den) for x, y in zip(_arrays(a), _arrays(b))], pa.bool_()), "boolean")
+    out = pairs.join(some.select(F.col("id").alias("u"), F.col("h").alias("a")), "u")
+    out = out.join(some.select(F.col("id").alias("v"), F.col("h").alias("b")), "v")
+    found = stage(out.withColumn("ok", check("a", "b")).where("ok").select("u", "v"), "near-links")
+    unstage(some)
+    return found
+
+
+def frequent_shingles(sets: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several documents of a sample of about SAMPLE have, in order, and their counts there."""
+    every = -(-n_docs // SAMPLE) or 1
+    lists = F.arrow_udf(lambda h: _lists(_arrays(h), pa.int64()), "array<long>")
+    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode(lists("h")).alias("h"))
+    counted = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy("h").toArrow()
+    known, count = (c.to_numpy().astype(np.int64) for c in counted.columns)
+    return known, count
+
+
+def prefixes(sets: DataFrame, known: np.ndarray, count: np.ndarray, num: int, den: int) -> DataFrame:
+    """(id, n, i, h): of every set of n shingles the first ones in the order, i counted from 0, as far as a similar set of
+    any size may need them."""
+    sent = sets.sparkSession.sparkContext.broadcast((known, count))
+
+    def first_ones(h: pa.Array) -> pa.Array:
+        known, count = sent.value
+        out, sizes = [], []
+        for s in _arrays(h):
+            n = np.zeros(len(s), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                n = np.where(known[at] == s, count[at], 0)
+            out.append(s[np.lexsort((s, n))][: len(s) + (-len(s) * num // den) + 1] if len(s) else s)
+            sizes.append(len(s))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _lists(out, pa.int64())], ["n", "h"])
+
+    first = F.arrow_udf(first_ones, "struct<n:int,h:array<long>>")
+    return sets.select("id", first("h").alias("p")).select("id", "p.n", F.posexplode("p.h").alias("i", "h"))
+
+
+def _centres(found: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): documents and the centres that they share a shingle with."""
+    mine = {c: F.col(c) for c in ("n", "i")}
+    order = [F.col("id"), *[F.xxhash64("id", F.lit(k)) for k in range(1, CENTRES)]]
+    row = F.struct("id", "n", "i")
+    least = found.groupBy("h").agg(F.array(*[F.min_by(row, o) for o in order]).alias("c"), F.count("*").alias("k")).where("k > 1")
+    shared = found.join(stage(least.select("h", "c"), "near-centres"), "h").select("id", "n", "i", F.explode(F.array_distinct("c")).alias("c"))
+    near = shared.where((F.col("id") != F.col("c.id")) & _meets(mine, {c: F.col(f"c.{c}") for c in ("n", "i")}, num, den))
+    return near.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v"))
+
+
+def _print_pairs(firsts: DataFrame) -> DataFrame:
+    """(u, v): documents of one fingerprint with the first of them, and the firsts of linked fingerprints."""
+    groups = stage(firsts.groupBy("fp").agg(F.min("id").alias("id")), "near-prints")
+    same = firsts.join(groups.withColumnRenamed("id", "v"), "fp").where("id <> v").select(F.col("id").alias("u"), "v")
+    linked = links(groups, groups.count())
+    a, b = (groups.select(F.col("fp").alias(c), F.col("id").alias(f"id_{c}")) for c in ("u", "v"))
+    linked = linked.join(a, "u").join(b, "v").select(F.greatest("id_u", "id_v").alias("u"), F.least("id_u", "id_v").alias("v"))
+    return same.unionByName(linked)
 
 
 def keep_first(
@@ -75,42 +155,27 @@ def keep_first(
     """One document of each connected group, the one with the smallest doc_id."""
     columns = docs.columns
     docs, key = with_row_key(docs, doc_id)
-    rows = docs.select(docs[key].alias("id"), text_of(docs, text).cast("binary").alias("text"))
-    digest = F.arrow_udf(lambda t: pa.array([xxhash.xxh3_128_digest(shingles(x, shingle).tobytes()) for x in _bytes(t)], pa.binary()), "binary")
-    firsts = stage(rows.select("id", digest("text").alias("digest")).groupBy("digest").agg(F.min("id").alias("id")).select("id"), "near-firsts")
-    sets = stage(rows.join(firsts, "id", "left_semi"), "near-sets")
-
-    every = -(-firsts.count() // SAMPLE) or 1
-    hashes = F.arrow_udf(lambda t: _lists([shingles(x, shingle) for x in _bytes(t)]), "array<long>")
-    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode(hashes("text")).alias("h"))
-    counted = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy("h").toArrow()
-    known, count = (np.append(c.to_numpy().astype(np.int64), 0) for c in counted.columns)
-
-    def first_ones(t: pa.Array) -> pa.Array:
-        out, sizes = [], []
-        for x in _bytes(t):
-            s = shingles(x, shingle)
-            at = np.searchsorted(known[:-1], s)
-            n = np.where((known[at] == s) & (at < len(known) - 1), count[at], 0)
-            out.append(s[np.lexsort((s, n))][: len(s) + (-len(s) * num // den) + 1] if len(s) else s)
-            sizes.append(len(s))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _lists(out)], ["n", "h"])
-
-    prefix = F.arrow_udf(first_ones, "struct<n:int,h:array<long>>")
-    found = sets.select("id", prefix("text").alias("p")).select("id", "p.n", F.explode("p.h").alias("h"))
-    found = stage(found, "near-prefixes")
-    least = found.groupBy("h").agg(F.min(F.struct("id", "n")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    found = stage(found.join(least.select("h", "m"), "h"), "near-shared")
-    close = lambda a, b: (den * F.least(a, b) >= num * F.greatest(a, b))
-    star = found.where((F.col("id") > F.col("m.id")) & close(F.col("n"), F.col("m.n")))
-    star = stage(star.select(F.col("id").alias("u"), F.col("m.id").alias("v")).distinct(), "near-star")
-    links = similar_pairs(star, sets, shingle, num, den)
-    edges = components(links)
-    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    found = stage(found.join(roots, "id", "left").select("id", "n", "h", F.coalesce("root", "id").alias("root")), "near-rooted")
-    a, b = (found.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "root")]) for s in "ab")
-    rest = a.join(b, "h").where("id_a > id_b and root_a <> root_b").where(close(F.col("n_a"), F.col("n_b")))
-    rest = rest.select(F.col("id_a").alias("u"), F.col("id_b").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-    links = links.unionByName(similar_pairs(stage(rest, "near-rest"), sets, shingle, num, den))
-    kept = firsts.join(components(links), F.col("id") == F.col("u"), "left_anti").select(F.col("id").alias("_kept"))
-    return docs.join(kept, docs[key] == F.col("_kept"), "left_semi").select(*columns)
+    (kept,) = fresh(docs, "_kept")
+    rows = docs.select(F.col(key).alias("id"), text_of(docs, text).cast("binary").alias("text"))
+    every = stage(shingle_sets(rows, shingle), "near-sets")
+    firsts = stage(every.groupBy("digest", "fp").agg(F.min("id").alias("id")).select("id", "fp"), "near-firsts")
+    sets = stage(every.select("id", "h").join(firsts.select("id"), "id", "left_semi"), "near-distinct")
+    unstage(every)
+    found = stage(prefixes(sets, *frequent_shingles(sets, firsts.count()), num, den), "near-prefixes")
+    pairs = stage(_print_pairs(firsts).unionByName(_centres(found, num, den)).distinct(), "near-pairs")
+    linked = similar_pairs(pairs, sets, num, den)
+
+    roots = components(linked).select(F.col("u").alias("id"), F.col("v").alias("root"))
+    found = found.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    found = stage(found.withColumn("low", F.col("i") <= F.col("n") - _needed(F.col("n"), F.col("n"), num, den)), "near-rooted")
+    # Of a pair the set with fewer shingles, which may be either of equal ones, needs its shorter prefix only.
+    sides = [{c: F.col(f"{c}_{s}") for c in ("id", "n", "i", "root")} for s in "ab"]
+    a, b = (t.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "i", "root")]) for t, s in ((found, "a"), (found.where("low"), "b")))
+    other = (sides[0]["root"] != sides[1]["root"]) & (sides[1]["n"] <= sides[0]["n"]) & _meets(*sides, num, den)
+    rest = a.join(b, "h").where(other).select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct()
+    rest = stage(rest.join(pairs, ["u", "v"], "left_anti"), "near-rest")
+    linked = linked.unionByName(similar_pairs(rest, sets, num, den))
+    others = components(linked).select(F.col("u").alias(kept))
+    out = docs.join(stage(firsts.select(F.col("id").alias(kept)).join(others, kept, "left_anti"), "near-kept"), F.col(key) == F.col(kept), "left_semi")
+    unstage(found, pairs, rest, sets)
+    return out.select(*columns)

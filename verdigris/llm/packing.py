@@ -6,9 +6,12 @@ the sum of the squared counts of partially filled windows is smallest. Only that
 level is looked at, so placing costs O(window) whatever has come before.
 
 Every task packs its own split and needs no shuffle. A window that is full is written at once. At the end of a
-split, or when MAX_OPEN windows stand open, the open windows are emptied one into the other, cutting documents
-where a window ends; the rest of the split goes into sequences whose lengths are powers of two, which need
-no padding.
+split the open windows are emptied one into the other, cutting documents where a window ends; the rest of the split
+goes into sequences whose lengths are powers of two, which need no padding. The rule leaves few windows open unless
+hardly any two remainders fit together; even then they hold no more than the remainders of the split, 4 bytes an id.
+
+Rows that come in an order that matters, such as a curriculum written as range-sorted files, are packed file by file
+(`written_order`): sequence ids then rise with the order.
 
 Tokens come from a cache of ids by word: the tokenizer splits at blanks and line ends whatever stands around
 them, so a text's ids are those of its words one after the other. The cache is bounded; what it forgets
@@ -21,6 +24,7 @@ repeat a doc_id are documents of their own; an empty table gives no rows; other
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -28,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -36,8 +40,8 @@ from .common import text_of
 WINDOW = 4096
 #: Follows every document.
 END = 2
-#: Open windows of a task at most; each holds at most WINDOW ids of 4 bytes.
-MAX_OPEN = 4096
+#: Bits of a sequence id that count the sequences of a part.
+PART_BITS = 24
 #: Words whose ids a task remembers.
 CACHED_WORDS = 400_000
 #: Ends the last token of a word.
@@ -142,7 +146,8 @@ def lowered(text: str) -> str:
 class Packer:
     """Places pieces; `take` and `finish` return (sequence number, pieces) of closed sequences."""
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN) -> None:
+    def __init__(self, window: int = WINDOW, max_open: int | None = None) -> None:
+        """With max_open, windows are emptied whenever more stand open; the operator sets none."""
         self.window, self.max_open, self.next, self.open = window, max_open, 0, 0
         #: Number of open windows per fill level, and these windows' pieces.
         self.counts = np.zeros(window + 1, np.int64)
@@ -187,7 +192,7 @@ class Packer:
                 self.levels[level + size].append(pieces)
                 self.counts[level + size] += 1
                 self.open += 1
-                if self.open > self.max_open:
+                if self.max_open is not None and self.open > self.max_open:
                     yield from self.drain(False)
 
     def drain(self, last: bool) -> Iterator[tuple[int, list]]:
@@ -235,7 +240,7 @@ class Packer:
         yield from self.drain(True)
 
 
-def _rows(closed: Iterable[tuple[int, list]], first: int) -> Iterator[pa.RecordBatch]:
+def _rows(closed: Iterable[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
     columns: list[list] = [[] for _ in range(8)]
     names = [f.strip().split()[0].strip("`") for f in PIECES.split(",")]
 
@@ -246,7 +251,7 @@ def _rows(closed: Iterable[tuple[int, list]], first: int) -> Iterator[pa.RecordB
         tokens, at = sum(len(ids) for _, _, ids in pieces) // 4, 0
         for (doc, n), start, ids in pieces:
             length = len(ids) // 4
-            for c, x in zip(columns, (doc, start, length, zlib.crc32(ids), n, first + number, at, tokens)):
+            for c, x in zip(columns, (doc, start, length, zlib.crc32(ids), n, number, at, tokens)):
                 c.append(x)
             at += length
         if len(columns[0]) > 50_000:
@@ -268,24 +273,51 @@ def _worker_ids(tokenizer_path: str, cached: int) -> WordIds:
 _WORKER: dict = {}
 
 
-def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def written_order(docs: DataFrame) -> Column | None:
+    """For rows read from files that one write has numbered: a number that rises with the file and the place of a split
+    in it, for `part`. None for any other rows."""
+    found = [re.search(r"/part-(\d+)-[^/]*-c000\.[^/]*$", f) for f in docs.inputFiles()]
+    numbers = {int(m[1]) for m in found if m}
+    if not found or len(numbers) < len(found) or max(numbers) >= 1 << 19:
+        return None
+    about = docs.metadataColumn("_metadata")
+    number = F.regexp_extract(about["file_name"], r"^part-(\d+)-", 1).cast("long")
+    return F.shiftleft(number, 20) + F.shiftright(about["file_block_start"], 16)
+
+
+def pack(
+    docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, part: Column | None = None
+) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and
-    sequence_tokens. Sequence ids hold the number of the task in their upper bits."""
+    sequence_tokens. Neighbouring rows of one `part` (a number of at most 39 bits) are packed together, others never, and sequence ids
+    hold it in their upper bits; without it, the number of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = _worker_ids(tokenizer_path, CACHED_WORDS), Packer(window)
         end = np.array([END], "<u4").tobytes()
+        task = TaskContext.get().partitionId()
 
         def closed() -> Iterator[tuple[int, list]]:
+            nonlocal packer
+            at = None
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
-                    for doc, ids in zip(part.column(0).to_pylist(), words.of(part.column(1).to_pylist())):
+                    some = batch.slice(i, 256)
+                    for doc, mine, ids in zip(some.column(0).to_pylist(), some.column(2).to_pylist(), words.of(some.column(1).to_pylist())):
+                        mine = task if mine is None else mine
+                        if mine != at:
+                            yield from numbered(at, packer.finish())
+                            at, packer = mine, Packer(window)
                         ids += end
-                        yield from packer.take((doc, len(ids) // 4), ids)
-            yield from packer.finish()
+                        yield from numbered(at, packer.take((doc, len(ids) // 4), ids))
+            yield from numbered(at, packer.finish())
+
+        def numbered(at: int | None, found: Iterator[tuple[int, list]]) -> Iterator[tuple[int, list]]:
+            for number, pieces in found:
+                yield ((at or 0) << PART_BITS) + number, pieces
 
-        return _rows(closed(), TaskContext.get().partitionId() << 32)
+        return _rows(closed())
 
-    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"))
+    of_part = F.lit(None).cast("long") if part is None else part.cast("long")
+    body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"), of_part.alias("part"))
     return body.mapInArrow(run, PIECES)

@@ -52,7 +52,7 @@ def _at(what: bytes, kind: int) -> int:
 def _word(word: bytes) -> bytes:
     """Coordinates of a word's letters and of its shape; 0: it has no shape worth a word."""
     core = word.strip(_EDGE)
-    marks = word.replace(core, b" ") if core else word[:4]
+    marks = word.replace(core, b" ") if core else word
     shape = (b"A" if len(core) > 2 and core.isupper() else b"") + (b"" if marks in (b" ", b" .", b" ,") else marks)
     return struct.pack("<HH", _at(core.lower(), 1), _at(shape, 2) if shape else 0)
 

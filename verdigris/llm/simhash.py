@@ -17,7 +17,7 @@ stay one to one; an empty table gives no rows; columns other than the two used d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, stage, text_of, with_row_key
+from .common import fresh, stage, text_of, with_row_key
 
 SHINGLE = 3
 SEED = 42
@@ -38,22 +38,35 @@ TASK_ROWS = 500_000
 CHUNK = 1 << 18
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """The XXH64 digests (8 bytes each, highest first) of the text's word shingles in their order, repeats included, by the
+    chunk; one of all words if there are fewer, none if there is no word."""
     words = text.lower().split()  # of bytes: A-Z only, and [\x20\x09-\x0D]
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        yield np.frombuffer(digest(joined, seed), np.uint8).reshape(1, 8)
+        return
     blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = np.concatenate(([0], blanks[: len(words) - shingle] + 1)).tolist()
     ends = np.concatenate((blanks[shingle - 1 :], [len(joined)])).tolist()
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, np.int64)
     for i in range(0, len(starts), 65536):
         pairs = zip(starts[i : i + 65536], ends[i : i + 65536])
-        hashes = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in pairs]), np.uint8)
-        counts += np.unpackbits(hashes.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
+        yield np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in pairs]), np.uint8).reshape(-1, 8)
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """The number whose bits are those set in over half of the digests; zero without digests."""
+    counts, n = np.zeros(64, np.int64), 0
+    for digests in chunks:
+        counts += np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(digests)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big") if n else 0
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def _fingerprints(text: pa.Array) -> pa.Array:
@@ -208,7 +221,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """One row per document: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id
     that links of at most BUDGET differing bits reach."""
     rows = stage(fingerprints(docs, text, doc_id), "simhash-prints")
-    groups = stage(rows.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")), "simhash-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+    groups = stage(rows.groupBy("fp").agg(first.alias("first")), "simhash-groups")
     edges = components(stage(links(groups, groups.count()), "simhash-links"))
     members = edges.select(F.col("u").alias("fp"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("fp"), F.col("v").alias("root")).distinct()
@@ -219,7 +233,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return rows.join(stage(of_print, "simhash-components"), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("component") != NO_ID, F.col("component")).alias("component_id"),
+        F.col("component.id").alias("component_id"),
     )
 
 
@@ -228,5 +242,6 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     have none, the first by a row number."""
     columns = docs.columns
     docs, key = with_row_key(docs, doc_id)
+    (kept,) = fresh(docs, "_kept")
     found = near_duplicates(docs, text, key).where(F.col("doc_id") == F.col("component_id"))
-    return docs.join(found.select(F.col("doc_id").alias("_kept")), docs[key] == F.col("_kept"), "left_semi").select(*columns)
+    return docs.join(found.select(F.col("doc_id").alias(kept)), F.col(key) == F.col(kept), "left_semi").select(*columns)
