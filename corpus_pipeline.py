@@ -22,7 +22,8 @@ def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, similarity of at least 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near-duplicates the document with the smallest doc_id stays: SimHash links of 5-word shingles, verified by
+    a similarity of at least 0.8 and completed by what no number of differing bits holds."""
     return near_dedup.keep_first(docs)
 
 
@@ -32,14 +33,15 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents by sequence; a document that the mix takes twice is packed twice."""
-    return packing.pack(docs, tokenizer_path())
+    """Pieces of documents by sequence, in the order that the stage before has written; a document that the mix takes twice
+    is packed twice."""
+    return packing.pack(docs, tokenizer_path(), part=packing.written_order(docs))
 
 
 STAGES = [
     ("quality rules", _quality_rules),
     ("line dedup", _line_dedup),
-    ("near-dedup", _near_dedup),
+    ("SimHash near-dedup", _near_dedup),
     ("mixing", _mixing),
     ("packing", _packing),
 ]
