@@ -128,17 +128,29 @@ def prefixes(sets: DataFrame, known: np.ndarray, count: np.ndarray, num: int, de
     return sets.select("id", first("h").alias("p")).select("id", "p.n", F.posexplode("p.h").alias("i", "h"))
 
 
-def _centres(found: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): documents and the centres that they share a shingle with."""
-    mine = {c: F.col(c) for c in ("n", "i")}
+def _with_centres(found: DataFrame) -> DataFrame:
+    """The rows whose shingle another document has too, with the centres `c` of that shingle."""
     order = [F.col("id"), *[F.xxhash64("id", F.lit(k)) for k in range(1, CENTRES)]]
     row = F.struct("id", "n", "i")
     least = found.groupBy("h").agg(F.array(*[F.min_by(row, o) for o in order]).alias("c"), F.count("*").alias("k")).where("k > 1")
-    shared = found.join(stage(least.select("h", "c"), "near-centres"), "h").select("id", "n", "i", F.explode(F.array_distinct("c")).alias("c"))
-    near = shared.where((F.col("id") != F.col("c.id")) & _meets(mine, {c: F.col(f"c.{c}") for c in ("n", "i")}, num, den))
+    return found.join(stage(least.select("h", "c"), "near-centres"), "h")
+
+
+def _centre_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): documents and the centres that they share a shingle with."""
+    shared = shared.select("id", "n", "i", F.explode(F.array_distinct("c")).alias("c"))
+    mine, theirs = ({c: F.col(p + c) for c in ("n", "i")} for p in ("", "c."))
+    near = shared.where((F.col("id") != F.col("c.id")) & _meets(mine, theirs, num, den))
     return near.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v"))
 
 
+def _near_roots(linked: DataFrame) -> DataFrame:
+    """(id, root): a document that every linked one is connected with, two steps down. Equal roots mean connected."""
+    down = stage(linked.groupBy("u").agg(F.min("v").alias("v")), "near-down")
+    two = down.join(down.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left")
+    return two.select(F.col("u").alias("id"), F.coalesce("w", "v").alias("root"))
+
+
 def _print_pairs(firsts: DataFrame) -> DataFrame:
     """(u, v): documents of one fingerprint with the first of them, and the firsts of linked fingerprints."""
     groups = stage(firsts.groupBy("fp").agg(F.min("id").alias("id")), "near-prints")
@@ -161,12 +173,13 @@ def keep_first(
     firsts = stage(every.groupBy("digest", "fp").agg(F.min("id").alias("id")).select("id", "fp"), "near-firsts")
     sets = stage(every.select("id", "h").join(firsts.select("id"), "id", "left_semi"), "near-distinct")
     unstage(every)
-    found = stage(prefixes(sets, *frequent_shingles(sets, firsts.count()), num, den), "near-prefixes")
-    pairs = stage(_print_pairs(firsts).unionByName(_centres(found, num, den)).distinct(), "near-pairs")
+    first_ones = stage(prefixes(sets, *frequent_shingles(sets, firsts.count()), num, den), "near-prefixes")
+    shared = stage(_with_centres(first_ones), "near-shared")
+    unstage(first_ones)
+    pairs = stage(_print_pairs(firsts).unionByName(_centre_pairs(shared, num, den)).distinct(), "near-pairs")
     linked = similar_pairs(pairs, sets, num, den)
 
-    roots = components(linked).select(F.col("u").alias("id"), F.col("v").alias("root"))
-    found = found.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    found = shared.drop("c").join(_near_roots(linked), "id", "left").withColumn("root", F.coalesce("root", "id"))
     found = stage(found.withColumn("low", F.col("i") <= F.col("n") - _needed(F.col("n"), F.col("n"), num, den)), "near-rooted")
     # Of a pair the set with fewer shingles, which may be either of equal ones, needs its shorter prefix only.
     sides = [{c: F.col(f"{c}_{s}") for c in ("id", "n", "i", "root")} for s in "ab"]
@@ -177,5 +190,5 @@ def keep_first(
     linked = linked.unionByName(similar_pairs(rest, sets, num, den))
     others = components(linked).select(F.col("u").alias(kept))
     out = docs.join(stage(firsts.select(F.col("id").alias(kept)).join(others, kept, "left_anti"), "near-kept"), F.col(key) == F.col(kept), "left_semi")
-    unstage(found, pairs, rest, sets)
+    unstage(shared, found, pairs, rest, sets)
     return out.select(*columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, text_of, with_row_key
+from .common import fresh, stage, text_of, unstage, with_row_key
 
 SHINGLE = 3
 SEED = 42
@@ -207,14 +207,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, or only edges up: then its neighbour down is the smallest of its component."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("down")))
+    nodes = ends.groupBy("x").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return nodes.where((F.col("down") > 1) | (F.col("down") == 1) & (F.col("least") == 0)).limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): every node that has an edge, and the smallest node it is connected with, itself apart."""
-    state, edges = None, stage(_small_star(edges), "simhash-edges")
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
-            return edges
-        state, edges = now, stage(_small_star(_large_star(edges)), "simhash-edges")
+    edges = stage(_small_star(edges), "simhash-edges")
+    while not _are_stars(edges):
+        before, edges = edges, stage(_small_star(_large_star(edges)), "simhash-edges")
+        unstage(before)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
