@@ -70,7 +70,7 @@ WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctb
   'department_id', department_id, 'job_id', job_id)) AS VARCHAR) AS raw_payload FROM dirtied""",
     "rejection_breakdown": f"{_FACTS} SELECT 'hired_employees' AS table_name, reason AS rejection_reason, COUNT(*) AS n FROM refused GROUP BY 1, 2",
     "dimension_validate": f"WITH {_NATIONS} SELECT id, department, reason FROM judged",
-    "union_sources": f"{_FACTS} SELECT id, name, job_id, source_file FROM dirtied WHERE id IS NOT NULL",
+    "union_sources": f"{_FACTS} SELECT id, name, job_id, source_file FROM dirtied",
     "rejected_union": f"""{_FACTS}, {_NATIONS} SELECT 'departments' AS table_name, COUNT(*) AS n FROM judged WHERE reason <> ''
 UNION ALL SELECT 'hired_employees', COUNT(*) FROM refused""",
     "layer_counts": f"""{_FACTS} SELECT 'bronze' AS table_name, COUNT(*) AS row_count FROM dirtied
@@ -104,4 +104,17 @@ UNION ALL SELECT o_orderkey, o_custkey + 1, 'update_postimage', 1 FROM orders WH
     "table_history": "SELECT CAST(1 AS BIGINT) AS version, 'MERGE' AS operation UNION ALL SELECT 0, 'CREATE'",
     "replace_by_source_file": f"""{_FACTS} SELECT id, name, source_file FROM dirtied WHERE source_file = 'orders_1998_01_01.csv'
 UNION ALL SELECT id, 'it''s new', source_file FROM dirtied WHERE source_file = 'orders_1998_01_02.csv' AND id % 2 = 0""",
+    "silver_load": f"{_FACTS} SELECT id, name, hire_datetime, department_id, job_id, CAST(0 AS BIGINT) AS version FROM tagged WHERE rank = 1",
+    "audit_load": f"{_FACTS} SELECT 'hired_employees' AS table_name, reason AS rejection_reason, COUNT(*) AS n FROM refused GROUP BY 1, 2",
+    "table_exists": 'SELECT false AS "before", true AS "after"',
+    "table_properties": "SELECT CAST(0 AS BIGINT) AS version, 'audit' AS owner, 'true' AS change_feed",
+    "registered_view": f"WITH {_MERGED} SELECT * FROM merged",
+    "sql_time_travel": "SELECT COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s FROM orders WHERE o_orderkey % 2 = 0",
+    "sql_changes": """SELECT 'insert' AS _change_type, COUNT(*) AS n FROM orders WHERE o_orderkey % 2 = 1
+UNION ALL SELECT 'update_preimage', COUNT(*) FROM orders WHERE o_orderkey % 6 = 0
+UNION ALL SELECT 'update_postimage', COUNT(*) FROM orders WHERE o_orderkey % 6 = 0""",
+    "sql_history": "SELECT CAST(1 AS BIGINT) AS version, 'MERGE' AS operation UNION ALL SELECT 0, 'CREATE'",
+    "saved_table": "SELECT * FROM nation",
+    "gold_rebuild": f"WITH {_LOCATED} {_PIVOT}",
+    "in_memory_source": "SELECT r_name, label FROM region JOIN (VALUES (0, 'none'), (1, 'one'), (2, NULL)) AS t(k, label) ON r_regionkey = k",
 }
