@@ -88,3 +88,70 @@ def test_merges_are_dictionary_updates(spark, tmp_path_factory, batches):
             if r._change_type in ("insert", "update_postimage"):
                 before[r.k] = r.v
         assert before == state
+
+
+@pytest.mark.parametrize("write", ["merge", "replace"])
+def test_keys_of_another_type_fall_into_the_same_buckets(spark, made, write):
+    made.merge(spark.range(100).select(F.col("id").alias("k"), F.lit(0).alias("v")), ["k"])
+    five = spark.createDataFrame([(x, 1) for x in (3, 14, 15, 92, 65)], "k int, v long")
+    assert made.merge(five, ["k"]) == 1 if write == "merge" else made.replace_by_key(five) == 1
+    found = {r.k: r.v for r in made.read().collect()}
+    assert found == {k: int(k in (3, 14, 15, 92, 65)) for k in range(100)}
+    assert made.read().schema == made.as_of(0).schema
+
+
+def test_rows_that_do_not_fit_are_refused(spark, made):
+    made.merge(spark.createDataFrame([(1, "a", 1)], SCHEMA), ["k"])
+    with pytest.raises(ValueError, match="lack"):
+        made.merge(spark.createDataFrame([(1,)], "k int"), ["k"])
+    with pytest.raises(Exception, match="CAST|OVERFLOW"):
+        made.merge(spark.createDataFrame([(1 << 40, "a", 1)], "k long, l string, v int"), ["k"])
+    with pytest.raises(ValueError, match="keys"):
+        made.merge(spark.createDataFrame([(1, "a", 1)], SCHEMA), ["l"])
+    assert made.version() == 0 and made.read().count() == 1
+
+
+def test_a_writer_lost_before_its_commit_leaves_no_version(spark, made, monkeypatch):
+    made.merge(spark.createDataFrame([(1, "a", 1)], SCHEMA), ["k"])
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(made, "_move", lost)
+        with pytest.raises(RuntimeError):
+            made.merge(spark.createDataFrame([(2, "a", 1)], SCHEMA), ["k"])
+    assert made.version() == 0 and made.read().count() == 1
+    assert made.merge(spark.createDataFrame([(2, "a", 1)], SCHEMA), ["k"]) == 1 and made.read().count() == 2
+
+
+def test_a_table_gets_more_buckets_as_it_grows(spark, made, monkeypatch):
+    monkeypatch.setattr("verdigris.sources.versioned.ROWS_PER_BUCKET", 10)
+    made.merge(spark.createDataFrame([(1, "a", 1)], SCHEMA), ["k"])
+    assert made.entry()["n_buckets"] == 16
+    made.merge(spark.range(2000).select(F.col("id").cast("int").alias("k"), F.lit("b").alias("l"), F.lit(0).alias("v")), ["k"])
+    assert made.entry()["n_buckets"] == 256 and made.read().count() == 2000
+    made.merge(spark.createDataFrame([(7, "c", 1)], SCHEMA), ["k"])
+    old, new = made.entry(1)["buckets"], made.entry(2)["buckets"]
+    assert sum(old[b] != new[b] for b in new) == 1 and made.read().count() == 2000
+    assert {r._change_type for r in made.changes(2).collect()} == {"update_preimage", "update_postimage"}
+
+
+def test_views_follow_and_sql_sees_versions(spark, made):
+    from verdigris.plans.sqlrun import run_sql
+
+    made.merge(spark.createDataFrame([(1, "a", 1)], SCHEMA), ["k"])
+    made.register("versioned_test", "followed")
+    made.merge(spark.createDataFrame([(1, "a", 2), (2, "b", 3)], SCHEMA), ["k"])
+    assert spark.table("versioned_test.followed").count() == 2
+    assert [r.operation for r in run_sql(spark, "DESCRIBE HISTORY versioned_test.followed").collect()] == ["MERGE", "CREATE"]
+    assert run_sql(spark, "SELECT v, 'x VERSION AS OF 1' AS t FROM versioned_test.followed VERSION AS OF 0").first().v == 1
+    kinds = run_sql(spark, "SELECT _change_type AS t FROM table_changes('versioned_test.followed', 1) ORDER BY 1").collect()
+    assert [r.t for r in kinds] == ["insert", "update_postimage", "update_preimage"]
+
+
+def test_vacuum_keeps_the_latest_versions(spark, made):
+    for v in range(3):
+        made.merge(spark.createDataFrame([(k, "a", v) for k in range(40)], SCHEMA), ["k"])
+    assert made.vacuum(keep=1) == 2 and made.vacuum(keep=1) == 0
+    assert rows(made.read().select("v").distinct()) == [(2,)]

@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from ..context import Paths, RunContext
 from ..operators import checks, metrics
 from ..operators.validate import REJECTED_KEYS, EntitySpec, ForeignKey, clean, dimension_spec, event_spec, rejected, stamp, tag, union_all
+from ..sources.catalog import rebuild_table
 from ..sources.files import csv_source, json_pages, page_records
 from ..sources.versioned import VersionedTable
 
@@ -44,8 +45,12 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class Lakehouse:
+    """An audit keeps every rejection; with forget_resolved those that no longer hold go, so that counts reconcile
+    after corrections too."""
+
     spark: SparkSession
     paths: Paths
+    forget_resolved: bool = False
 
     def table(self, layer: str, name: str) -> VersionedTable:
         return VersionedTable(self.spark, self.paths.table(layer, name))
@@ -93,7 +98,7 @@ class Lakehouse:
             old_or_new = lambda old, c: F.coalesce(F.col(f"k.{old}"), F.col(f"n.{c}")).alias(c)
             renewed = {"rejection_timestamp": "_at", "batch_id": "_batch", "raw_payload": "_raw"}
             records = new.select(*[old_or_new(renewed[c], c) if c in renewed else F.col(f"n.{c}") for c in records.columns])
-        audit.merge(records, list(REJECTED_KEYS), delete_unmatched=True, skip_unchanged=True)
+        audit.merge(records, list(REJECTED_KEYS), delete_unmatched=self.forget_resolved, skip_unchanged=True)
         audit.register("silver", "rejected_records")
 
     # Gold
@@ -116,10 +121,7 @@ class Lakehouse:
         """Rebuild the managed tables gold.<metric>_<year>."""
         self.spark.sql("CREATE SCHEMA IF NOT EXISTS gold")
         for name, df in self.gold_frames(year).items():
-            df.createOrReplaceTempView("_gold_rows")
-            self.spark.sql(f"DROP TABLE IF EXISTS gold.{name}")
-            self.spark.sql(f"CREATE TABLE gold.{name} USING parquet COMMENT 'Rebuilt for {year}' AS SELECT * FROM _gold_rows")
-            self.spark.catalog.dropTempView("_gold_rows")
+            rebuild_table(self.spark, f"gold.{name}", df, f"Rebuilt for {year}")
 
     def gold_frames(self, year: int) -> dict[str, DataFrame]:
         return {

@@ -3,10 +3,19 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.versioned import registered
+
+#: What versioned tables add to SQL: a version of a registered table, its changes, its history.
+_NAME = r"([\w`]+(?:\.[\w`]+)*)"
+_VERSION = re.compile(rf"{_NAME}\s+(?:FOR\s+)?VERSION\s+AS\s+OF\s+(\d+)", re.IGNORECASE)
+_CHANGES = re.compile(r"\btable_changes\(\s*'([^']+)'\s*,\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)", re.IGNORECASE)
+_HISTORY = re.compile(rf"DESCRIBE\s+HISTORY\s+{_NAME}(?:\s+LIMIT\s+(\d+))?", re.IGNORECASE)
+
 #: What hides a semicolon: quoted text with doubled or escaped quotes, quoted names, comments.
 _TOKEN = re.compile(
     r"""(?P<text>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`)|(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<end>;)|(?P<plain>[^;'"`/-]+|.)""",
@@ -28,13 +37,37 @@ def statements(text: str) -> Iterator[str]:
         yield statement
 
 
+def run_statement(spark: SparkSession, statement: str, args: dict | None = None) -> DataFrame:
+    """One statement. `DESCRIBE HISTORY t`, `t VERSION AS OF n` and `table_changes('t', first, last)` speak of views that
+    a versioned table has registered; inside a statement they are looked for outside of quoted text only."""
+    if told := _HISTORY.fullmatch(statement):
+        found = registered(spark, told[1]).history()
+        return found.limit(int(told[2])) if told[2] else found
+
+    def view(df: DataFrame) -> str:
+        name = f"_verdigris_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(name)
+        return name
+
+    def changes(m: re.Match) -> str:
+        return view(registered(spark, m[1]).changes(int(m[2]), int(m[3]) if m[3] else None))
+
+    quoted = [m.span() for m in _TOKEN.finditer(statement) if m.lastgroup == "text" and m[0][0] != "`"]
+    plain = lambda m: not any(a <= m.start() < b for a, b in quoted)
+    for pattern, make in ((_CHANGES, changes), (_VERSION, lambda m: view(registered(spark, m[1]).as_of(int(m[2]))))):
+        if pattern is _VERSION:
+            quoted = [m.span() for m in _TOKEN.finditer(statement) if m.lastgroup == "text" and m[0][0] != "`"]
+        statement = pattern.sub(lambda m, make=make: make(m) if plain(m) else m[0], statement)
+    return spark.sql(statement, args=args) if args else spark.sql(statement)
+
+
 def run_sql(spark: SparkSession, text: str, args: dict | None = None, verbose: bool = False) -> DataFrame | None:
     """Run all statements; the last one's result, None if there is none. `:name` in a statement takes its
     value from args."""
     result = None
     for statement in statements(text):
         used = {k: v for k, v in (args or {}).items() if re.search(rf":{re.escape(k)}\b", statement)}
-        result = spark.sql(statement, args=used) if used else spark.sql(statement)
+        result = run_statement(spark, statement, used)
         if verbose:
             result.show(truncate=False)
     return result

@@ -2,10 +2,14 @@
 
 A table is a folder with a log of versions, `_log/<n>.json`, and data folders. Rows are dealt into buckets by a hash
 of the table's keys. A version names the data folder of every bucket; a commit writes new folders for the
-buckets that it touches only and takes the others over, so a small upsert into a large table reads
-and writes a small part of it. A version exists once its log file does, and log files are created
-exclusively: of two writers one fails, and a reader never sees half a commit. Nothing that was
+buckets that its keys fall in and takes the others over. Tables get buckets by their size, and more as they grow, so
+what an upsert of few keys rewrites is bounded by its number of keys times ROWS_PER_BUCKET. A version exists once its
+log file does. That is written under another name and then moved into place, which fails if the place is taken: of two
+writers one fails, a writer that is lost leaves no version, and a reader never sees half a commit. Nothing that was
 written is overwritten.
+
+Rows that come in are cast to the table's schema before anything else, so keys of other types fall into the same buckets;
+a value that does not fit is an error.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-BUCKETS = 16
+#: Buckets of a small table, and rows of a bucket beyond which a table gets more.
+BUCKETS, ROWS_PER_BUCKET = 16, 250_000
 _BUCKET = "_bucket"
 
 
@@ -69,16 +74,31 @@ class VersionedTable:
     def _commit(self, version: int, entry: dict) -> int:
         path = self._log_path(version)
         body = json.dumps({"version": version, "timestamp": datetime.now(timezone.utc).isoformat(), **entry}).encode()
+        written = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_log/.{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(written, False)
+        stream.write(body)
+        stream.close()
         try:
-            stream = self._fs.create(path, False)
+            self._move(written, path)
         except Exception as e:
             if self._fs.exists(path):
                 raise ConcurrentCommit(f"version {version} of {self.path} is taken") from e
             raise
-        stream.write(body)
-        stream.close()
+        finally:
+            self._fs.delete(written, False)
+        self._follow()
         return version
 
+    def _move(self, written, path) -> None:
+        """Move a file to a place where none may be. A local rename would replace one, a link fails."""
+        fs = self._jvm.org.apache.hadoop.fs
+        if self._fs.getUri().getScheme() == "file":
+            at = [self._jvm.java.io.File(fs.Path.getPathWithoutSchemeAndAuthority(p).toString()).toPath() for p in (path, written)]
+            self._jvm.java.nio.file.Files.createLink(*at)
+            return
+        none = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+        fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(written, path, none)
+
     # Reading
 
     def _read(self, entry: dict, buckets: Sequence[int] | None = None) -> DataFrame:
@@ -132,6 +152,18 @@ class VersionedTable:
     def _bucket(self, keys: Sequence[str], n: int) -> Column:
         return F.pmod(F.xxhash64(*keys) if keys else F.xxhash64(F.lit(0)), F.lit(n)).cast("int")
 
+    def _fit(self, df: DataFrame, entry: dict) -> DataFrame:
+        """df in the table's schema, staged: it is computed once, however often a commit reads it."""
+        schema = StructType.fromJson(entry["schema"])
+        if missing := [f.name for f in schema.fields if f.name.lower() not in {c.lower() for c in df.columns}]:
+            raise ValueError(f"rows for {self.path} lack {missing}")
+        folder = f"{self.path}/_staged/{uuid.uuid4().hex}"
+        df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]).write.parquet(folder)
+        return self.spark.read.schema(schema).parquet(folder)
+
+    def _unstage(self) -> None:
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_staged"), True)
+
     def _write(self, df: DataFrame, keys: Sequence[str], n: int, version: int, buckets: Sequence[int] | None = None) -> tuple[dict, int]:
         """Write rows by bucket; returns the folders of the buckets that have rows, and the number of rows."""
         folder = f"data/v{version}-{uuid.uuid4().hex}"
@@ -143,28 +175,46 @@ class VersionedTable:
         found = {x.split("=")[1]: f"{folder}/{x}" for x in names if x.startswith(f"{_BUCKET}=")}
         return found, seen.get["rows"]
 
-    def create(self, df: DataFrame, keys: Sequence[str], properties: dict | None = None, buckets: int = BUCKETS, unique: bool = False) -> int:
-        """Version 0. Properties and the number of buckets are set here and then stay."""
-        folders, rows = self._write(df, keys, buckets, 0)
-        return self._commit(0, {
-            "operation": "CREATE", "parameters": {}, "metrics": {"rows": rows}, "keys": list(keys), "n_buckets": buckets, "unique": unique,
-            "properties": properties or {}, "schema": json.loads(df.schema.json()), "buckets": folders,
-        })
-
-    def _next(self, entry: dict, operation: str, parameters: dict, df: DataFrame, touched: Sequence[int], metrics: Callable[[], dict]) -> int:
-        version = entry["version"] + 1
-        folders, rows = self._write(df, entry["keys"], entry["n_buckets"], version)
-        kept = {b: d for b, d in entry["buckets"].items() if int(b) not in touched}
-        return self._commit(version, {**entry, "version": version, "timestamp": datetime.now(timezone.utc).isoformat(), "operation": operation,
+    def create(self, df: DataFrame, keys: Sequence[str], properties: dict | None = None, buckets: int | None = None, unique: bool = False) -> int:
+        """Version 0. Properties are set here and then stay."""
+        entry = {"keys": list(keys), "unique": unique, "properties": properties or {}, "schema": json.loads(df.schema.json())}
+        df = self._fit(df, entry)
+        n = buckets or _buckets_for(df.count())
+        folders, rows = self._write(df, keys, n, 0)
+        version = self._commit(0, {"operation": "CREATE", "parameters": {}, "metrics": {"rows": rows}, "n_buckets": n, **entry, "buckets": folders, "rows": rows})
+        self._unstage()
+        return version
+
+    def _next(
+        self, entry: dict, operation: str, parameters: dict, df: DataFrame, touched: Sequence[int], metrics: Callable[[], dict], n: int | None = None
+    ) -> int:
+        """Commit df as the new rows of the touched buckets; with n, of all, dealt into n buckets."""
+        version, n = entry["version"] + 1, n or entry["n_buckets"]
+        folders, rows = self._write(df, entry["keys"], n, version)
+        whole = n != entry["n_buckets"] or len(touched) >= n
+        kept = {} if whole else {b: d for b, d in entry["buckets"].items() if int(b) not in touched}
+        if not whole and (stray := {int(b) for b in folders} - set(touched)):
+            raise AssertionError(f"rows of {self.path} fall into buckets {sorted(stray)} that were not read")
+        return self._commit(version, {**entry, "version": version, "timestamp": datetime.now(timezone.utc).isoformat(), "operation": operation, "n_buckets": n,
                                       "parameters": parameters, "metrics": {"rows_written": rows, **metrics()}, "buckets": kept | folders})
 
+    def _wider(self, entry: dict, more: int) -> int | None:
+        """A number of buckets for the table with so many rows more, if its own is far too small."""
+        known = self._read(entry).count() if entry["buckets"] else 0
+        n = _buckets_for(known + more)
+        return n if n > 2 * entry["n_buckets"] else None
+
     def _touched(self, df: DataFrame, entry: dict) -> list[int]:
         """Buckets of the rows' keys: at most the table's number of buckets."""
         return [r[0] for r in df.select(self._bucket(entry["keys"], entry["n_buckets"])).distinct().collect()]
 
     def overwrite(self, df: DataFrame) -> int:
         entry = self.entry()
-        return self._next(entry, "OVERWRITE", {}, df, range(entry["n_buckets"]), dict)
+        df = self._fit(df, entry)
+        n = max(entry["n_buckets"], _buckets_for(df.count()))
+        version = self._next(entry, "OVERWRITE", {}, df, range(n), dict, n)
+        self._unstage()
+        return version
 
     def replace_by_key(self, df: DataFrame, properties: dict | None = None, keys: Sequence[str] = ("source_file",)) -> int:
         """All rows of the keys that df holds give way to df's rows; other keys stay, new ones come.
@@ -172,13 +222,17 @@ class VersionedTable:
         if not self.exists():
             return self.create(df, keys, properties)
         entry = self.entry()
-        keys = entry["keys"]
-        touched = self._touched(df, entry)
+        df, keys = self._fit(df, entry), entry["keys"]
+        wider = self._wider(entry, df.count())
+        touched = list(range(entry["n_buckets"])) if wider else self._touched(df, entry)
         old = self._read(entry, touched)
-        theirs = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
-        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-        rows = old.join(theirs, same, "left_anti").unionByName(df.select(*old.columns))
-        return self._next(entry, "REPLACE", {"keys": keys}, rows, touched, dict)
+        own = [f"_k{i}" for i in range(len(keys))]
+        theirs = df.select(*[F.col(k).alias(o) for k, o in zip(keys, own)]).distinct()
+        same = reduce(Column.__and__, [old[k].eqNullSafe(theirs[o]) for k, o in zip(keys, own)])
+        rows = old.join(theirs, same, "left_anti").unionByName(df)
+        version = self._next(entry, "REPLACE", {"keys": keys}, rows, touched, dict, wider)
+        self._unstage()
+        return version
 
     def merge(
         self, df: DataFrame, keys: Sequence[str], properties: dict | None = None, delete_unmatched: bool = False, skip_unchanged: bool = False
@@ -186,39 +240,85 @@ class VersionedTable:
         """Upsert by keys, null-safe: rows of a known key take df's values, rows of new keys come, and with
         delete_unmatched rows of other keys go. Keys must be unique in df. With skip_unchanged no version is made
         (and None returned) if nothing changes."""
+        entry = self.entry() if self.exists() else None
+        if entry and list(keys) != entry["keys"]:
+            raise ValueError(f"{self.path} has the keys {entry['keys']}, not {list(keys)}")
+        df = self._fit(df, entry or {"schema": json.loads(df.schema.json())})
         repeated = df.groupBy(*keys).count().where("count > 1").limit(1).collect()
         if repeated:
+            self._unstage()
             raise RepeatedKeys(f"several source rows have the key {repeated[0].asDict()}")
-        if not self.exists():
+        if not entry:
             return self.create(df, keys, properties, unique=True)
-        entry = self.entry()
-        touched = list(range(entry["n_buckets"])) if delete_unmatched else self._touched(df, entry)
-        old = self._read(entry, touched)
-        pair = _side_by_side(old, df.select(*old.columns), entry["keys"])
+        wider = self._wider(entry, df.count())
+        touched = list(range(entry["n_buckets"])) if delete_unmatched or wider else self._touched(df, entry)
+        pair = _side_by_side(self._read(entry, touched), df, entry["keys"])
         fate = F.when(F.col("t").isNull(), "inserted").when(F.col("s").isNull(), "deleted" if delete_unmatched else "kept")
         pair = pair.withColumn("fate", fate.when(F.col("t").eqNullSafe(F.col("s")), "same").otherwise("updated"))
-        counts = {r[0]: r[1] for r in pair.groupBy("fate").count().collect()} if skip_unchanged else {}
-        if skip_unchanged and not {"inserted", "deleted", "updated"} & set(counts):
-            return None
-        seen = Observation()
-        n = lambda f: F.count(F.when(F.col("fate") == f, 1)).alias(f)
-        pair = pair.observe(seen, *[n(f) for f in ("inserted", "updated", "deleted")]).where("fate <> 'deleted'")
-        rows = pair.select(F.coalesce("s", "t").alias("r")).select("r.*")
-        return self._next(entry, "MERGE", {"keys": list(keys), "delete_unmatched": delete_unmatched}, rows, touched, lambda: dict(seen.get))
+        version = None
+        if not skip_unchanged or pair.where(F.col("fate").isin("inserted", "deleted", "updated")).limit(1).count():
+            seen = Observation()
+            n = lambda f: F.count(F.when(F.col("fate") == f, 1)).alias(f)
+            pair = pair.observe(seen, *[n(f) for f in ("inserted", "updated", "deleted")]).where("fate <> 'deleted'")
+            rows = pair.select(F.coalesce("s", "t").alias("r")).select("r.*")
+            version = self._next(entry, "MERGE", {"keys": list(keys), "delete_unmatched": delete_unmatched}, rows, touched, lambda: dict(seen.get), wider)
+        self._unstage()
+        return version
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Delete the data folders that none of the latest `keep` versions names; returns their number. Versions before
+        can't be read any more, their log stays."""
+        latest = self.version()
+        live = {d.split("/")[1] for v in range(max(0, latest - keep + 1), latest + 1) for d in self.entry(v)["buckets"].values()}
+        data = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/data")
+        gone = [f.getPath() for f in self._fs.listStatus(data) if f.getPath().getName() not in live] if self._fs.exists(data) else []
+        for path in gone:
+            self._fs.delete(path, True)
+        return len(gone)
 
     # SQL
 
     def register(self, schema: str, name: str) -> None:
-        """schema.name is a view of the latest version."""
-        entry = self.entry()
+        """schema.name becomes a view of the latest version, also of those that are committed later."""
         self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {schema}")
+        self._show(schema, name)
+        mark = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_views/{schema}.{name}")
+        self._fs.create(mark, True).close()
+
+    def _show(self, schema: str, name: str) -> None:
+        """Properties tell SQL statements where the table's other versions are."""
+        entry = self.entry()
         columns = StructType.fromJson(entry["schema"]).fields
         if entry["buckets"]:
             source = f"parquet.`{self.path}/{{{','.join(sorted(entry['buckets'].values()))}}}`"
             body = f"SELECT {', '.join(f'`{c.name}`' for c in columns)} FROM {source}"
         else:
             body = f"SELECT {', '.join(f'CAST(NULL AS {c.dataType.simpleString()}) AS `{c.name}`' for c in columns)} WHERE false"
-        self.spark.sql(f"CREATE OR REPLACE VIEW {schema}.{name} AS {body}")
+        self.spark.sql(f"CREATE OR REPLACE VIEW {schema}.{name} TBLPROPERTIES ('{PATH_PROPERTY}' = '{self.path}') AS {body}")
+
+    def _follow(self) -> None:
+        """Bring the registered views to the latest version."""
+        marks = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_views")
+        for f in self._fs.listStatus(marks) if self._fs.exists(marks) else []:
+            schema, _, name = f.getPath().getName().partition(".")
+            if name and not name.endswith(".crc") and self.spark.catalog.databaseExists(schema):
+                self._show(schema, name)
+
+
+#: The view property that holds the table's folder.
+PATH_PROPERTY = "verdigris.path"
+
+
+def registered(spark: SparkSession, name: str) -> VersionedTable:
+    """The table behind a registered view."""
+    found = {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    if PATH_PROPERTY not in found:
+        raise ValueError(f"{name} is no view of a versioned table")
+    return VersionedTable(spark, found[PATH_PROPERTY])
+
+
+def _buckets_for(rows: int) -> int:
+    return max(BUCKETS, 1 << max(0, -(-rows // ROWS_PER_BUCKET) - 1).bit_length())
 
 
 def _side_by_side(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
