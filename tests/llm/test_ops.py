@@ -265,6 +265,33 @@ def test_grants_without_the_word_license(text, labels):
     assert found[5] == labels and found[6] == 0.95
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("This program is free software: you can redistribute it and/or modify it", "gpl"), ("GPLv3", "gpl-3"), ("GPL-3.0-or-later", "gpl-3-or-later"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the "
+     "Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "gpl-2-or-later"),
+    ("Creative Commons Attribution 4.0 International License", "cc-by"), ("distributed under GPL 3.0", "gpl-3"), ("SPDX-License-Identifier: MIT", "mit"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"), ("under the ISC License", "isc"),
+    ("text is available under the Creative Commons Attribution-ShareAlike License", "cc-by-sa"), ("LGPL-2.1-or-later", "lgpl-2.1-or-later"),
+    ("This is free and unencumbered software released into the public domain.", "unlicense"), ("released under the PostgreSQL License", "postgresql"),
+    ("https://creativecommons.org/licenses/by-nc-nd/4.0/", "cc-by-nc-nd"), ("Tous droits réservés", "all-rights-reserved"), ("for non-commercial use only", "non-commercial-use"),
+    ("runs under the FreeBSD kernel", ""), ("works under the MIT Media Lab", ""), ("under the PostgreSQL server process", ""), ("he was granted permission to copy", ""),
+    ("a mit of wool", ""), ("the Apache tribe", ""), ("under the terms of the treaty", ""), ("distributed under the Python tree", ""), ("the rights are reserved seats", ""),
+    ("driving license", ""), ("available under the zlib headers", ""), ("see the gnu grazing", ""), ("by installing the pump you agree", ""),
+])
+def test_labelled_license_texts(text, labels):
+    assert licenses.scan(text.encode())[5] == labels
+
+
+def test_signatures_are_written_by_hand():
+    from verdigris.llm.license_rules import rules
+
+    written = rules()
+    assert len(written) > 300 and len({r[3] for r in written}) == len(written)
+    assert all(re.search("<[^>]+>", r[3]) and 0 < r[2] <= 1 for r in written)
+
+
 def a_match(parsed, rng):
     """A text that the parsed expression matches, by chance."""
     out = b""

@@ -6,10 +6,12 @@ once; the rules whose keywords are all there run. Of the places found, the highe
 then the longest, then the earliest; a place that lies inside an accepted one is suppressed. The phrases of
 BASE are always reported, whatever else is found.
 
-Rules come from the table of licenses and the table of phrasings below: every license in every phrasing.
+Most rules are written by hand (license_rules.py): bodies of licenses, notices, identifiers, grants, statements. Besides these
+every license of the table below is looked for by name in a few phrasings. A name that is also that of a program or an
+institute counts only with the word "license".
 
 Defined cases: a null or empty text has no words, no labels and score 0; a text without a detection has
-score 0; the rest of a row (null doc_id, repeated rows, other columns) is carried through; columns named
+score 0; the rest of a row (null doc_id, repeated rows, other columns of any name) is carried through; columns named
 like a result are replaced.
 """
 
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from . import license_rules
+from .common import fresh, text_of
 
 #: Phrases of words and their labels.
 BASE = (
@@ -78,7 +81,8 @@ LICENSES = {
 }
 
 #: Priority, confidence, keyword, phrasing. The keyword is in every text that the phrasing can match. {name} is
-#: one of the license's names with the word "license" left out or in where it may stand, {id} its identifier.
+#: one of the license's names, with the word "license" where it may stand or, unless the name is telling, must; {named} is the
+#: name with that word, {id} its identifier.
 PHRASINGS = (
     (60, 1.0, "spdx", "spdx license identifier {id}"),
     (50, 0.95, "under", "(?:licensed|released|distributed|available|published|provided)~under~(?:the~)?(?:terms~of~)?(?:the~)?{name}"),
@@ -88,15 +92,8 @@ PHRASINGS = (
     (30, 0.7, "licen", "{named}"),
 )
 
-#: Statements that aren't a license by name: label, priority, confidence, keyword, expression.
-STATEMENTS = (
-    ("all-rights-reserved", 55, 0.9, "rights", "all~rights~(?:are~)?reserved"),
-    ("public-domain", 55, 0.9, "domain", "(?:released|placed|dedicated|put)~(?:in|into|to)~the~public~domain"),
-    ("proprietary", 55, 0.8, "propriet", "proprietary~and~confidential"),
-    ("no-redistribution", 55, 0.8, "redistribut", "(?:may~not~be|do~not|no)~(?:copied~or~)?redistribut(?:ed?|ion)"),
-    ("personal-use", 55, 0.7, "personal", "for~personal~use~only"),
-    ("non-commercial-use", 55, 0.7, "commercial", "(?:for~)?non~?commercial~use~only"),
-)
+#: Names that say of themselves that they are licenses; so do names with a version.
+TELLING = ("gfdl", "wtfpl", "unlicense", "odbl", "odc by", "cc0")
 
 _WORD = rb"0-9a-z\x80-\xff"
 _GAP = "[^0-9a-z\\x80-\\xff]+"
@@ -117,7 +114,7 @@ class Signature:
 
 
 def _signature(label: str, priority: int, confidence: float, keywords: list[str], body: str, base: bool = False) -> Signature:
-    text = body.replace("~?", "(?:" + _GAP + ")?").replace("~", _GAP).replace(" ", _GAP)
+    text = body.replace("~?", " ?").replace("~", " ").replace(" ?", "(?:" + _GAP + ")?").replace(" ", _GAP)
     found = re.compile(b"(?<![" + _WORD + b"])" + text.encode("latin-1") + b"(?![" + _WORD + b"])")
     return Signature(label, priority, confidence, tuple(k.encode() for k in keywords), found, base)
 
@@ -136,6 +133,8 @@ def signatures() -> tuple[Signature, ...]:
     for label, (names, identifier) in LICENSES.items():
         for name in names.split("|"):
             free, must = _named(name)
+            if not (name in TELLING or name.startswith(("cc ", "creative commons")) or any(c.isdigit() for c in name)):
+                free = must
             rare = max(name.split(), key=len)
             for priority, confidence, keyword, phrasing in PHRASINGS:
                 if "{id}" in phrasing:
@@ -143,7 +142,8 @@ def signatures() -> tuple[Signature, ...]:
                         rules.append(_signature(label, priority, confidence, [max(identifier.split(), key=len), keyword], phrasing.replace("{id}", identifier)))
                 else:
                     rules.append(_signature(label, priority, confidence, [rare, keyword], phrasing.replace("{name}", free).replace("{named}", must)))
-    rules += [_signature(label, p, c, [k], body) for label, p, c, k, body in STATEMENTS]
+    for label, priority, confidence, body in license_rules.rules():
+        rules.append(_signature(label, priority, confidence, re.findall("<([^>]+)>", body), re.sub("<([^>]+)>", r"\1", body)))
     return tuple(sorted(rules, key=lambda r: -r.priority))
 
 
@@ -223,5 +223,6 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns of RESULT: words, base places, first and last word of one, labels, score."""
     names = [c.split()[0] for c in RESULT.split(", ")]
     docs = docs.drop(*[c for c in names if c != text])
+    (found,) = fresh(docs, "_licenses")
     one = F.arrow_udf(_scan_all, f"struct<{RESULT.replace(' long', ':long').replace(' string', ':string').replace(' double', ':double')}>")
-    return docs.withColumn("_licenses", one(text_of(docs, text).cast("binary"))).select(*docs.columns, *[f"_licenses.{c}" for c in names])
+    return docs.withColumn(found, one(text_of(docs, text).cast("binary"))).select(*docs.columns, *[f"{found}.{c}" for c in names])
