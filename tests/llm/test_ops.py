@@ -226,6 +226,29 @@ def test_longest_previous_factors():
         assert suffix_dedup.longest_previous_factors(text) == want
 
 
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh", "a"])
+def test_previous_factors_and_their_matches(letters):
+    rng = np.random.default_rng(9)
+    for n, cut in ((1, 8), (60, 8), (300, 20), (300, 200), (400, 13)):
+        text = "".join(rng.choice(list(letters), n)).encode()
+        places = np.sort(rng.choice(n, rng.integers(1, n + 1), replace=False))
+        lengths, earlier = suffix_dedup.previous_factors(np.frombuffer(text, np.uint8), places, cut)
+        common = lambda i, j: next((k for k in range(cut) if max(i, j) + k >= n or text[i + k] != text[j + k]), cut)
+        for x, (i, length, match) in enumerate(zip(places.tolist(), lengths.tolist(), earlier.tolist())):
+            assert length == max((common(i, j) for j in places[:x].tolist()), default=0)
+            assert match < x and (length == 0 or common(i, int(places[match])) == length)
+
+
+def test_nearest_smaller_of_long_rising_runs():
+    rng = np.random.default_rng(4)
+    for values in (np.concatenate((np.arange(1, 4000), [0], np.arange(5000, 6000))), rng.permutation(3000), np.arange(50)[::-1]):
+        common = rng.integers(1, 9, len(values))
+        at, least = suffix_dedup.nearest_smaller(values, common)
+        for i in range(0, len(values), 7):
+            j = next((j for j in range(i - 1, -1, -1) if values[j] < values[i]), -1)
+            assert at[i] == j and least[i] == (min(common[j + 1 : i + 1]) if j >= 0 else 0)
+
+
 # Licenses
 
 import re  # noqa: E402

@@ -6,11 +6,12 @@ the window's anchor, so equal windows have equal anchors at equal places. Neighb
 anchor make a span; spans whose anchor's gram occurs once in the corpus cannot repeat and go no further,
 and equal spans are counted and stand for each other.
 
-Where a gram has different spans, a task puts these, in corpus order, into one text, sorts the suffixes that
-start a window (doubling the compared length up to MIN_BYTES), and walks the suffix order: of each suffix's
-neighbours with smaller and with larger position, the common length gives the longest previous and the
-longest next factor. A window with a previous factor of MIN_BYTES is a later copy; with either it is
-repeated. `keep="first"` removes later copies only, `keep="none"` all.
+Where a gram has different spans, a task puts these, in corpus order, into one text and builds the array of longest
+previous factors of its windows: windows in suffix order (doubling the compared length up to MIN_BYTES), the common
+lengths of neighbours, and of every window the nearest ones with smaller position before and after it in that order; the longer
+common length with these two is the longest previous factor, and the position it is with is the earlier match. A window
+whose factor reaches MIN_BYTES is a later copy: `keep="first"` removes it. With its earlier match, and that one's, it makes up all
+copies: `keep="none"` removes them too.
 
 Results hold the union of the removed windows, judged on the input.
 
@@ -36,6 +37,8 @@ MIN_BYTES = 200
 GRAM = 48
 #: Bytes that are hashed at once; a place in them takes PLACE_BITS.
 SLICE, PLACE_BITS = 1 << 18, 20
+#: Rounds in which nearest smaller positions are looked for together.
+ROUNDS = 48
 #: Bytes of spans that one suffix array is built over, unless one gram has more.
 ARRAY_BYTES = 1 << 20
 
@@ -138,59 +141,101 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def suffix_classes(text: np.ndarray, length: int) -> np.ndarray:
-    """For every place, a number that orders the `length` bytes there (fewer at the end: after it only
-    zeros), equal for equal bytes. Ranks by 8 bytes, then doubled, the last step overlapping."""
+def suffix_ranks(text: np.ndarray, length: int) -> dict[int, np.ndarray]:
+    """By a number of bytes (8, doubled, `length` last): for every place a number that orders so many bytes there (fewer
+    at the end: after it only zeros), equal for equal bytes."""
     padded = np.concatenate((text, np.zeros(length, np.uint8)))
     n = len(text) + length - 8
     words = np.zeros(n, np.uint64)
     for k in range(8):
         words = words << np.uint64(8) | padded[k : k + n]
     rank, have = np.unique(words, return_inverse=True)[1].astype(np.uint64), 8
+    ranks = {8: rank.astype(np.uint32)}
     while have < length:
         step = min(have, length - have)
         pairs = rank[:-step] << np.uint64(32) | rank[step:]
         rank, have = np.unique(pairs, return_inverse=True)[1].astype(np.uint64), have + step
-    return rank[: len(text)].astype(np.int64)
+        ranks[have] = rank.astype(np.uint32)
+    return ranks
+
+
+def common_lengths(text: np.ndarray, ranks: dict[int, np.ndarray], order: np.ndarray, length: int) -> np.ndarray:
+    """Of every place in the order the length, at most `length`, that it has in common with the one before it; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    a, b = order[:-1], order[1:]
+    whole = ranks[length][a] == ranks[length][b]
+    out[1:][whole] = length
+    rest = np.flatnonzero(~whole)
+    a, b, common = a[rest], b[rest], np.zeros(len(rest), np.int64)
+    for step in sorted((k for k in ranks if k < length), reverse=True):
+        fits = np.maximum(a, b) + common + step <= len(text)
+        same = np.zeros(len(rest), bool)
+        same[fits] = ranks[step][(a + common)[fits]] == ranks[step][(b + common)[fits]]
+        common += step * same
+    for _ in range(7):
+        at = np.maximum(a, b) + common < len(text)
+        same = np.zeros(len(rest), bool)
+        same[at] = text[(a + common)[at]] == text[(b + common)[at]]
+        if not same.any():
+            break
+        # A byte counts only if all before it did: where one differs, it goes on differing.
+        common += same
+    out[1 + rest] = np.minimum(common, length)
+    return out
 
 
-def factors(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the `length` bytes at each of the ascending places occur at an earlier, and at a later
-    of these places, i.e. whether the longest previous and next factor there, cut at `length`, is
-    `length`. In suffix order with ties by place, the nearest smaller place of a suffix whose common
-    length is still `length` is its neighbour before, the nearest larger its neighbour after."""
-    cls = suffix_classes(text, length)[places]
-    order = np.argsort(cls, kind="stable")
-    tie = cls[order][1:] == cls[order][:-1]
-    previous, following = np.zeros(len(places), bool), np.zeros(len(places), bool)
-    previous[order[1:]] = tie
-    following[order[:-1]] = tie
-    return previous, following
+def nearest_smaller(values: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every element the index of the nearest smaller one before it (-1: none), and the smallest `common` on the way
+    there: what the two have in common. Candidates are jumped over together; all between an element and its candidate are
+    larger, so a candidate's own candidate is the next one to try. What is still open after ROUNDS rounds, as after long
+    rising runs, is done by a stack."""
+    n = len(values)
+    at, least = np.arange(n) - 1, common.copy()
+    open_ = np.arange(1, n)
+    for _ in range(ROUNDS):
+        c = at[open_]
+        open_, c = (x[(c >= 0) & (values[c] > values[open_])] for x in (open_, c))
+        if not len(open_):
+            break
+        jumped, shortest = at[c], np.minimum(least[open_], least[c])
+        at[open_], least[open_] = jumped, shortest
+    else:
+        stack: list[int] = []
+        rows, lengths, to, low = values.tolist(), common.tolist(), [0] * n, [0] * n
+        for i in range(n):
+            shortest = lengths[i]
+            while stack and rows[stack[-1]] > rows[i]:
+                shortest = min(shortest, low[stack.pop()])
+            to[i], low[i] = stack[-1] if stack else -1, shortest
+            stack.append(i)
+        at, least = np.array(to, np.int64), np.array(low, np.int64)
+    least[at < 0] = 0
+    return at, least
+
+
+def previous_factors(text: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the ascending places the longest string, of at most `length` bytes, that starts there and at an earlier one
+    of them: its length and the index of that earlier place (-1: none)."""
+    ranks = suffix_ranks(text, length)
+    index = np.argsort(ranks[length][places], kind="stable")  # of equals in the order of places
+    common = common_lengths(text, ranks, places[index], length)
+    before, with_before = nearest_smaller(index, common)
+    turned = np.zeros(len(index), np.int64)
+    turned[1:] = common[1:][::-1]
+    after, with_after = nearest_smaller(index[::-1], turned)
+    after, with_after = np.where(after < 0, -1, len(index) - 1 - after)[::-1], with_after[::-1]
+    take = with_before >= with_after
+    factor, match = np.where(take, with_before, with_after), np.where(take, before, after)
+    lengths, earlier = np.empty(len(index), np.int64), np.empty(len(index), np.int64)
+    lengths[index] = factor
+    earlier[index] = np.where(factor > 0, index[match], -1)
+    return lengths, earlier
 
 
 def longest_previous_factors(text: bytes) -> list[int]:
-    """For every place the length of the longest string that starts there and also at an earlier place:
-    the larger common length with the previous and with the next smaller place in suffix order."""
-    n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-    common = [0] * (n + 1)  # with the suffix before in order
-    for r in range(1, n):
-        a, b, k = order[r - 1], order[r], 0
-        while max(a, b) + k < n and text[a + k] == text[b + k]:
-            k += 1
-        common[r] = k
-    out = [0] * n
-    for turn in (1, -1):
-        stack: list[tuple[int, int]] = []  # places and their common length with the suffix at hand
-        for r in range(n) if turn == 1 else range(n - 1, -1, -1):
-            here = common[r] if turn == 1 else common[r + 1]
-            stack = [(p, min(k, here)) for p, k in stack]
-            while stack and stack[-1][0] > order[r]:
-                stack.pop()
-            if stack:
-                out[order[r]] = max(out[order[r]], stack[-1][1])
-            stack.append((order[r], n))
-    return out
+    """For every place the length of the longest string that starts there and also at an earlier place."""
+    data = np.frombuffer(text, np.uint8)
+    return previous_factors(data, np.arange(len(data)), max(8, len(data)))[0].tolist()
 
 
 def _runs(flags: np.ndarray) -> list[int]:
@@ -207,11 +252,14 @@ def _judge(rows: list[tuple]) -> pa.RecordBatch:
     n_windows = sizes - MIN_BYTES + 1
     first = np.cumsum(n_windows) - n_windows
     places = np.arange(n_windows.sum()) + np.repeat(begin - first, n_windows)
-    previous, following = factors(np.frombuffer(b"".join(r[5] for r in rows), np.uint8), places, MIN_BYTES)
+    lengths, earlier = previous_factors(np.frombuffer(b"".join(r[5] for r in rows), np.uint8), places, MIN_BYTES)
+    previous = lengths >= MIN_BYTES
+    copies = previous.copy()
+    copies[earlier[previous]] = True
     out: list[tuple] = []
     for (kh, sh, _, _, n, _), a, w in zip(rows, first.tolist(), n_windows.tolist()):
         before = previous[a : a + w]
-        either = np.ones(w, bool) if n > 1 else before | following[a : a + w]
+        either = np.ones(w, bool) if n > 1 else copies[a : a + w]
         if either.any():
             out.append((kh, sh, _runs(before), _runs(either)))
     columns = list(zip(*out)) or [()] * 4
