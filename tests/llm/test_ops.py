@@ -745,3 +745,73 @@ def test_packed_sequences_follow_the_curriculum(spark, sf):
 
 def test_files_that_no_write_has_numbered_have_no_order(spark, edge):
     assert packing.written_order(edge) is None
+
+
+# Classifiers against plain versions
+
+
+def test_word_vectors_of_all_documents(spark, sf, texts):
+    q = quality_classifier
+    index, total = q.index_vectors(), np.zeros((q.VOCABULARY, q.SIZE))
+    rows = [*texts.items(), (10**6, " ".join(f"w{k % 97}" for k in range(2 * q.CHUNK + 7)))]
+    for _, t in rows:
+        words = [int(x) for x in q.coordinates(t.encode())[0]]
+        if len(words) < 3000 or len(words) > q.CHUNK:
+            vectors = index[words] if words else index[:0]
+            around = np.zeros_like(vectors)
+            for k in range(1, q.AROUND + 1):
+                around[k:] += vectors[:-k]
+                around[:-k] += vectors[k:]
+            np.add.at(total, words, around)
+        else:
+            for i, w in enumerate(words):
+                for j in (*range(max(0, i - q.AROUND), i), *range(i + 1, min(len(words), i + q.AROUND + 1))):
+                    total[w] += index[words[j]]
+    want = [v / max(1, math.sqrt(sum(x * x for x in v))) + i / 2 for v, i in zip(total, index)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert np.allclose(q.word_vectors(df), want, atol=1e-5)
+
+
+def test_quality_scores_are_those_of_a_plain_network(spark, sf, texts):
+    q = quality_classifier
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = q.fit(docs, labels)
+    got = {r.doc_id: r.score for r in QUERIES["op1_quality_classifier"](spark, sf).collect()}
+    for d, t in list(texts.items())[:60]:
+        letters, extra, n = q.coordinates(t.encode())
+        x = [0.0] * (2 * q.SIZE + 1)
+        for k in range(q.SIZE if n else 0):
+            x[k] = sum(float(m.vectors[w][k]) for w in letters) / n
+            x[q.SIZE + k] = sum(float(m.vectors[w][k]) for w in extra) / n
+        x[-1] = math.log(1 + n)
+        x = [(a - b) / c for a, b, c in zip(x, m.mean, m.scale)]
+        hidden = [math.tanh(sum(a * float(w) for a, w in zip(x, m.w1[:, j])) + float(m.b1[j])) for j in range(q.HIDDEN)]
+        logit = sum(h * float(w) for h, w in zip(hidden, m.w2)) + m.b2
+        assert got[d] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit / m.temperature)))), abs=1e-3)
+
+
+def test_toxicity_weights_are_those_of_a_plain_ftrl(spark, sf, texts):
+    t = toxicity
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None}
+    learnt = {d: y for d, y in labels.items() if zlib.crc32(str(d).encode()) % t.MODULUS != t.HELD_OUT and d in texts}
+    order = spark.createDataFrame([(d,) for d in learnt], "doc_id long").orderBy(F.xxhash64("doc_id", F.lit("toxic")), "doc_id").collect()
+    rows = [(sorted({int(x) for x in t.features(texts[r.doc_id].encode())}), learnt[r.doc_id]) for r in order]
+    z, n, l1 = defaultdict(float), defaultdict(float), max(1.0, t.L1_ROOT * len(rows) ** 0.5)
+
+    def weight(i):
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((t.BETA + math.sqrt(n[i])) / t.ALPHA + t.L2)
+
+    for _ in range(t.EPOCHS):
+        for at, y in rows:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - y
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / t.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    scored = {r.doc_id: r.score for r in QUERIES["op8_toxicity"](spark, sf).collect()}
+    for d, text in texts.items():
+        logit = sum(weight(int(i)) for i in set(t.features(text.encode()).tolist()))
+        assert scored[d] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit)))), abs=1e-4)

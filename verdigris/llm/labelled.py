@@ -23,11 +23,10 @@ def training_ids(labels: DataFrame, label: str, learn: Column, rows: int) -> Dat
 
 
 def with_labels(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """turn, y and text of the chosen documents; one row of each."""
+    """turn, y and text of the chosen documents; one row of each, with the smallest text where rows repeat a doc_id."""
     chosen = F.broadcast(ids.withColumnRenamed("doc_id", "_id"))
-    found = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    found = found.join(chosen, found["_doc"] == chosen["_id"])
-    return found.dropDuplicates(["_id"]).select("turn", "y", "text")
+    found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return found.join(chosen, "_id").groupBy("_id", "turn", "y").agg(F.min("text").alias("text")).select("turn", "y", "text")
 
 
 class WordCache:

@@ -1,18 +1,19 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
 Every coordinate of the hashed vocabulary has a sparse random index vector. A word's vector is the sum of the
-index vectors of the words around it, over the sample, of unit length, plus its own index vector. A word
+index vectors of the words around it, over all documents, of unit length, plus its own index vector. A word
 counts twice: by its letters, lower-cased, and by its shape (capitals, the marks it carries, a repetition of the
 word before). A document is the mean of its words' vectors, with the logarithm of its length; a network of one hidden
 layer gives its logit, and a temperature fitted on rows that the network has not seen makes that a
 probability.
 
-Word vectors, network and temperature come from at most TRAIN_ROWS labelled documents. Partial sums of word vectors
-come back from a fixed number of tasks, pooled vectors from those documents only.
+Word vectors are learnt from every document: tasks return a row of whole numbers for every coordinate that they met, and these
+are added up by coordinate, exactly and in any order. Network and temperature come from at most TRAIN_ROWS labelled documents;
+VOCABULARY vectors and pooled vectors of those documents are all that comes to the driver.
 
 Defined cases: a null or empty text is the zero vector and has a score like any other; without labelled
-rows every score is 0.5; a null doc_id is never learnt from and its `held_out` is false; other columns
-do not matter.
+rows every score is 0.5; of rows that repeat a doc_id the smallest text is learnt; a null doc_id is never learnt from and its
+`held_out` is false; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .labelled import WordCache, remainder, training_ids, with_labels
 VOCABULARY, SIZE, ENTRIES = 1 << 15, 32, 4
 #: Words on either side that count as around a word.
 AROUND = 2
-#: Documents that are learnt from at most, and the tasks that sum their word vectors.
-TRAIN_ROWS, SUM_TASKS = 8192, 8
+#: Labelled documents that are learnt from at most, and the tasks that pool them.
+TRAIN_ROWS, POOL_TASKS = 8192, 8
 HIDDEN, EPOCHS, BATCH, RATE = 32, 40, 256, 0.01
 THRESHOLD = 0.7
 #: Rows with remainder HELD_OUT of MODULUS are not learnt from.
@@ -77,25 +78,72 @@ def index_vectors(seed: int = 17) -> np.ndarray:
     return out
 
 
+_SUMS = "w int, " + ", ".join(f"v{k} int" for k in range(SIZE))
+#: Words whose surroundings are summed at once.
+CHUNK = 50_000
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index, total, n = index_vectors(), np.zeros((VOCABULARY, SIZE), np.float64), 0
+    """Per coordinate met the sum of the index vectors of the words around it."""
+    index, total = index_vectors().astype(np.int16), np.zeros((VOCABULARY, SIZE), np.int32)
+    met = np.zeros(VOCABULARY, bool)
+
+    def add(parts: list[np.ndarray]) -> None:
+        """Documents one after the other, far enough apart not to meet."""
+        gap = np.full(AROUND, VOCABULARY, np.int64)
+        words = np.concatenate([x for p in parts for x in (p.astype(np.int64), gap)])
+        vectors = np.concatenate((index, np.zeros((1, SIZE), np.int16)))[words]
+        around = np.zeros(vectors.shape, np.int32)
+        for k in range(1, AROUND + 1):
+            around[k:] += vectors[:-k]
+            around[:-k] += vectors[k:]
+        order = np.argsort(words, kind="stable")
+        firsts = np.flatnonzero(np.concatenate(([True], np.diff(words[order]) != 0)))
+        at, sums = words[order][firsts], np.add.reduceat(around[order], firsts, axis=0)
+        total[at[at < VOCABULARY]] += sums[at < VOCABULARY]
+        met[at[at < VOCABULARY]] = True
+
+    parts: list[np.ndarray] = []
+    size = 0
     for batch in batches:
-        for x in batch.column(2):
-            n += 1
-            letters, shapes, _ = coordinates(x.as_buffer().to_pybytes())
-            for i in range(0, len(letters), 50_000):
-                part = letters[max(0, i - AROUND) : i + 50_000 + AROUND]
-                vectors, around = index[part], np.zeros((len(part), SIZE), np.float32)
-                for k in range(1, AROUND + 1):
-                    around[k:] += vectors[:-k]
-                    around[:-k] += vectors[k:]
-                own = slice(min(i, AROUND), min(i, AROUND) + 50_000)
-                words, sums = part[own], around[own]
-                order = np.argsort(words, kind="stable")
-                firsts = np.flatnonzero(np.concatenate(([True], np.diff(words[order].astype(np.int32)) != 0)))
-                total[words[order][firsts]] += np.add.reduceat(sums[order], firsts, axis=0)
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["total"])
+        for x in batch.column(0):
+            letters = coordinates(x.as_buffer().to_pybytes())[0]
+            for i in range(0, len(letters), CHUNK):
+                part = letters[max(0, i - AROUND) : i + CHUNK + AROUND]
+                if len(letters) <= CHUNK:
+                    parts.append(part)
+                    size += len(part)
+                else:  # of a long text the words beyond the chunk are around it only
+                    _add_inner(total, met, index, part, min(i, AROUND), min(CHUNK, len(letters) - i))
+                if size > CHUNK:
+                    add(parts)
+                    parts, size = [], 0
+    if parts:
+        add(parts)
+    at = np.flatnonzero(met)
+    if len(at):
+        columns = [pa.array(at.astype(np.int32)), *(pa.array(np.ascontiguousarray(total[at, k])) for k in range(SIZE))]
+        yield pa.RecordBatch.from_arrays(columns, ["w", *(f"v{k}" for k in range(SIZE))])
+
+
+def _add_inner(total: np.ndarray, met: np.ndarray, index: np.ndarray, part: np.ndarray, start: int, n: int) -> None:
+    vectors, around = index[part], np.zeros((len(part), SIZE), np.int32)
+    for k in range(1, AROUND + 1):
+        around[k:] += vectors[:-k]
+        around[:-k] += vectors[k:]
+    np.add.at(total, part[start : start + n], around[start : start + n])
+    met[part[start : start + n]] = True
+
+
+def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """The vectors of all coordinates, from all documents."""
+    body = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    sums = body.mapInArrow(_summed, _SUMS).groupBy("w").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(SIZE)]).toArrow()
+    total = np.zeros((VOCABULARY, SIZE), np.float64)
+    if sums.num_rows:
+        total[sums.column(0).to_numpy()] = np.stack([sums.column(1 + k).to_numpy() for k in range(SIZE)], axis=1)
+    length = np.linalg.norm(total, axis=1, keepdims=True)
+    return (total / np.maximum(length, 1) + index_vectors() / ENTRIES**0.5).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -155,12 +203,8 @@ def train(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 3) -> M
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Model | None:
     """None without labelled rows."""
     ids = training_ids(labels, label, remainder(F.col("doc_id"), MODULUS) != HELD_OUT, rows)
-    sample = stage(with_labels(docs, ids, text, doc_id).repartition(SUM_TASKS, "turn"), "quality-sample")
-    total = np.zeros((VOCABULARY, SIZE), np.float64)
-    for row in sample.coalesce(SUM_TASKS).mapInArrow(_summed, "total binary").toLocalIterator():
-        total += np.frombuffer(row.total, np.float32).reshape(VOCABULARY, SIZE)
-    length = np.linalg.norm(total, axis=1, keepdims=True)
-    vectors = (total / np.maximum(length, 1) + index_vectors() / ENTRIES**0.5).astype(np.float32)
+    sample = stage(with_labels(docs, ids, text, doc_id).repartition(POOL_TASKS, "turn"), "quality-sample")
+    vectors = word_vectors(docs, text)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

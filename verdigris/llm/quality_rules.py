@@ -2,11 +2,11 @@
 
 Every rule is evaluated once per document. The ledger keeps the measurements and one failure bit per
 rule; a policy is a named, versioned mask over those bits. Applying another policy, or asking what
-each rule costs, reads the ledger and never the texts.
+each rule costs, reads the ledger and never the texts. A stored ledger is a versioned table: documents that change replace their rows.
 
 Defined cases: a null or empty text has no words and zero measurements, so it fails `few_words`; a null
-doc_id, repeated rows and extra columns are carried through as they are (one ledger row per input row);
-an empty table gives an empty ledger.
+doc_id, repeated rows and extra columns of any name are carried through as they are (one ledger row per input row),
+but for columns named like a measurement or `failed_bits`, which are replaced; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.versioned import VersionedTable
 from .common import text_of, without_space, word_array
 
 #: Words in a window whose repetition counts.
@@ -79,6 +80,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     plain = [c for c in docs.columns if c != text and c not in MEASURES]
     body = text_of(docs, text)
+    rest = F.struct(*[docs[c] for c in plain] or [F.lit(0)]).alias("_rest")  # no name in it meets one of ours
     n_windows = F.size("_w") - (WINDOW - 1)
     hashes = F.transform(
         F.sequence(F.lit(0), n_windows - 1),
@@ -87,7 +89,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     squeezed = without_space(body)
     found = docs.select(
-        *plain,
+        rest,
         word_array(body).alias("_w"),
         F.length(squeezed).cast("long").alias("word_chars"),
         (F.length(squeezed) - F.length(F.regexp_replace(squeezed, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -95,7 +97,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lines.alias("_l"),
     )
     found = found.select(
-        *plain,
+        "_rest",
         "word_chars",
         "n_symbols",
         "n_upper",
@@ -126,7 +128,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     # A generator of one row: filters on the measurements stay above it. On projected columns the optimizer would
     # write the measurements' expressions into the filter, and into each other's loops, again and again.
     once = F.explode(F.array(F.struct(*MEASURES))).alias("_m")
-    return found.select(*plain, once).select(*plain, *[F.col(f"_m.{m}").alias(m) for m in MEASURES])
+    return found.select("_rest", once).select(*[F.col("_rest").getField(c).alias(c) for c in plain], *[F.col(f"_m.{m}").alias(m) for m in MEASURES])
 
 
 def build_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -154,6 +156,13 @@ def select_passing(docs: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RU
     return build_ledger(whole, rules, "_body").where(passes(policy, rules)).select("_row.*")
 
 
+def store_ledger(ledger: DataFrame, path: str, doc_id: str = "doc_id") -> VersionedTable:
+    """Put the ledger's rows into the versioned table at path, in place of those of the same documents."""
+    table = VersionedTable(ledger.sparkSession, path)
+    table.replace_by_key(ledger, {"rules": [r.name for r in RULES]}, keys=(doc_id,))
+    return table
+
+
 def ablations(ledger: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per policy and rule of it: documents that fail the rule, that fail it alone (they would stay
     without it), and that the policy keeps. One count per distinct bitmask, then bitwise sums over

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..context import shared_dir
 from . import exact_dedup, licenses, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from .common import read_table
 from .labelled import remainder
@@ -43,6 +45,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every rule of every policy costs, from the stored ledger."""
+    ledger = quality_rules.build_ledger(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    stored = quality_rules.store_ledger(ledger, f"{shared_dir(spark)}/quality-ledger-{uuid.uuid4().hex}")
+    return quality_rules.ablations(stored.read())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
@@ -81,27 +90,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "quality_rule_ablations": quality_rule_ablations,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
 
-ORACLES: dict[str, str] = {
-    "op2_line_dedup": rf"""
-WITH lines AS (
-  SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
-), keyed AS (
-  SELECT *, translate(regexp_replace(regexp_replace(line, '^{_SPACE}+', ''), '{_SPACE}+$', ''),
-                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
-), owner AS (
-  SELECT k, min(doc_id) AS owner FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
-), marked AS (
-  SELECT keyed.*, owner IS NOT NULL AND owner <> doc_id AS gone FROM keyed LEFT JOIN owner USING (k)
-)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id""",
-    "op4_quality_rules": rf"""
+_LEDGER = rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t,
          list_filter(string_split_regex(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS ws,
@@ -126,7 +120,32 @@ WITH base AS (
           + (CASE WHEN 2 * n_dup_lines > n_lines THEN 16 ELSE 0 END) + (CASE WHEN word_chars < 2 * n_words THEN 32 ELSE 0 END)
           + (CASE WHEN word_chars > 12 * n_words THEN 64 ELSE 0 END) AS failed_bits FROM m
 )
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+"""
+
+ORACLES: dict[str, str] = {
+    "quality_rule_ablations": _LEDGER
+    + """, policies(policy, version, mask) AS (VALUES ('base', 1, 3), ('web', 1, 31), ('web', 2, 127)),
+rules(rule, bit) AS (VALUES ('few_words', 1), ('repeated_windows', 2), ('many_symbols', 4), ('shouting', 8), ('repeated_lines', 16),
+                            ('short_words', 32), ('long_words', 64))
+SELECT policy, CAST(version AS INT) AS version, rule, COUNT(*) FILTER (WHERE failed_bits & mask & bit <> 0) AS n_failed,
+       COUNT(*) FILTER (WHERE failed_bits & mask = bit) AS n_failed_alone, COUNT(*) FILTER (WHERE failed_bits & mask = 0) AS n_kept
+FROM policies JOIN rules ON mask & bit <> 0 CROSS JOIN bits GROUP BY ALL""",
+    "op2_line_dedup": rf"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+), keyed AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^{_SPACE}+', ''), '{_SPACE}+$', ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
+), owner AS (
+  SELECT k, min(doc_id) AS owner FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
+), marked AS (
+  SELECT keyed.*, owner IS NOT NULL AND owner <> doc_id AS gone FROM keyed LEFT JOIN owner USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
+    "op4_quality_rules": _LEDGER + """SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, CAST(failed_bits AS BIGINT) AS failed_bits FROM bits""",
     "op5_exact_dedup": rf"""

@@ -4,8 +4,8 @@ A text's features are its words, its neighbouring pairs and its pairs with one w
 one of 2^BITS coordinates and counted as present or not. Every coordinate has its own learning rate, and L1
 keeps most weights at zero, so the model is a short list of coordinates and weights that every task gets.
 
-The model learns from at most TRAIN_ROWS labelled documents, encoded where they lie and gone through EPOCHS
-times, in the order of a hash of their ids, by one task.
+The model learns from at most TRAIN_ROWS labelled documents, the first in the order of a hash of their ids whose encoded
+features fit into TRAIN_BYTES, encoded where they lie and gone through EPOCHS times in that order by one task.
 
 Defined cases: a null or empty text has the bias alone as its features; without labelled rows, or with one
 class only, the score is that of the bias (0.5 without rows); a null doc_id is never learnt from and
@@ -29,6 +29,8 @@ from .labelled import WordCache, remainder, training_ids, with_labels
 BITS = 20
 #: Documents that are learnt from at most.
 TRAIN_ROWS = 16_384
+#: Bytes of their features (4 a coordinate, at most 2^BITS coordinates a document) that the learning task holds at most.
+TRAIN_BYTES = 256 << 20
 EPOCHS = 6
 #: L1_ROOT is multiplied with the root of the number of rows, as the noise in a coordinate's gradient sum grows.
 ALPHA, BETA, L1_ROOT, L2 = 2.0, 1.0, 0.15, 0.02
@@ -102,7 +104,13 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(y, np.frombuffer(at, np.int32)) for b in batches for y, at in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+    rows: list[tuple[int, np.ndarray]] = []
+    size = 0
+    for b in batches:
+        for y, at in zip(b.column(1).to_pylist(), b.column(2)):
+            size += len(at.as_buffer())
+            if size <= TRAIN_BYTES:
+                rows.append((y, np.frombuffer(at.as_buffer().to_pybytes(), np.int32)))
     ftrl = Ftrl(l1=max(1.0, L1_ROOT * len(rows) ** 0.5))
     for _ in range(EPOCHS):
         for y, at in rows:
