@@ -815,3 +815,102 @@ def test_toxicity_weights_are_those_of_a_plain_ftrl(spark, sf, texts):
     for d, text in texts.items():
         logit = sum(weight(int(i)) for i in set(t.features(text.encode()).tolist()))
         assert scored[d] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, logit)))), abs=1e-4)
+
+
+# Names and ids of the caller
+
+OWN_NAMES = (
+    "_row _row_ _kept _id _position _epoch _lost_at _lost_row _lost_keys _lost_did _lines _licenses _w _h _l _m _s _p _rest _body _gone _did _cut _copy _copies "
+    "did row at fate key fp digest h n i c u v root low bucket offset inside words_before rank_key copy_words position epoch size taken target schedule sets "
+    "component first block k turn y vectors part window kh sh pos failed words _metadata _ID _Position"
+).split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Every name that operators use inside, ids at both ends of the range, null and repeated ids."""
+    ids = [None, None, 5, 5, (1 << 63) - 1, -(1 << 63), 0]
+    texts = [f"{LINE}\nhere is line number {k} of its own and it goes on\n" + " ".join(f"w{(7 * k + j) % 50}" for j in range(30)) for k in range(len(ids))]
+    names = [c for k, c in enumerate(OWN_NAMES) if c.lower() not in {x.lower() for x in OWN_NAMES[:k]}]
+    rows = [(d, t, "en", f"s{k % 2}", None, *[f"{c}{k}" for c in names]) for k, (d, t) in enumerate(zip(ids, texts))]
+    return spark.createDataFrame(rows, f"{DOCS}, " + ", ".join(f"`{c}` string" for c in names)).repartition(2)
+
+
+def kept_as_they_are(found, docs, but=("text", "n_chars")):
+    """The rows of found are rows of docs in all columns but some."""
+    columns = [c for c in docs.columns if c not in but]
+    have = Counter(tuple(r) for r in docs.select(columns).collect())
+    got = Counter(tuple(r) for r in found.select(columns).collect())
+    return set(got) <= set(have) and got
+
+
+def test_line_dedup_of_odd_names_and_ids(odd):
+    got = line_dedup.dedup_lines(odd)
+    assert got.columns == [*odd.columns, "n_lines", "n_dropped"] and sum(kept_as_they_are(got, odd).values()) == 7
+    holders = {r.doc_id for r in got.collect() if LINE in r.text}
+    assert holders == {-(1 << 63)}
+
+
+@pytest.mark.parametrize("ids", [[None, 1], [None, None, (1 << 63) - 1], [(1 << 63) - 1, 7], [None, (1 << 63) - 1, -(1 << 63)]])
+def test_null_ids_come_after_the_largest(spark, ids):
+    df = spark.createDataFrame([(d, f"{LINE}\n{k}") for k, d in enumerate(ids)], "doc_id long, text string")
+    least = min((d for d in ids if d is not None))
+    assert {r.doc_id for r in line_dedup.dedup_lines(df).collect() if LINE in r.text} == {least}
+    assert {r.keep_id for r in exact_dedup.dedup(df.withColumn("text", F.lit("same"))).collect()} == {least}
+    assert {r.component_id for r in simhash.near_duplicates(df.withColumn("text", F.lit("same text here"))).collect()} == {least}
+
+
+def test_only_null_ids_have_no_component(spark):
+    df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), ((1 << 63) - 1, "x y z")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=repr) == [((1 << 63) - 1, (1 << 63) - 1), (None, None), (None, None)]
+
+
+def test_one_of_equal_rows_is_kept(spark):
+    df = spark.createDataFrame([(1, "same  text"), (1, "same  text"), (1, "same  text"), (2, "sametext")], "doc_id long, text string")
+    rows = exact_dedup.dedup(df).collect()
+    assert sum(r.kept for r in rows) == 1 and {r.keep_id for r in rows} == {1} and {r.group_size for r in rows} == {4}
+
+
+def test_operators_on_odd_names_and_ids(odd):
+    ledger = quality_rules.build_ledger(odd)
+    assert ledger.count() == 7 and set(odd.columns) - {"text"} < set(ledger.columns)
+    assert sum(kept_as_they_are(ledger, odd).values()) == 7
+    assert kept_as_they_are(quality_rules.select_passing(odd, quality_rules.STRICT), odd, ())
+    for frame in (near_dedup.keep_first(odd), simhash.keep_first(odd), mixing.mix(odd)):
+        assert frame.columns == odd.columns and kept_as_they_are(frame, odd, ())
+    scanned = licenses.scan_licenses(odd)
+    assert scanned.columns[: len(odd.columns)] == odd.columns and kept_as_they_are(scanned, odd, ())
+    for frame in (exact_dedup.dedup(odd), simhash.near_duplicates(odd), suffix_dedup.remove_repeats(odd), mixing.curriculum(odd)):
+        assert Counter(r.doc_id for r in frame.collect()) == Counter(r.doc_id for r in odd.select("doc_id").collect())
+    assert {r.doc_id for r in packing.pack(odd, tokenizer_path()).collect()} == {r.doc_id for r in odd.collect()}
+    labels = odd.select("doc_id", F.lit(1).alias("toxic"), F.lit(0).alias("quality"))
+    assert toxicity.score(odd, toxicity.fit(odd, labels)).count() == 7
+    assert quality_classifier.score(odd, quality_classifier.fit(odd, labels)).count() == 7
+
+
+def test_a_text_of_many_megabytes(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join(f"w{rng.randrange(99999)}" for _ in range(8))
+    shared = [line() for _ in range(60_000)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(x for s in shared for x in (s, line()))), (3, "short one of a few words and no more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()} == {1: (60_000, 0), 2: (120_000, 60_000), 3: (1, 0)}
+    assert near_dedup.keep_first(df).count() == 3 and quality_rules.build_ledger(df).count() == 3
+    assert {r.doc_id: r.n_removed > 0 for r in suffix_dedup.remove_repeats(df).collect()} == {1: False, 2: False, 3: False}
+    assert exact_dedup.dedup(df).count() == simhash.near_duplicates(df).count() == 3
+    assert licenses.scan_licenses(df).count() == 3 and packing.pack(df, tokenizer_path()).where("start = 0").count() == 3
+
+
+def test_line_store_keeps_levels(spark):
+    store = line_dedup.LineStore(spark, f"lines_{random.randrange(1 << 40)}", buckets=4, fanout=2)
+    seen = set()
+    for k in range(5):
+        mine = [f"line number {k} that is new", f"line number {k // 2} that is new", LINE]
+        df = spark.createDataFrame([(k, "\n".join(mine))], "doc_id long, text string")
+        got = store.dedup(df).first()
+        want = [x for x in mine if x not in seen]
+        assert got.text == "\n".join(want) and got.n_dropped == len(mine) - len(want)
+        seen |= set(mine)
+    levels = store.levels()
+    assert {level: len(tables) for level, tables in levels.items()} == {0: 1, 2: 1}
+    assert sum(spark.table(t).count() for ts in levels.values() for t in ts) == len(seen)
