@@ -37,8 +37,8 @@ NUM, DEN = 4, 5
 SAMPLE, FREQUENT = 16_384, 8
 #: Centres per shared shingle: the smallest id, and the smallest hashes of ids.
 CENTRES = 3
-
-_SETS = "struct<digest:binary,fp:long,h:binary>"
+#: Keys that are broadcast at most to pick rows; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, int]:
@@ -62,16 +62,24 @@ def _lists(found: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found]), kind))
 
 
-def shingle_sets(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, digest, fp, h) of rows (id, text as binary): the set's digest, the fingerprint and the set, 8 bytes a shingle."""
+def _bytes(text: pa.Array) -> list[bytes]:
+    return [x.as_buffer().to_pybytes() for x in text]
+
+
+def set_prints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(id, digest, fp) of rows (id, text as binary): a digest of the set of shingles, and the fingerprint."""
 
-    def sets(text: pa.Array) -> pa.Array:
-        found = [shingle_set(x.as_buffer().to_pybytes(), shingle) for x in text]
+    def prints(text: pa.Array) -> pa.Array:
+        found = [shingle_set(x, shingle) for x in _bytes(text)]
         digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s, _ in found], pa.binary())
-        prints = pa.array(np.array([f for _, f in found], np.uint64).view(np.int64))
-        return pa.StructArray.from_arrays([digests, prints, pa.array([s.tobytes() for s, _ in found], pa.binary())], ["digest", "fp", "h"])
+        return pa.StructArray.from_arrays([digests, pa.array(np.array([f for _, f in found], np.uint64).view(np.int64))], ["digest", "fp"])
+
+    return rows.select("id", F.arrow_udf(prints, "struct<digest:binary,fp:long>")("text").alias("s")).select("id", "s.*")
+
 
-    return rows.select("id", F.arrow_udf(sets, _SETS)("text").alias("s")).select("id", "s.*")
+def _pick(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is one of the staged keys, or with left_anti those whose key isn't."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
 
 
 def _needed(n: Column, m: Column, num: int, den: int) -> Column:
@@ -85,37 +93,39 @@ def _meets(a: dict[str, Column], b: dict[str, Column], num: int, den: int) -> Co
     return (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"])) & (a["i"] <= a["n"] - least) & (b["i"] <= b["n"] - least)
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those (u, v) whose sets, by id, are similar."""
-    both = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    some = stage(sets.join(both, "id", "left_semi").select("id", "h"), "near-compared")
+def similar_pairs(pairs: DataFrame, rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Those (u, v) whose rows (id, text as binary) are similar."""
+    both = stage(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "near-both")
+    sets = F.arrow_udf(lambda t: pa.array([shingle_set(x, shingle)[0].tobytes() for x in _bytes(t)], pa.binary()), "binary")
+    some = stage(_pick(rows, both, "id").select("id", sets("text").alias("h")), "near-compared")
     check = F.arrow_udf(lambda a, b: pa.array([similar(x, y, num, den) for x, y in zip(_arrays(a), _arrays(b))], pa.bool_()), "boolean")
     out = pairs.join(some.select(F.col("id").alias("u"), F.col("h").alias("a")), "u")
     out = out.join(some.select(F.col("id").alias("v"), F.col("h").alias("b")), "v")
     found = stage(out.withColumn("ok", check("a", "b")).where("ok").select("u", "v"), "near-links")
-    unstage(some)
+    unstage(both, some)
     return found
 
 
-def frequent_shingles(sets: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(rows: DataFrame, n_docs: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several documents of a sample of about SAMPLE have, in order, and their counts there."""
     every = -(-n_docs // SAMPLE) or 1
-    lists = F.arrow_udf(lambda h: _lists(_arrays(h), pa.int64()), "array<long>")
-    sample = sets.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode(lists("h")).alias("h"))
+    lists = F.arrow_udf(lambda t: _lists([shingle_set(x, shingle)[0] for x in _bytes(t)], pa.int64()), "array<long>")
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.explode(lists("text")).alias("h"))
     counted = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy("h").toArrow()
     known, count = (c.to_numpy().astype(np.int64) for c in counted.columns)
     return known, count
 
 
-def prefixes(sets: DataFrame, known: np.ndarray, count: np.ndarray, num: int, den: int) -> DataFrame:
+def prefixes(rows: DataFrame, known: np.ndarray, count: np.ndarray, shingle: int, num: int, den: int) -> DataFrame:
     """(id, n, i, h): of every set of n shingles the first ones in the order, i counted from 0, as far as a similar set of
     any size may need them."""
-    sent = sets.sparkSession.sparkContext.broadcast((known, count))
+    sent = rows.sparkSession.sparkContext.broadcast((known, count))
 
-    def first_ones(h: pa.Array) -> pa.Array:
+    def first_ones(text: pa.Array) -> pa.Array:
         known, count = sent.value
         out, sizes = [], []
-        for s in _arrays(h):
+        for x in _bytes(text):
+            s = shingle_set(x, shingle)[0]
             n = np.zeros(len(s), np.int64)
             if len(known):
                 at = np.minimum(np.searchsorted(known, s), len(known) - 1)
@@ -125,15 +135,18 @@ def prefixes(sets: DataFrame, known: np.ndarray, count: np.ndarray, num: int, de
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _lists(out, pa.int64())], ["n", "h"])
 
     first = F.arrow_udf(first_ones, "struct<n:int,h:array<long>>")
-    return sets.select("id", first("h").alias("p")).select("id", "p.n", F.posexplode("p.h").alias("i", "h"))
+    return rows.select("id", first("text").alias("p")).select("id", "p.n", F.posexplode("p.h").alias("i", "h"))
 
 
-def _with_centres(found: DataFrame) -> DataFrame:
+def _shared(found: DataFrame) -> DataFrame:
     """The rows whose shingle another document has too, with the centres `c` of that shingle."""
+    several = stage(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "near-several")
+    some = stage(_pick(found, several, "h"), "near-some")
     order = [F.col("id"), *[F.xxhash64("id", F.lit(k)) for k in range(1, CENTRES)]]
-    row = F.struct("id", "n", "i")
-    least = found.groupBy("h").agg(F.array(*[F.min_by(row, o) for o in order]).alias("c"), F.count("*").alias("k")).where("k > 1")
-    return found.join(stage(least.select("h", "c"), "near-centres"), "h")
+    centres = some.groupBy("h").agg(F.array(*[F.min_by(F.struct("id", "n", "i"), o) for o in order]).alias("c"))
+    out = stage(some.join(stage(centres, "near-centres"), "h"), "near-shared")
+    unstage(several, some)
+    return out
 
 
 def _centre_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
@@ -169,15 +182,15 @@ def keep_first(
     docs, key = with_row_key(docs, doc_id)
     (kept,) = fresh(docs, "_kept")
     rows = docs.select(F.col(key).alias("id"), text_of(docs, text).cast("binary").alias("text"))
-    every = stage(shingle_sets(rows, shingle), "near-sets")
-    firsts = stage(every.groupBy("digest", "fp").agg(F.min("id").alias("id")).select("id", "fp"), "near-firsts")
-    sets = stage(every.select("id", "h").join(firsts.select("id"), "id", "left_semi"), "near-distinct")
-    unstage(every)
-    first_ones = stage(prefixes(sets, *frequent_shingles(sets, firsts.count()), num, den), "near-prefixes")
-    shared = stage(_with_centres(first_ones), "near-shared")
-    unstage(first_ones)
+    prints = stage(set_prints(rows, shingle), "near-prints")
+    firsts = stage(prints.groupBy("digest", "fp").agg(F.min("id").alias("id")).select("id", "fp"), "near-firsts")
+    again = stage(prints.select("id").join(firsts.select("id"), "id", "left_anti"), "near-again")
+    rows = _pick(rows, again, "id", "left_anti")
+    first_ones = stage(prefixes(rows, *frequent_shingles(rows, firsts.count(), shingle), shingle, num, den), "near-prefixes")
+    shared = _shared(first_ones)
+    unstage(prints, first_ones)
     pairs = stage(_print_pairs(firsts).unionByName(_centre_pairs(shared, num, den)).distinct(), "near-pairs")
-    linked = similar_pairs(pairs, sets, num, den)
+    linked = similar_pairs(pairs, rows, shingle, num, den)
 
     found = shared.drop("c").join(_near_roots(linked), "id", "left").withColumn("root", F.coalesce("root", "id"))
     found = stage(found.withColumn("low", F.col("i") <= F.col("n") - _needed(F.col("n"), F.col("n"), num, den)), "near-rooted")
@@ -187,8 +200,8 @@ def keep_first(
     other = (sides[0]["root"] != sides[1]["root"]) & (sides[1]["n"] <= sides[0]["n"]) & _meets(*sides, num, den)
     rest = a.join(b, "h").where(other).select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct()
     rest = stage(rest.join(pairs, ["u", "v"], "left_anti"), "near-rest")
-    linked = linked.unionByName(similar_pairs(rest, sets, num, den))
+    linked = linked.unionByName(similar_pairs(rest, rows, shingle, num, den))
     others = components(linked).select(F.col("u").alias(kept))
     out = docs.join(stage(firsts.select(F.col("id").alias(kept)).join(others, kept, "left_anti"), "near-kept"), F.col(key) == F.col(kept), "left_semi")
-    unstage(shared, found, pairs, rest, sets)
+    unstage(shared, found, pairs, rest)
     return out.select(*columns)
