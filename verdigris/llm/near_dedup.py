@@ -35,8 +35,9 @@ SHINGLE = 5
 NUM, DEN = 4, 5
 #: Documents whose shingles are counted for the order, about, and the least count that matters.
 SAMPLE, FREQUENT = 16_384, 8
-#: Centres per shared shingle: the smallest id, and the smallest hashes of ids.
-CENTRES = 3
+#: Centres per shared shingle: of the documents with the fewest shingles of their own before it, which are the nearest to
+#: what the others were copied from, those with the smallest hashes of their ids.
+CENTRES = 4
 #: Keys that are broadcast at most to pick rows; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -142,7 +143,7 @@ def _shared(found: DataFrame) -> DataFrame:
     """The rows whose shingle another document has too, with the centres `c` of that shingle."""
     several = stage(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "near-several")
     some = stage(_pick(found, several, "h"), "near-some")
-    order = [F.col("id"), *[F.xxhash64("id", F.lit(k)) for k in range(1, CENTRES)]]
+    order = [F.struct("i", F.xxhash64("id", F.lit(k))) for k in range(CENTRES)]
     centres = some.groupBy("h").agg(F.array(*[F.min_by(F.struct("id", "n", "i"), o) for o in order]).alias("c"))
     out = stage(some.join(stage(centres, "near-centres"), "h"), "near-shared")
     unstage(several, some)
@@ -157,13 +158,6 @@ def _centre_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
     return near.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v"))
 
 
-def _near_roots(linked: DataFrame) -> DataFrame:
-    """(id, root): a document that every linked one is connected with, two steps down. Equal roots mean connected."""
-    down = stage(linked.groupBy("u").agg(F.min("v").alias("v")), "near-down")
-    two = down.join(down.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left")
-    return two.select(F.col("u").alias("id"), F.coalesce("w", "v").alias("root"))
-
-
 def _print_pairs(firsts: DataFrame) -> DataFrame:
     """(u, v): documents of one fingerprint with the first of them, and the firsts of linked fingerprints."""
     groups = stage(firsts.groupBy("fp").agg(F.min("id").alias("id")), "near-prints")
@@ -192,7 +186,8 @@ def keep_first(
     pairs = stage(_print_pairs(firsts).unionByName(_centre_pairs(shared, num, den)).distinct(), "near-pairs")
     linked = similar_pairs(pairs, rows, shingle, num, den)
 
-    found = shared.drop("c").join(_near_roots(linked), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    roots = components(linked).select(F.col("u").alias("id"), F.col("v").alias("root"))
+    found = shared.drop("c").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     found = stage(found.withColumn("low", F.col("i") <= F.col("n") - _needed(F.col("n"), F.col("n"), num, den)), "near-rooted")
     # Of a pair the set with fewer shingles, which may be either of equal ones, needs its shorter prefix only.
     sides = [{c: F.col(f"{c}_{s}") for c in ("id", "n", "i", "root")} for s in "ab"]
