@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +47,8 @@ def clear_staged(spark: SparkSession) -> int:
 
 
 def unstage(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing needs any more, before their application ends."""
+    """Delete staged tables that nothing needs any more, before their application ends. Spark drops the shuffle files of steps
+    that are over when the driver collects its garbage; it is asked to, so that the steps of an operator don't add up on disk."""
     for df in tables:
         spark = df.sparkSession
         mine = _STAGED.get(spark.sparkContext.applicationId, [])
@@ -55,6 +57,10 @@ def unstage(*tables: DataFrame) -> None:
                 at = spark._jvm.org.apache.hadoop.fs.Path(known)
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
                 mine.remove(known)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

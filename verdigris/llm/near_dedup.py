@@ -118,8 +118,8 @@ def frequent_shingles(rows: DataFrame, n_docs: int, shingle: int) -> tuple[np.nd
 
 
 def prefixes(rows: DataFrame, known: np.ndarray, count: np.ndarray, shingle: int, num: int, den: int) -> DataFrame:
-    """(id, n, i, h): of every set of n shingles the first ones in the order, i counted from 0, as far as a similar set of
-    any size may need them."""
+    """(id, at, h): of every set of n shingles the first ones in the order, as far as a similar set of any size may need them;
+    `at` holds n in its upper and the place, from 0, in its lower 32 bits."""
     sent = rows.sparkSession.sparkContext.broadcast((known, count))
 
     def first_ones(text: pa.Array) -> pa.Array:
@@ -136,13 +136,15 @@ def prefixes(rows: DataFrame, known: np.ndarray, count: np.ndarray, shingle: int
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), _lists(out, pa.int64())], ["n", "h"])
 
     first = F.arrow_udf(first_ones, "struct<n:int,h:array<long>>")
-    return rows.select("id", first("text").alias("p")).select("id", "p.n", F.posexplode("p.h").alias("i", "h"))
+    found = rows.select("id", first("text").alias("p")).select("id", "p.n", F.posexplode("p.h").alias("i", "h"))
+    return found.select("id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"), "h")
 
 
 def _shared(found: DataFrame) -> DataFrame:
-    """The rows whose shingle another document has too, with the centres `c` of that shingle."""
+    """(id, n, i, h, c): the rows whose shingle another document has too, with the centres of that shingle."""
     several = stage(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "near-several")
-    some = stage(_pick(found, several, "h"), "near-some")
+    n, i = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    some = stage(found.join(several, "h", "left_semi").select("id", n.alias("n"), i.alias("i"), "h"), "near-some")
     order = [F.struct("i", F.xxhash64("id", F.lit(k))) for k in range(CENTRES)]
     centres = some.groupBy("h").agg(F.array(*[F.min_by(F.struct("id", "n", "i"), o) for o in order]).alias("c"))
     out = stage(some.join(stage(centres, "near-centres"), "h"), "near-shared")
