@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from verdigris.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
@@ -624,6 +626,17 @@ def test_near_dedup_finds_every_similar_pair(spark):
     assert {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, df, "").collect()} == set(root)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 3000), st.integers(0, 99))
+def test_sketches_never_differ_more_than_sets(common, mine, theirs, seed):
+    rng = np.random.default_rng(seed)
+    x, y, z = (rng.integers(-(1 << 63), (1 << 63) - 1, n) for n in (common, mine, theirs))
+    a, b = np.unique(np.concatenate((x, y))), np.unique(np.concatenate((x, z)))
+    bits = near_dedup.differing_bits(near_dedup.sketch(a), near_dedup.sketch(b))
+    assert bits == near_dedup.differing_bits(near_dedup.sketch(b), near_dedup.sketch(a)) <= len(np.setxor1d(a, b))
+    assert common or min(mine, theirs) < 50 or bits > 0
+
+
 # Classifiers
 
 

@@ -47,8 +47,7 @@ def clear_staged(spark: SparkSession) -> int:
 
 
 def unstage(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing needs any more, before their application ends. Spark drops the shuffle files of steps
-    that are over when the driver collects its garbage; it is asked to, so that the steps of an operator don't add up on disk."""
+    """Delete staged tables that nothing needs any more, before their application ends, and the shuffle files of steps that are over."""
     for df in tables:
         spark = df.sparkSession
         mine = _STAGED.get(spark.sparkContext.applicationId, [])
@@ -58,10 +57,15 @@ def unstage(*tables: DataFrame) -> None:
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
                 mine.remove(known)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        free_shuffles(tables[0].sparkSession)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of steps that are over when the driver collects its garbage; it is asked to, so that
+    steps don't add up on disk."""
+    gc.collect()
+    spark._jvm.System.gc()
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These names, each lengthened until df has no such column; for columns of our own beside a caller's."""

@@ -11,6 +11,9 @@ connected group the smallest doc_id stays.
    first n - a + 1 of one and m - a + 1 of the other. The order puts shingles that are frequent in a bounded sample
    last; any order gives the same result, this one few candidates. Every document is compared with a few
    centres among those that share a shingle with it, before the candidates that are still in different groups are.
+4. Before the sets of a candidate pair are brought together, their sketches are: two to four bits per shingle, each the
+   parity of the shingles that fall on it. Common shingles cancel, so sets differ in at least as many shingles as sketches do
+   in bits, and no similar pair is lost; only what that bound leaves open is compared as sets.
 
 So a dense group costs comparisons with centres, not a comparison per pair of members.
 
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, text_of, unstage, with_row_key
+from .common import free_shuffles, fresh, stage, text_of, unstage, with_row_key
 from .simhash import SEED, components, links, majority, shingle_hashes
 
 SHINGLE = 5
@@ -38,6 +41,8 @@ SAMPLE, FREQUENT = 16_384, 8
 #: Centres per shared shingle: of the documents with the fewest shingles of their own before it, which are the nearest to
 #: what the others were copied from, those with the smallest hashes of their ids.
 CENTRES = 4
+#: Bits of a set's sketch at least, a power of two.
+SKETCH = 256
 #: Keys that are broadcast at most to pick rows; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -54,6 +59,18 @@ def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> boo
     return den * common >= num * (len(a) + len(b) - common)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """For each of the bits, a power of two of them, whether an odd number of the shingles falls on it."""
+    bits = max(SKETCH, 2 << max(len(shingles) - 1, 0).bit_length())
+    return np.packbits(np.bincount(shingles & (bits - 1), minlength=bits) & 1).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the length of the other."""
+    x, y = (np.frombuffer(s, np.uint64) for s in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum())
+
+
 def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.int64) for x in column]
 
@@ -68,14 +85,19 @@ def _bytes(text: pa.Array) -> list[bytes]:
 
 
 def set_prints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(id, digest, fp) of rows (id, text as binary): a digest of the set of shingles, and the fingerprint."""
+    """(id, digest, fp, n, sketch) of rows (id, text as binary): of the set of shingles a digest, its size and sketch, and the
+    fingerprint."""
 
     def prints(text: pa.Array) -> pa.Array:
         found = [shingle_set(x, shingle) for x in _bytes(text)]
         digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s, _ in found], pa.binary())
-        return pa.StructArray.from_arrays([digests, pa.array(np.array([f for _, f in found], np.uint64).view(np.int64))], ["digest", "fp"])
+        fp = pa.array(np.array([f for _, f in found], np.uint64).view(np.int64))
+        n = pa.array([len(s) for s, _ in found], pa.int32())
+        sketches = pa.array([sketch(s) for s, _ in found], pa.binary())
+        return pa.StructArray.from_arrays([digests, fp, n, sketches], ["digest", "fp", "n", "sketch"])
 
-    return rows.select("id", F.arrow_udf(prints, "struct<digest:binary,fp:long>")("text").alias("s")).select("id", "s.*")
+    found = F.arrow_udf(prints, "struct<digest:binary,fp:long,n:int,sketch:binary>")
+    return rows.select("id", found("text").alias("s")).select("id", "s.*")
 
 
 def _pick(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
@@ -94,8 +116,19 @@ def _meets(a: dict[str, Column], b: dict[str, Column], num: int, den: int) -> Co
     return (den * F.least(a["n"], b["n"]) >= num * F.greatest(a["n"], b["n"])) & (a["i"] <= a["n"] - least) & (b["i"] <= b["n"] - least)
 
 
-def similar_pairs(pairs: DataFrame, rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+def _open_pairs(pairs: DataFrame, prints: DataFrame, num: int, den: int) -> DataFrame:
+    """Those (u, v) whose sketches leave open that they are similar."""
+    for c in "uv":
+        pairs = pairs.join(prints.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")), c)
+    n, m = F.col("n_u"), F.col("n_v")
+    bits = F.arrow_udf(lambda a, b: pa.array([differing_bits(x, y) for x, y in zip(_bytes(a), _bytes(b))], pa.int32()), "int")
+    apart = bits("s_u", "s_v")
+    return pairs.where(apart <= n + m - 2 * _needed(n, m, num, den)).select("u", "v")
+
+
+def similar_pairs(pairs: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Those (u, v) whose rows (id, text as binary) are similar."""
+    pairs = stage(_open_pairs(pairs, prints, num, den), "near-open")
     both = stage(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "near-both")
     sets = F.arrow_udf(lambda t: pa.array([shingle_set(x, shingle)[0].tobytes() for x in _bytes(t)], pa.binary()), "binary")
     some = stage(_pick(rows, both, "id").select("id", sets("text").alias("h")), "near-compared")
@@ -103,7 +136,7 @@ def similar_pairs(pairs: DataFrame, rows: DataFrame, shingle: int, num: int, den
     out = pairs.join(some.select(F.col("id").alias("u"), F.col("h").alias("a")), "u")
     out = out.join(some.select(F.col("id").alias("v"), F.col("h").alias("b")), "v")
     found = stage(out.withColumn("ok", check("a", "b")).where("ok").select("u", "v"), "near-links")
-    unstage(both, some)
+    unstage(pairs, both, some)
     return found
 
 
@@ -175,6 +208,7 @@ def keep_first(
 ) -> DataFrame:
     """One document of each connected group, the one with the smallest doc_id."""
     columns = docs.columns
+    free_shuffles(docs.sparkSession)
     docs, key = with_row_key(docs, doc_id)
     (kept,) = fresh(docs, "_kept")
     rows = docs.select(F.col(key).alias("id"), text_of(docs, text).cast("binary").alias("text"))
@@ -184,9 +218,9 @@ def keep_first(
     rows = _pick(rows, again, "id", "left_anti")
     first_ones = stage(prefixes(rows, *frequent_shingles(rows, firsts.count(), shingle), shingle, num, den), "near-prefixes")
     shared = _shared(first_ones)
-    unstage(prints, first_ones)
+    unstage(first_ones)
     pairs = stage(_print_pairs(firsts).unionByName(_centre_pairs(shared, num, den)).distinct(), "near-pairs")
-    linked = similar_pairs(pairs, rows, shingle, num, den)
+    linked = similar_pairs(pairs, prints, rows, shingle, num, den)
 
     roots = components(linked).select(F.col("u").alias("id"), F.col("v").alias("root"))
     found = shared.drop("c").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -197,8 +231,8 @@ def keep_first(
     other = (sides[0]["root"] != sides[1]["root"]) & (sides[1]["n"] <= sides[0]["n"]) & _meets(*sides, num, den)
     rest = a.join(b, "h").where(other).select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v")).distinct()
     rest = stage(rest.join(pairs, ["u", "v"], "left_anti"), "near-rest")
-    linked = linked.unionByName(similar_pairs(rest, rows, shingle, num, den))
+    linked = linked.unionByName(similar_pairs(rest, prints, rows, shingle, num, den))
     others = components(linked).select(F.col("u").alias(kept))
     out = docs.join(stage(firsts.select(F.col("id").alias(kept)).join(others, kept, "left_anti"), "near-kept"), F.col(key) == F.col(kept), "left_semi")
-    unstage(shared, found, pairs, rest)
+    unstage(prints, shared, found, pairs, rest)
     return out.select(*columns)
