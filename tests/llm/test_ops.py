@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from verdigris.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from verdigris.llm import common, exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from verdigris.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -927,3 +927,15 @@ def test_line_store_keeps_levels(spark):
     levels = store.levels()
     assert {level: len(tables) for level, tables in levels.items()} == {0: 1, 2: 1}
     assert sum(spark.table(t).count() for ts in levels.values() for t in ts) == len(seen)
+
+
+def test_worker_memory_is_given_back():
+    made = []
+    one = common.kept("a", lambda: made.append(1) or object())
+    assert common.kept("a", object) is one and made == [1]
+    common.release()
+    assert common.kept("a", object) is one  # stays for the operator's next task
+    other = common.kept("b", object)
+    assert other is not one and common.kept("a", object) is not one  # one thing at a time
+    common.release(all_of_it=True)
+    assert not common._KEPT

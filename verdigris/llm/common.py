@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +71,30 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: What the tasks of one operator share in this Python worker.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once in a Python worker and kept from task to task. A worker keeps one such thing."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release(all_of_it: bool = False) -> None:
+    """Give the memory that this Python worker has freed back to the system, with all_of_it also what it keeps for later tasks.
+    Workers outlive their tasks, and what they hold counts beside the steps that follow, of other operators too."""
+    if all_of_it:
+        _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """These names, each lengthened until df has no such column; for columns of our own beside a caller's."""
     taken = {c.lower() for c in df.columns}

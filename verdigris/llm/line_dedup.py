@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, fresh, nulls_last, stage, text_of, with_row_key
+from .common import SPACE_BYTES, fresh, nulls_last, release, stage, text_of, with_row_key
 
 MIN_CHARS = 10
 #: Runs of one level that are compacted into one of the next.
@@ -133,6 +133,7 @@ def _pack(keys: list[bytes]) -> np.ndarray:
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release(all_of_it=True)
     runs = SortedRuns()
     keys: list[bytes] = []
     docs: list[int] = []
@@ -153,9 +154,12 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if keys:
         yield from _claims(*runs.settle(_pack(keys), np.array(docs, np.int64), np.array(places, _PLACE)))
     yield from _owners(runs)
+    del runs
+    release()
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release(all_of_it=True)
     runs = SortedRuns()
     for batch in batches:
         if batch.num_rows:
@@ -163,6 +167,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places["row"], places["at"] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             yield from _claims(*runs.settle(_pack(batch.column(0).to_pylist()), batch.column(1).to_numpy(), places))
     yield from _owners(runs)
+    del runs
+    release()
 
 
 def _claimed(rows: DataFrame, text: str) -> DataFrame:

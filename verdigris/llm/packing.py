@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import kept, release, text_of
 
 WINDOW = 4096
 #: Follows every document.
@@ -261,18 +261,6 @@ def _rows(closed: Iterable[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _worker_ids(tokenizer_path: str, cached: int) -> WordIds:
-    """One cache per Python worker, kept from task to task."""
-    key = (tokenizer_path, cached)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = WordIds(tokenizer_path, cached)
-    return _WORKER[key]
-
-
-_WORKER: dict = {}
-
-
 def written_order(docs: DataFrame) -> Column | None:
     """For rows read from files that one write has numbered: a number that rises with the file and the place of a split
     in it, for `part`. None for any other rows."""
@@ -293,7 +281,8 @@ def pack(
     hold it in their upper bits; without it, the number of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer = _worker_ids(tokenizer_path, CACHED_WORDS), Packer(window)
+        words = kept((tokenizer_path, CACHED_WORDS), lambda: WordIds(tokenizer_path, CACHED_WORDS))
+        packer = Packer(window)
         end = np.array([END], "<u4").tobytes()
         task = TaskContext.get().partitionId()
 
@@ -316,7 +305,8 @@ def pack(
             for number, pieces in found:
                 yield ((at or 0) << PART_BITS) + number, pieces
 
-        return _rows(closed())
+        yield from _rows(closed())
+        release()
 
     of_part = F.lit(None).cast("long") if part is None else part.cast("long")
     body = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(docs, text).alias("text"), of_part.alias("part"))
