@@ -136,6 +136,25 @@ def test_sorted_runs_compact():
     assert all(len(level) < runs.fanout for level in runs.levels) and len(runs.levels) > 1
 
 
+def test_owners_of_all_tasks_merge_as_a_stream():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = sorted((bytes(f"{rng.integers(0, 30):016d}", "ascii"), int(rng.integers(0, 9)), k, 0) for k in range(500))
+    told, owner, seen = [], {}, set()
+    for key, doc, row, _ in rows:
+        told.append((row, line_dedup.OWNS if key not in owner else line_dedup.LOST if doc != owner[key] and (key, doc) not in seen else line_dedup.FOLLOWS))
+        owner.setdefault(key, doc)
+        seen.add((key, doc))
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size])], ["key", "did", "row", "at"]) for k in range(0, 500, size)]
+        held, got = [], []
+        for batch in line_dedup._merged(iter(batches)):
+            held.append(batch.num_rows)
+            got += zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())
+        assert sorted(got) == sorted(told) and max(held) <= size  # a batch goes out before the next comes in
+
+
 # Quality rules
 
 
@@ -752,12 +771,39 @@ def test_packed_sequences_follow_the_curriculum(spark, sf):
     got = defaultdict(Counter)
     for r in corpus_pipeline.STAGES[4][1](spark, mixed, sf).collect():
         if r.start == 0:
-            got[r.sequence_id >> 44][r.doc_id] += 1
+            got[packing.file_of(r.sequence_id)][r.doc_id] += 1
     assert got == want and len(got) == parts
 
 
-def test_files_that_no_write_has_numbered_have_no_order(spark, edge):
-    assert packing.written_order(edge) is None
+def test_order_is_never_lost_in_silence(spark, edge, tmp_path):
+    assert packing.written_order(edge) is None  # no files: the order is that of the partitions
+    rows = spark.createDataFrame([(k, f"text number {k}") for k in range(8)], "doc_id long, text string").repartition(2)
+    rows.write.parquet(f"{tmp_path}/t")
+    old = sorted(tmp_path.glob("t/part-*.parquet"))
+    old[0].rename(tmp_path / "t/part-600000-x.c000.snappy.parquet")
+    old[1].rename(tmp_path / "t/part-16777215-x.c000.snappy.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/t")
+    assert {packing.file_of(r.sequence_id) for r in packing.pack(docs, tokenizer_path(), part=packing.written_order(docs)).collect()} == {600_000, 16_777_215}
+    (tmp_path / "t/part-16777215-x.c000.snappy.parquet").rename(tmp_path / "t/part-16777216-x.c000.snappy.parquet")
+    with pytest.raises(ValueError, match="can't be packed"):
+        packing.written_order(spark.read.parquet(f"file://{tmp_path}/t"))
+    (tmp_path / "t/part-16777216-x.c000.snappy.parquet").rename(tmp_path / "t/other.parquet")
+    with pytest.raises(ValueError, match="names"):
+        packing.written_order(spark.read.parquet(f"file://{tmp_path}/t"))
+
+
+def test_sequences_rise_with_their_first_document():
+    rng = np.random.default_rng(7)
+    packer, first = packing.Packer(window=64), {}
+    closed = []
+    for k in range(400):
+        n = int(rng.integers(1, 150))
+        closed += packer.take((k, n), bytes(4 * n))
+    kept = len(closed)
+    closed += packer.finish()
+    first = {number: pieces[0][0][0] for number, pieces in closed[:kept]}
+    assert kept > 200 and [first[n] for n in sorted(first)] == sorted(first.values())
+    assert min(n for n, _ in closed[kept:]) > max(first)
 
 
 # Classifiers against plain versions

@@ -7,8 +7,8 @@ next, so a key is looked up in O(log n) runs.
 
 Inside a corpus the runs are built twice. First by every task over its own split of the documents, in whatever order
 they come (an owner that turns out not to be the smallest is corrected): of a line that a third of all documents
-share, one row per split is left. Then over what is left, dealt by key and in document order, where the
-merge is a plain anti-join. Over corpora that come one after the other (`LineStore`) the runs are tables, bucketed and
+share, one row per split is left. Then over what is left, dealt by key and sorted by it, where the runs of all
+tasks merge as a stream that keeps one row. Over corpora that come one after the other (`LineStore`) the runs are tables, bucketed and
 sorted by key, levelled and compacted in the same way.
 
 A line's key is the line stripped of [\x20\x09-\x0D] and with A-Z lower-cased. Keys of MIN_CHARS code points
@@ -16,8 +16,8 @@ or more that occur in several documents stay in the document with the smallest d
 number of every lost line; the lines are then taken out by array functions, without Python.
 
 Defined cases: a null or empty text is one empty line; a null doc_id comes after all others, and all rows
-with a null doc_id are one document, as are rows that repeat a doc_id; rows stay one to one; an empty
-table gives an empty table; columns named n_lines or n_dropped are replaced, all others stay whatever their names.
+with a null doc_id are one document, as are rows that repeat a doc_id; rows stay one to one; a very long text is split whole, in one
+task, and its lines count as any others; an empty table gives an empty table; columns named n_lines or n_dropped are replaced, all others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ MIN_CHARS = 10
 FANOUT = 4
 #: Bytes of text whose lines are taken in as one batch.
 BATCH_BYTES = 1 << 22
+#: Rows of owners that one task merges, about.
+PART_ROWS = 4_000_000
 
 #: What becomes of a claim: it owns its line, has lost it, or goes the way of its document's first claim of that key.
 OWNS, LOST, FOLLOWS = 0, 1, 2
@@ -159,16 +161,22 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    release(all_of_it=True)
-    runs = SortedRuns()
+    """The fates of owners that come sorted by key, document and place: the runs of all tasks, merged as a stream. Nothing but
+    the last row is kept from batch to batch."""
+    key, owner, doc = None, None, None
     for batch in batches:
-        if batch.num_rows:
-            places = np.empty(batch.num_rows, _PLACE)
-            places["row"], places["at"] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            yield from _claims(*runs.settle(_pack(batch.column(0).to_pylist()), batch.column(1).to_numpy(), places))
-    yield from _owners(runs)
-    del runs
-    release()
+        if not batch.num_rows:
+            continue
+        keys, docs = _pack(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+        places = np.empty(len(keys), _PLACE)
+        places["row"], places["at"] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        first = np.append(key is None or keys[0] != key, keys[1:] != keys[:-1])
+        group = np.cumsum(first) - 1 + (not first[0])  # group 0 goes on from the batch before, if its key does
+        owners = docs[first] if first[0] else np.append(owner, docs[first])
+        anew = first | np.append(docs[0] != doc, docs[1:] != docs[:-1])
+        fate = np.where(first, OWNS, np.where(anew & (docs != owners[group]), LOST, FOLLOWS))
+        key, owner, doc = keys[-1], owners[-1], docs[-1]
+        yield from _claims(keys, docs, places, fate)
 
 
 def _claimed(rows: DataFrame, text: str) -> DataFrame:
@@ -176,7 +184,8 @@ def _claimed(rows: DataFrame, text: str) -> DataFrame:
     body = rows.select("did", "row", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     local = stage(body.mapInArrow(_local, _CLAIMS), "line-claims")
     owners = local.where(F.col("fate") == OWNS).drop("fate")
-    merged = owners.repartition("key").sortWithinPartitions("did").mapInArrow(_merged, _CLAIMS)
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-owners.count() // PART_ROWS))
+    merged = owners.repartition(parts, "key").sortWithinPartitions("key", "did", "row", "at").mapInArrow(_merged, _CLAIMS)
     return local.where(F.col("fate") != OWNS).unionByName(stage(merged, "line-owners"))
 
 

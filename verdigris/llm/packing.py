@@ -11,14 +11,16 @@ goes into sequences whose lengths are powers of two, which need no padding. The
 hardly any two remainders fit together; even then they hold no more than the remainders of the split, 4 bytes an id.
 
 Rows that come in an order that matters, such as a curriculum written as range-sorted files, are packed file by file
-(`written_order`): sequence ids then rise with the order.
+(`written_order`): sequence ids then rise with the order. Inside a part a sequence is numbered as it is opened, so ids rise with
+the first document of each; only the windows that are emptied at a part's end come after all others.
 
 Tokens come from a cache of ids by word: the tokenizer splits at blanks and line ends whatever stands around
 them, so a text's ids are those of its words one after the other. The cache is bounded; what it forgets
 is encoded again.
 
 Defined cases: a null or empty text is one document of one id, END; a null doc_id stays null; rows that
-repeat a doc_id are documents of their own; an empty table gives no rows; other columns do not matter.
+repeat a doc_id are documents of their own; an empty table gives no rows; a very long text is encoded whole, as one document,
+whose ids take 4 bytes each in its task; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -40,8 +42,11 @@ from .common import kept, release, text_of
 WINDOW = 4096
 #: Follows every document.
 END = 2
-#: Bits of a sequence id that count the sequences of a part.
-PART_BITS = 24
+#: Bits of a sequence id that count the sequences of a part, and bits of a part of `written_order` that tell where in its file it
+#: begins, in units of 64 KB.
+PART_BITS, PLACE_BITS = 23, 16
+#: Files whose parts `written_order` can number.
+MOST_FILES = 1 << (63 - PART_BITS - PLACE_BITS)
 #: Words whose ids a task remembers.
 CACHED_WORDS = 400_000
 #: Ends the last token of a word.
@@ -149,13 +154,13 @@ class Packer:
     def __init__(self, window: int = WINDOW, max_open: int | None = None) -> None:
         """With max_open, windows are emptied whenever more stand open; the operator sets none."""
         self.window, self.max_open, self.next, self.open = window, max_open, 0, 0
-        #: Number of open windows per fill level, and these windows' pieces.
+        #: Number of open windows per fill level, and these windows' numbers and pieces.
         self.counts = np.zeros(window + 1, np.int64)
         self.levels: list[list[list]] = [[] for _ in range(window + 1)]
 
-    def close(self, pieces: list) -> tuple[int, list]:
+    def number(self) -> int:
         self.next += 1
-        return self.next - 1, pieces
+        return self.next - 1
 
     def best_level(self, size: int) -> int:
         """The fill level for a piece: moving a window from level h to h + size changes the sum of squares by
@@ -176,20 +181,20 @@ class Packer:
         total = len(ids) // 4
         whole = total - total % self.window
         for start in range(0, whole, self.window):
-            yield self.close([(doc, start, ids[4 * start : 4 * (start + self.window)])])
+            yield self.number(), [(doc, start, ids[4 * start : 4 * (start + self.window)])]
         if size := total - whole:
             level = self.best_level(size)
             if level:
-                pieces = self.levels[level].pop()
+                number, pieces = self.levels[level].pop()
                 self.counts[level] -= 1
                 self.open -= 1
             else:
-                pieces = []
+                number, pieces = self.number(), []
             pieces.append((doc, whole, ids[4 * whole :]))
             if level + size == self.window:
-                yield self.close(pieces)
+                yield number, pieces
             else:
-                self.levels[level + size].append(pieces)
+                self.levels[level + size].append((number, pieces))
                 self.counts[level + size] += 1
                 self.open += 1
                 if self.max_open is not None and self.open > self.max_open:
@@ -199,7 +204,7 @@ class Packer:
         """Close all open windows, fullest first, cutting pieces where a window is full."""
         rest, room = [], self.window
         for level in range(self.window - 1, 0, -1):
-            for pieces in self.levels[level]:
+            for _, pieces in self.levels[level]:
                 for doc, start, ids in pieces:
                     while ids:
                         part, ids = ids[: 4 * room], ids[4 * room :]
@@ -207,7 +212,7 @@ class Packer:
                         start += len(part) // 4
                         room -= len(part) // 4
                         if not room:
-                            yield self.close(rest)
+                            yield self.number(), rest
                             rest, room = [], self.window
             self.levels[level] = []
         self.counts[:] = 0
@@ -216,7 +221,7 @@ class Packer:
             yield from self.powers(rest)
         elif rest:
             level = self.window - room
-            self.levels[level].append(rest)
+            self.levels[level].append((self.number(), rest))
             self.counts[level], self.open = 1, 1
 
     def powers(self, pieces: list) -> Iterator[tuple[int, list]]:
@@ -234,7 +239,7 @@ class Packer:
                 room -= len(part) // 4
                 if ids:
                     pieces.append((doc, start + len(part) // 4, ids))
-            yield self.close(out)
+            yield self.number(), out
 
     def finish(self) -> Iterator[tuple[int, list]]:
         yield from self.drain(True)
@@ -262,22 +267,38 @@ def _rows(closed: Iterable[tuple[int, list]]) -> Iterator[pa.RecordBatch]:
 
 
 def written_order(docs: DataFrame) -> Column | None:
-    """For rows read from files that one write has numbered: a number that rises with the file and the place of a split
-    in it, for `part`. None for any other rows."""
-    found = [re.search(r"/part-(\d+)-[^/]*-c000\.[^/]*$", f) for f in docs.inputFiles()]
-    numbers = {int(m[1]) for m in found if m}
-    if not found or len(numbers) < len(found) or max(numbers) >= 1 << 19:
+    """A number that rises with the place of rows in the files of one write, part-<number>..., for `part`: of the file, and of the
+    split in it. Rows of a frame that reads no files are in the order of its partitions, which needs no number (None). Files
+    whose order their names don't tell, or that are too many or too long for a number, are an error: an order that matters is
+    never lost in silence."""
+    files = docs.inputFiles()
+    if not files:
         return None
+    found = [re.search(r"/part-(\d+)[^/]*$", f) for f in files]
     about = docs.metadataColumn("_metadata")
-    number = F.regexp_extract(about["file_name"], r"^part-(\d+)-", 1).cast("long")
-    return F.shiftleft(number, 20) + F.shiftright(about["file_block_start"], 16)
+    if len(files) == 1:
+        number = F.lit(0).cast("long")
+    elif all(found) and len({int(m[1]) for m in found}) == len(files):
+        if max(int(m[1]) for m in found) >= MOST_FILES:
+            raise ValueError(f"files numbered from {MOST_FILES} on can't be packed in order")
+        number = F.regexp_extract(about["file_name"], r"^part-(\d+)", 1).cast("long")
+    else:
+        raise ValueError("the names of the files don't tell their order")
+    place = F.shiftright(about["file_block_start"], 16)
+    far = F.raise_error(F.lit("a file too long to be packed in order")).cast("long")
+    return F.shiftleft(number, PLACE_BITS) + F.when(place < 1 << PLACE_BITS, place).otherwise(far)
+
+
+def file_of(sequence_id: int) -> int:
+    """The number of the file whose rows a sequence holds, if they were packed by `written_order`."""
+    return sequence_id >> (PART_BITS + PLACE_BITS)
 
 
 def pack(
     docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, part: Column | None = None
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and
-    sequence_tokens. Neighbouring rows of one `part` (a number of at most 39 bits) are packed together, others never, and sequence ids
+    sequence_tokens. Neighbouring rows of one `part` (a number of at most 40 bits) are packed together, others never, and sequence ids
     hold it in their upper bits; without it, the number of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +324,8 @@ def pack(
 
         def numbered(at: int | None, found: Iterator[tuple[int, list]]) -> Iterator[tuple[int, list]]:
             for number, pieces in found:
+                if number >> PART_BITS:
+                    raise ValueError(f"more than {1 << PART_BITS} sequences in one part")
                 yield ((at or 0) << PART_BITS) + number, pieces
 
         yield from _rows(closed())

@@ -73,7 +73,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.curriculum(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.curriculum(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,18 +227,22 @@ WITH d AS (
 ), level AS (
   SELECT min_by(spare, k) AS spare, min_by(rest, k) AS rest, min(k) AS first FROM filled WHERE spare * weight <= 4 * source_size * rest
 ), target AS (
-  SELECT source, source_size,
+  SELECT source, source_size, r % 3 AS schedule,
          CASE WHEN k < first THEN CAST(2 * source_size AS DOUBLE)
               ELSE CAST(level.spare * weight AS DOUBLE) / CAST(2 * level.rest AS DOUBLE) END AS target
   FROM filled, level
 ), placed AS (
-  SELECT d.*, source_size, target, CAST(round(target) AS BIGINT) AS asked,
+  SELECT d.*, source_size, target, schedule, CAST(round(target) AS BIGINT) AS asked,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY rank_key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN target ON d.source IS NOT DISTINCT FROM target.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(greatest(0, least(size, asked - before)) + greatest(0, least(size, asked - before - source_size)) AS BIGINT) AS taken
-FROM placed""",
+       CAST(greatest(0, least(size, asked - before)) + greatest(0, least(size, asked - before - source_size)) AS BIGINT) AS taken,
+       CASE WHEN least(size, asked - before) <= 0 THEN NULL
+            WHEN schedule = 0 THEN share
+            WHEN schedule = 1 THEN (sqrt(2.25 + 2 * -1.0 * share) - 1.5) / -1.0
+            ELSE (sqrt(0.25 + 2 * 1.0 * share) - 0.5) / 1.0 END AS position
+FROM (SELECT *, least(1.0, (before + least(size, asked - before) / 2) / asked) AS share FROM placed)""",
     "op11_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
