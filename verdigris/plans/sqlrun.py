@@ -12,8 +12,11 @@ from ..sources.versioned import registered
 
 #: What versioned tables add to SQL: a version of a registered table, its changes, its history.
 _NAME = r"([\w`]+(?:\.[\w`]+)*)"
-_VERSION = re.compile(rf"{_NAME}\s+(?:FOR\s+)?VERSION\s+AS\s+OF\s+(\d+)", re.IGNORECASE)
-_CHANGES = re.compile(r"\btable_changes\(\s*'([^']+)'\s*,\s*(\d+)\s*(?:,\s*(\d+)\s*)?\)", re.IGNORECASE)
+_AFTER = "where group having order sort cluster distribute limit offset window lateral join inner left right full cross natural semi anti on using union except minus intersect pivot unpivot tablesample".split()
+#: A name of the statement's own after a table: with AS, or a word that can't begin anything else.
+_ALIAS = rf"(?P<alias>\s+as\b|\s+(?!(?:{'|'.join(_AFTER)})\b)[\w`]+)?"
+_VERSION = re.compile(rf"{_NAME}\s+(?:FOR\s+)?VERSION\s+AS\s+OF\s+(\d+){_ALIAS}", re.IGNORECASE)
+_CHANGES = re.compile(rf"\btable_changes\(\s*'([^']+)'\s*,\s*(\d+)\s*(?:,\s*(\d+)\s*)?\){_ALIAS}", re.IGNORECASE)
 _HISTORY = re.compile(rf"DESCRIBE\s+HISTORY\s+{_NAME}(?:\s+LIMIT\s+(\d+))?", re.IGNORECASE)
 
 #: What hides a semicolon: quoted text with doubled or escaped quotes, quoted names, comments.
@@ -39,22 +42,26 @@ def statements(text: str) -> Iterator[str]:
 
 def run_statement(spark: SparkSession, statement: str, args: dict | None = None) -> DataFrame:
     """One statement. `DESCRIBE HISTORY t`, `t VERSION AS OF n` and `table_changes('t', first, last)` speak of views that
-    a versioned table has registered; inside a statement they are looked for outside of quoted text only."""
+    a versioned table has registered; inside a statement they are looked for outside of quoted text only. Where the statement gives
+    them no other name, they have the table's: `s.t VERSION AS OF 0 WHERE t.id > 0`."""
     if told := _HISTORY.fullmatch(statement):
         found = registered(spark, told[1]).history()
         return found.limit(int(told[2])) if told[2] else found
 
-    def view(df: DataFrame) -> str:
-        name = f"_verdigris_{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(name)
-        return name
+    def named(df: DataFrame, m: re.Match) -> str:
+        view = f"_verdigris_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
+        return f"{view}{m['alias']}" if m["alias"] else f"{view} AS {m[1].split('.')[-1]}"
 
     def changes(m: re.Match) -> str:
-        return view(registered(spark, m[1]).changes(int(m[2]), int(m[3]) if m[3] else None))
+        return named(registered(spark, m[1]).changes(int(m[2]), int(m[3]) if m[3] else None), m)
+
+    def version(m: re.Match) -> str:
+        return named(registered(spark, m[1]).as_of(int(m[2])), m)
 
     quoted = [m.span() for m in _TOKEN.finditer(statement) if m.lastgroup == "text" and m[0][0] != "`"]
     plain = lambda m: not any(a <= m.start() < b for a, b in quoted)
-    for pattern, make in ((_CHANGES, changes), (_VERSION, lambda m: view(registered(spark, m[1]).as_of(int(m[2]))))):
+    for pattern, make in ((_CHANGES, changes), (_VERSION, version)):
         if pattern is _VERSION:
             quoted = [m.span() for m in _TOKEN.finditer(statement) if m.lastgroup == "text" and m[0][0] != "`"]
         statement = pattern.sub(lambda m, make=make: make(m) if plain(m) else m[0], statement)
