@@ -8,7 +8,7 @@ import pytest
 from verdigris.context import Paths, RunContext
 from verdigris.plans.pipeline import SCHEMAS, Lakehouse, run_bronze, run_gold, run_silver
 from verdigris.plans.sqlrun import run_sql, run_sql_file, statements
-from verdigris.sources.files import bad_pages, json_pages
+from verdigris.sources.files import bad_pages, json_pages, page_records
 
 
 def write(path, text):
@@ -50,6 +50,7 @@ def test_pipeline(spark, lake, tmp_path):
     assert {n: lake.table("silver", n).version() for n in ("departments", "jobs", "hired_employees", "rejected_records")} == dict.fromkeys(("departments", "jobs", "hired_employees", "rejected_records"), 0)
     write(tmp_path / "data/landing/hired_employees/hired_employees_2021_01_02.csv", "id,name,datetime,department_id,job_id\n2,Robert,2021-04-05T00:00:00Z,1,2\n")
     lake.run(RunContext("r3", datetime(2021, 1, 5)), 2021)
+    assert not (tmp_path / "lake/work").exists() or not list((tmp_path / "lake/work").iterdir())
     changed = [(r.id, r.name, r._change_type) for r in lake.table("silver", "hired_employees").changes(1).collect()]
     assert sorted(changed) == [(2, "Bobby", "update_preimage"), (2, "Robert", "update_postimage")]
     assert lake.table("silver", "hired_employees").as_of(0).where("name = 'Bobby'").count() == 1
@@ -88,3 +89,38 @@ def test_run_sql(spark, tmp_path):
     (tmp_path / "q.sql").write_text("SELECT 1 AS a;\nSELECT :b + 1 AS b;")
     assert run_sql_file(spark, f"file://{tmp_path}/q.sql", {"b": 4}).first().b == 5
     assert run_sql(spark, "-- none") is None
+
+
+def test_text_that_does_not_parse_is_in_the_audit(spark, lake):
+    lake.run(RunContext("r1", datetime(2021, 1, 3)), 2021)
+    audit = {r.rejection_reason: json.loads(r.raw_payload) for r in spark.table("silver.rejected_records").where("table_name = 'hired_employees'").collect()}
+    assert audit["id_is_null"]["rescued"] == "x,Eve,2021-04-05T00:00:00Z,1,2" and "id" not in audit["id_is_null"]
+    assert audit["datetime_is_null; department_id_is_null; job_id_is_null"]["rescued"] == "5,Dan"
+    assert "rescued" not in audit["name_is_null_or_empty"]
+
+
+def test_records_of_pages_keep_their_text(spark, tmp_path):
+    data = [{"id": 1, "name": "a"}, {"id": "x2", "name": "b"}, {"id": 3, "name": "c", "more": [1, {"y": 2}]}]
+    write(tmp_path / "p_1.json", json.dumps({"page": 1, "has_next": False, "source_system": "api", "data": data}, indent=2))
+    write(tmp_path / "p_2.json", json.dumps({"page": 2, "data": []}))
+    write(tmp_path / "p_3.json", "{broken")
+    pages = json_pages(spark, f"file://{tmp_path}/p_*.json", spark.createDataFrame([], "id int, name string").schema, rescue=True)
+    found = {r.name: (r.id, r.rescued and json.loads(r.rescued)) for r in page_records(pages).collect()}
+    assert found == {"a": (1, None), "b": (None, data[1]), "c": (3, None)}
+    assert {r.rejection_reason for r in bad_pages(pages).collect()} == {"page_is_empty", "page_is_corrupt"}
+
+
+def test_scripts_and_paths(spark, lake, monkeypatch, capfd):
+    from verdigris.plans import pipeline
+    from verdigris.session import get_spark
+
+    monkeypatch.setenv("VERDIGRIS_DATA_ROOT", lake.paths.data_root)
+    monkeypatch.setenv("VERDIGRIS_LAKEHOUSE_ROOT", lake.paths.lakehouse_root + "2")
+    assert Paths.from_environment() == Paths(lake.paths.data_root, lake.paths.lakehouse_root + "2")
+    assert Paths("d", "l").landing("a", "*.csv") == "d/landing/a/*.csv" and Paths("d", "l").table("silver", "t") == "l/silver/t"
+    pipeline.main(["run", "--year", "2021"])
+    pipeline.main(["validate", "--lakehouse-root", lake.paths.lakehouse_root + "2"])
+    said = capfd.readouterr().out
+    assert "batch " in said and all(n in said for n in ("row_counts", "reconciliation", "gold_rollup", "history", "changes"))
+    assert get_spark("another", spark__sql__shuffle__partitions=spark.conf.get("spark.sql.shuffle.partitions")) is spark  # the session that runs
+    assert run_sql(spark, "SELECT 41 + 1 AS answer", verbose=True).first().answer == 42 and "42" in capfd.readouterr().out

@@ -130,3 +130,36 @@ def test_checks(spark):
     found = checks.reconcile("a", spark.range(5), spark.range(3), audit).first()
     assert found.passed and found.reconciled_total == 5
     assert not checks.reconcile("b", spark.range(5), spark.range(3), audit).first().passed
+
+
+def test_rows_of_one_id_are_never_brought_together(spark):
+    """A table of one id: the row that stays is found without a window, and every task keeps its rows."""
+    n = 20_000
+    rows = spark.range(0, n, 1, 8).select(
+        F.lit(7).cast("long").alias("id"), F.concat(F.lit("n"), F.pmod(F.col("id") * 7919, F.lit(n))).alias("name"), F.lit("2021-02-01T08:00:00Z").alias("datetime"),
+        F.lit(1).cast("long").alias("department_id"), F.lit(1).cast("long").alias("job_id"), F.lit("f_2021_01_01.csv").alias("source_file"),
+    )
+    tagged = tag(EMPLOYEES, stamp(rows, RUN, "landing_csv"), dims(spark))
+    assert "Window" not in tagged._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.name for r in clean(EMPLOYEES, tagged).collect()] == ["n0"]
+    assert tagged.where("_rank = 2").count() == n - 1
+
+
+def test_equal_rejections_of_all_tasks_are_numbered_apart(spark, monkeypatch):
+    monkeypatch.setattr("verdigris.operators.validate.CHUNK_BITS", 10)
+    n = 40_000
+    rows = spark.range(0, n, 1, 8).select(
+        F.lit(None).cast("long").alias("id"), F.when(F.col("id") % 4 == 0, "Bob").otherwise("Ann").alias("name"), F.lit("2021-02-01T08:00:00Z").alias("datetime"),
+        F.lit(1).cast("long").alias("department_id"), F.lit(1).cast("long").alias("job_id"), F.lit("f_2021_01_01.csv").alias("source_file"),
+    )
+    tagged = tag(EMPLOYEES, stamp(rows, RUN, "landing_csv"), dims(spark))
+    found = rejected(EMPLOYEES, tagged, RUN).groupBy("record_hash").agg(F.min("occurrence"), F.max("occurrence"), F.count_distinct("occurrence"), F.count("*")).collect()
+    assert sorted(tuple(r)[1:] for r in found) == [(1, n // 4, n // 4, n // 4), (1, 3 * n // 4, 3 * n // 4, 3 * n // 4)]
+    assert tagged.groupBy("name", F.shiftright("_row", 10)).count().agg(F.max("count")).first()[0] <= 1024  # what one window counts
+
+
+def test_one_of_equal_valid_rows_stays(spark):
+    same = (7, "Ann", "2021-02-01T08:00:00Z", 1, 1, "f_2021_01_01.csv")
+    tagged = tag(EMPLOYEES, facts(spark, same, same, same), dims(spark))
+    assert clean(EMPLOYEES, tagged).count() == 1
+    assert sorted(r.occurrence for r in rejected(EMPLOYEES, tagged, RUN).collect()) == [1, 2]

@@ -23,6 +23,14 @@ def reconcile(entity: str, bronze: DataFrame, silver: DataFrame, rejected: DataF
     return counts.select(F.lit(entity).alias("entity"), "*", total.alias("reconciled_total"), (F.col("bronze_raw_count") == total).alias("passed"))
 
 
+def reconcile_tagged(entity: str, bronze: DataFrame, tagged: DataFrame) -> DataFrame:
+    """`reconcile` for rows that are tagged but not loaded yet: one pass over them."""
+    kinds = {"silver_valid_count": F.col("_rank") == 1, "rejected_count": F.col("_rank").isNull() | (F.col("_rank") == 2)}
+    counts = bronze.agg(F.count("*").alias("bronze_raw_count")).crossJoin(tagged.agg(*[F.count_if(c).alias(n) for n, c in kinds.items()]))
+    total = F.col("silver_valid_count") + F.col("rejected_count")
+    return counts.select(F.lit(entity).alias("entity"), "*", total.alias("reconciled_total"), (F.col("bronze_raw_count") == total).alias("passed"))
+
+
 def rejections(rejected: DataFrame) -> DataFrame:
     return rejected.groupBy("table_name", "rejection_reason").agg(F.count("*").alias("n")).orderBy("table_name", "rejection_reason")
 

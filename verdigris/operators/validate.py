@@ -1,12 +1,14 @@
 """Validation: rules to reasons, deterministic deduplication, rejected records.
 
-An entity is described by an EntitySpec. `tag` adds everything in one pass: `_reasons`, all labels of
-failed rules in order, and `_rank` among the valid rows of a key. Clean rows, invalid rows and superseded
-rows are filters on it, so a caller stages the tagged table once and reads it twice.
+An entity is described by an EntitySpec. `tag` judges every row once and writes what it found, with a number for each row: `_reasons`
+has all labels of failed rules in order. The row that stays of an id is found by an aggregate, which tasks begin before anything
+is shuffled, and is told to the rows by their numbers; equal rejections are numbered inside short runs of rows as they were written, and the runs'
+counts are added up. So no step brings the rows of one id, or equal rows, together, however many they are.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -14,9 +16,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..context import RunContext
+from ..context import RunContext, shared_dir
 from ..functions.columns import batch_date, failed, iso_timestamp, null_or_blank, payload
+from ..sources.files import RESCUED
 
+#: Equal rows that one window numbers: 2^16 at most.
+CHUNK_BITS = 16
 SUPERSEDED = "duplicate_id_superseded_by_newer_record"
 TECHNICAL = ("source_system", "source_file", "ingestion_timestamp", "ingestion_date", "batch_id")
 #: What tells one rejection from another, null-safe: also rows without an id, and equal rows of a file.
@@ -110,42 +115,66 @@ def rank_in_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Colum
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*[c.desc() for c in newest_first], *tie))
 
 
-def tag(spec: EntitySpec, rows: DataFrame, dimensions: dict[str, DataFrame] | None = None) -> DataFrame:
-    """rows with the derived columns, `_reasons` and `_rank` (null for invalid rows). Validation comes first:
-    an invalid newer row supersedes nothing."""
+def judge(spec: EntitySpec, rows: DataFrame, dimensions: dict[str, DataFrame] | None = None) -> DataFrame:
+    """rows with the derived columns, `_batch_date` and `_reasons`."""
     rows = rows.withColumns({"_batch_date": batch_date(F.col("source_file"), F.col("ingestion_timestamp")), **{c: f() for c, f in spec.derived.items()}})
     rows = probe(rows, dimensions or {}, spec.foreign_keys)
-    rows = rows.withColumn("_reasons", failed(spec.all_rules())).drop(*[fk.found for fk in spec.foreign_keys])
+    return rows.withColumn("_reasons", failed(spec.all_rules())).drop(*[fk.found for fk in spec.foreign_keys])
+
+
+def tag(spec: EntitySpec, rows: DataFrame, dimensions: dict[str, DataFrame] | None = None, path: str | None = None) -> DataFrame:
+    """rows with the derived columns, `_reasons`, a number `_row` that tells them apart, and `_rank`: 1 for the row that stays of
+    its id, 2 for those it supersedes, null for invalid rows. Validation comes first: an invalid newer row supersedes nothing.
+    The judged rows are written to `path`, or a new folder that driver and executors share."""
+    spark = rows.sparkSession
+    path = path or f"{shared_dir(spark)}/judged-{spec.name}-{uuid.uuid4().hex}"
+    judged = judge(spec, rows, dimensions).withColumn("_row", F.monotonically_increasing_id())
+    judged.write.mode("overwrite").parquet(path)
+    judged = spark.read.schema(judged.schema).parquet(path)
     valid = F.size("_reasons") == 0
-    newest = [F.col("_batch_date"), F.col("ingestion_timestamp")]
-    # Invalid rows are spread by a hash instead of meeting in the group of their id.
-    spread = F.when(~valid, F.xxhash64(*spec.business, "source_file"))
-    window = Window.partitionBy(spec.id_column, valid, spread).orderBy(*[c.desc() for c in newest], "source_file", *spec.business)
-    return rows.withColumn("_rank", F.when(valid, F.row_number().over(window)))
+    last = F.lit((1 << 63) - 1)
+    newest = [F.coalesce(-F.unix_date("_batch_date").cast("long"), last), F.coalesce(-F.unix_micros(F.col("ingestion_timestamp").cast("timestamp")), last)]
+    order = F.struct(*[c.alias(f"n{i}") for i, c in enumerate(newest)], "source_file", *spec.business, "_row")
+    best = judged.where(valid).groupBy(spec.id_column).agg(F.min_by("_row", order).alias("_best")).select("_best")
+    rank = F.when(valid, F.when(F.col("_best").isNotNull(), 1).otherwise(2))
+    return judged.join(best, F.col("_row") == F.col("_best"), "left").withColumn("_rank", rank).drop("_best")
 
 
 def clean(spec: EntitySpec, tagged: DataFrame) -> DataFrame:
     return tagged.where("_rank = 1").select(*spec.output)
 
 
+def numbered(rows: DataFrame, same: Sequence[str], name: str) -> DataFrame:
+    """rows of `tag` with a number from 1 on among those that are equal in some columns: counted inside runs of 2^CHUNK_BITS rows that
+    were written one after the other, the counts of earlier runs added."""
+    rows = rows.withColumn("_chunk", F.shiftright("_row", CHUNK_BITS))
+    inside = Window.partitionBy(*same, "_chunk").orderBy("_row")
+    before = Window.partitionBy(*same).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*same, "_chunk").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(before)).where("_before > 0")
+    counts = counts.select(*[F.col(c).alias(f"_same{i}") for i, c in enumerate((*same, "_chunk"))], "_before")
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_same{i}")) for i, c in enumerate((*same, "_chunk"))])
+    number = F.row_number().over(inside) + F.coalesce("_before", F.lit(0))
+    return rows.join(counts, on, "left").withColumn(name, number.cast("long")).drop(*[f"_same{i}" for i in range(len(same) + 1)], "_before", "_chunk")
+
+
 def rejected(spec: EntitySpec, tagged: DataFrame, run: RunContext) -> DataFrame:
     """Rejected records of invalid and superseded rows: the eight columns of an audit table, `record_hash`
-    of the business columns, and `occurrence`, which numbers equal rows of one file."""
-    reasons = F.when(F.col("_rank") > 1, F.lit(SUPERSEDED)).otherwise(F.array_join("_reasons", "; "))
-    losing = tagged.where("_rank is null or _rank > 1").withColumn("_why", reasons)
-    # Rows without an id are many; their other columns keep them from meeting in one group.
-    same = Window.partitionBy("source_file", *spec.business).orderBy("_why")
+    of the business columns, and `occurrence`, which numbers equal rows of one file. Where rows bring the text that did not parse,
+    it is in the payload."""
+    reasons = F.when(F.col("_rank") == 2, F.lit(SUPERSEDED)).otherwise(F.array_join("_reasons", "; "))
+    losing = numbered(tagged.where("_rank is null or _rank = 2"), ["source_file", *spec.business], "_occurrence")
+    rescued = [RESCUED] if RESCUED in tagged.columns else []
     return losing.select(
         F.lit(spec.name).alias("table_name"),
         F.col(spec.id_column).cast("string").alias("record_id"),
         "source_system",
         "source_file",
-        payload([*spec.business, *TECHNICAL]).alias("raw_payload"),
-        F.col("_why").alias("rejection_reason"),
+        payload([*spec.business, *TECHNICAL, *rescued]).alias("raw_payload"),
+        reasons.alias("rejection_reason"),
         run.timestamp().alias("rejection_timestamp"),
         "batch_id",
         F.xxhash64(*spec.business).alias("record_hash"),
-        F.row_number().over(same).alias("occurrence"),
+        F.col("_occurrence").alias("occurrence"),
     )
 
 

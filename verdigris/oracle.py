@@ -114,6 +114,42 @@ UNION ALL SELECT id, 'it''s new', source_file FROM dirtied WHERE source_file = '
 UNION ALL SELECT 'update_preimage', COUNT(*) FROM orders WHERE o_orderkey % 6 = 0
 UNION ALL SELECT 'update_postimage', COUNT(*) FROM orders WHERE o_orderkey % 6 = 0""",
     "sql_history": "SELECT CAST(1 AS BIGINT) AS version, 'MERGE' AS operation UNION ALL SELECT 0, 'CREATE'",
+    "sql_two_versions": "SELECT o_orderkey, o_custkey AS was, o_custkey + 1 AS is_now FROM orders WHERE o_orderkey % 6 = 0",
+    "scattered_upserts": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 97 IN (1, 2, 3)),
+g AS (SELECT CAST(l_orderkey % 97 AS BIGINT) AS v, COUNT(*) AS n, CAST(SUM(l_orderkey) AS BIGINT) AS s FROM l GROUP BY 1)
+SELECT _change_type, v AS _commit_version, n AS "rows", s FROM g, (VALUES ('update_preimage'), ('update_postimage'), ('now')) AS t(_change_type)""",
+    "compacted_table": f"""WITH {_MERGED} SELECT CAST(a AS BIGINT) AS after, COUNT(*) AS n, CAST(SUM(o_custkey) AS BIGINT) AS s
+FROM merged, (VALUES (0), (1)) AS t(a) WHERE o_orderkey % 5 <> 0 GROUP BY a""",
+    "constrained_merge": """SELECT o_orderkey, o_custkey, CAST(2 AS BIGINT) AS refused, CAST(1 AS BIGINT) AS version FROM orders
+WHERE o_totalprice >= 1000 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0)""",
+    "new_columns": f"""WITH {_MERGED} SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 6 = 0 OR o_orderkey % 2 = 1 THEN concat('n', o_orderkey) END AS note,
+  CAST(3 AS BIGINT) AS columns_before FROM merged""",
+    "rescued_values": """SELECT CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS record_id,
+  concat_ws('; ', CASE WHEN o_orderkey % 7 = 0 THEN 'id_is_null' END, CASE WHEN o_orderkey % 11 = 0 THEN 'department_id_is_null' END) AS rejection_reason,
+  concat(CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE '' END, o_orderkey, ',Ann,1998-02-03T00:00:00Z,',
+         CASE WHEN o_orderkey % 11 = 0 THEN concat('d', o_orderkey) ELSE '1' END, ',1') AS rescued
+FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""",
+    "rescued_records": """SELECT CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS INT) END AS id, c_name AS name,
+  CASE WHEN c_custkey % 5 = 0 THEN concat('{"id":"x', c_custkey, '","name":"', c_name, '"}') END AS rescued, 'api' AS source_system FROM customer""",
+    "hiring_load": f"""{_FACTS}, judged AS (
+  SELECT list_filter([
+      CASE WHEN id IS NULL THEN 'id_is_null' END,
+      CASE WHEN name IS NULL OR trim(name) = '' THEN 'name_is_null_or_empty' END,
+      CASE WHEN datetime IS NULL THEN 'datetime_is_null' END,
+      CASE WHEN datetime IS NOT NULL AND hire_datetime IS NULL THEN 'datetime_invalid_iso_format' END,
+      CASE WHEN department_id IS NULL THEN 'department_id_is_null' END,
+      CASE WHEN department_id IS NOT NULL AND (n_nationkey IS NULL OR n_nationkey % 6 = 0) THEN 'department_id_not_found_in_departments' END,
+      CASE WHEN job_id IS NULL THEN 'job_id_is_null' END,
+      CASE WHEN job_id IS NOT NULL AND r_regionkey IS NULL THEN 'job_id_not_found_in_jobs' END
+    ], lambda x: x IS NOT NULL) AS reasons, hire_datetime
+  FROM parsed LEFT JOIN nation ON department_id = n_nationkey LEFT JOIN region ON job_id = r_regionkey WHERE source_file = 'orders_1998_01_01.csv'
+)
+SELECT 'hired_employees' AS table_name, array_to_string(reasons, '; ') AS what, COUNT(*) AS n FROM judged WHERE len(reasons) > 0 GROUP BY 2
+UNION ALL SELECT 'departments', 'department_is_null_or_empty', COUNT(*) FROM nation WHERE n_nationkey % 6 = 0
+UNION ALL SELECT 'departments', 'silver', COUNT(*) FROM nation WHERE n_nationkey % 6 <> 0
+UNION ALL SELECT 'jobs', 'silver', COUNT(*) FROM region
+UNION ALL SELECT 'hired_employees', 'silver', COUNT(*) FROM judged WHERE len(reasons) = 0
+UNION ALL SELECT 'gold', 'hires', COUNT(*) FROM judged WHERE len(reasons) = 0 AND year(hire_datetime) = 1998""",
     "saved_table": "SELECT * FROM nation",
     "gold_rebuild": f"WITH {_LOCATED} {_PIVOT}",
     "in_memory_source": "SELECT r_name, label FROM region JOIN (VALUES (0, 'none'), (1, 'one'), (2, NULL)) AS t(k, label) ON r_regionkey = k",

@@ -46,11 +46,12 @@ SCHEMAS = {
 @dataclass(frozen=True)
 class Lakehouse:
     """An audit keeps every rejection; with forget_resolved those that no longer hold go, so that counts reconcile
-    after corrections too."""
+    after corrections too. Tables are shown in the schemas bronze, silver and gold, with `prefix` before their names."""
 
     spark: SparkSession
     paths: Paths
     forget_resolved: bool = False
+    prefix: str = ""
 
     def table(self, layer: str, name: str) -> VersionedTable:
         return VersionedTable(self.spark, self.paths.table(layer, name))
@@ -59,32 +60,31 @@ class Lakehouse:
 
     def landed(self, name: str, run: RunContext) -> DataFrame:
         """The rows of an entity's CSV files, and for facts those of the API pages too."""
-        rows = csv_source(self.spark, self.paths.landing(name, "*.csv"), SCHEMAS[name]).withColumn("source_system", F.lit("landing_csv"))
+        rows = csv_source(self.spark, self.paths.landing(name, "*.csv"), SCHEMAS[name], rescue=True).withColumn("source_system", F.lit("landing_csv"))
         if name == EMPLOYEES.name:
-            pages = json_pages(self.spark, self.paths.api(f"{name}_page_*.json"), SCHEMAS[name])
+            pages = json_pages(self.spark, self.paths.api(f"{name}_page_*.json"), SCHEMAS[name], rescue=True)
             rows = rows.unionByName(page_records(pages))
         return stamp(rows, run)
 
     def bronze(self, run: RunContext) -> str:
         for name in SCHEMAS:
-            self.table("bronze", f"{name}_raw").replace_by_key(self.landed(name, run))
-            self.table("bronze", f"{name}_raw").register("bronze", f"{name}_raw")
+            table = self.table("bronze", f"{name}_raw")
+            table.replace_by_key(self.landed(name, run), add_columns=True)
+            table.register(f"{self.prefix}bronze", f"{name}_raw")
         return run.batch_id
 
     # Silver
 
     def _load(self, spec: EntitySpec, run: RunContext, dimensions: dict[str, DataFrame]) -> DataFrame:
         """Upsert an entity's clean rows; returns its rejected records. The tagged rows are written once."""
-        tagged = self.table("work", spec.name)
-        rows = tag(spec, self.table("bronze", f"{spec.name}_raw").read(), dimensions)
-        if tagged.exists():
-            tagged.overwrite(rows)
-        else:
-            tagged.create(rows, [spec.id_column])
+        tagged = tag(spec, self.table("bronze", f"{spec.name}_raw").read(), dimensions, self._judged(spec, run))
         table = self.table("silver", spec.name)
-        table.merge(clean(spec, tagged.read()), [spec.id_column], {"change_feed": True}, skip_unchanged=True)
-        table.register("silver", spec.name)
-        return rejected(spec, tagged.read(), run)
+        table.merge(clean(spec, tagged), [spec.id_column], {"change_feed": True}, skip_unchanged=True)
+        table.register(f"{self.prefix}silver", spec.name)
+        return rejected(spec, tagged, run)
+
+    def _judged(self, spec: EntitySpec, run: RunContext) -> str:
+        return self.paths.table("work", f"{spec.name}-{run.batch_id}-{run.at:%Y%m%d%H%M%S%f}")
 
     def silver(self, run: RunContext) -> None:
         found = [self._load(spec, run, {}) for spec in DIMENSIONS]
@@ -99,7 +99,10 @@ class Lakehouse:
             renewed = {"rejection_timestamp": "_at", "batch_id": "_batch", "raw_payload": "_raw"}
             records = new.select(*[old_or_new(renewed[c], c) if c in renewed else F.col(f"n.{c}") for c in records.columns])
         audit.merge(records, list(REJECTED_KEYS), delete_unmatched=self.forget_resolved, skip_unchanged=True)
-        audit.register("silver", "rejected_records")
+        audit.register(f"{self.prefix}silver", "rejected_records")
+        for spec in (*DIMENSIONS, EMPLOYEES):
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self._judged(spec, run))
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
     # Gold
 
@@ -119,9 +122,9 @@ class Lakehouse:
 
     def gold(self, year: int) -> None:
         """Rebuild the managed tables gold.<metric>_<year>."""
-        self.spark.sql("CREATE SCHEMA IF NOT EXISTS gold")
+        self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {self.prefix}gold")
         for name, df in self.gold_frames(year).items():
-            rebuild_table(self.spark, f"gold.{name}", df, f"Rebuilt for {year}")
+            rebuild_table(self.spark, f"{self.prefix}gold.{name}", df, f"Rebuilt for {year}")
 
     def gold_frames(self, year: int) -> dict[str, DataFrame]:
         return {
@@ -189,7 +192,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--year", type=int, default=2021)
     given = parser.parse_args(argv)
     known = Paths.from_environment()
-    spark = get_spark()
+    running = SparkSession.getActiveSession()
+    spark = running or get_spark()
     lake = Lakehouse(spark, Paths(given.data_root or known.data_root, given.lakehouse_root or known.lakehouse_root))
     if given.step == "run":
         print("batch", lake.run(year=given.year))
@@ -197,7 +201,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         for name, df in lake.validation(given.year).items():
             print(name)
             df.show(truncate=False)
-    spark.stop()
+    if running is None:
+        spark.stop()
 
 
 if __name__ == "__main__":

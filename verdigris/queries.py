@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .context import RunContext, shared_dir
 from .functions.columns import batch_date, in_year, iso_timestamp, null_or_blank, payload
 from .operators import checks, metrics
-from .operators.validate import REJECTED_KEYS, ForeignKey, clean, dimension_spec, event_spec, probe, rejected, stamp, tag, union_all
+from .operators.validate import REJECTED_KEYS, ForeignKey, clean, dimension_spec, event_spec, judge, probe, rejected, stamp, tag, union_all
 from .plans.dirtied import dirtied
 from .plans.sqlrun import run_sql
 from .sources.catalog import rebuild_table, save_as_table
@@ -177,7 +177,12 @@ def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def judged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(FACTS, stamp(dirtied(spark, sf_dir), RUN, "landing_csv"), dimensions(spark, sf_dir))
+
+
 def tagged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts, judged once for all that a query reads of them."""
     return tag(FACTS, stamp(dirtied(spark, sf_dir), RUN, "landing_csv"), dimensions(spark, sf_dir))
 
 
@@ -199,13 +204,13 @@ def distinct_files(spark, sf_dir):
 
 @query
 def reasons_array(spark, sf_dir):
-    return tagged_facts(spark, sf_dir).select("id", "source_file", F.array_join("_reasons", "; ").alias("reasons"), F.size("_reasons").cast("long").alias("n_reasons"))
+    return judged_facts(spark, sf_dir).select("id", "source_file", F.array_join("_reasons", "; ").alias("reasons"), F.size("_reasons").cast("long").alias("n_reasons"))
 
 
 @query
 def valid_split(spark, sf_dir):
     valid = F.size("_reasons") == 0
-    return tagged_facts(spark, sf_dir).groupBy(valid.alias("valid")).agg(F.count("*").alias("n"))
+    return judged_facts(spark, sf_dir).groupBy(valid.alias("valid")).agg(F.count("*").alias("n"))
 
 
 @query
@@ -271,23 +276,15 @@ def rejected_union(spark, sf_dir):
 # Checks
 
 
-def staged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tagged facts, written once for queries that read them several times."""
-    rows, path = tagged_facts(spark, sf_dir), work_dir(spark, "tagged")
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 @query
 def layer_counts(spark, sf_dir):
-    rows = staged_facts(spark, sf_dir)
-    return checks.row_counts({"bronze": dirtied(spark, sf_dir), "silver": clean(FACTS, rows), "rejected": rejected(FACTS, rows, RUN)})
+    rows = tagged_facts(spark, sf_dir)
+    return checks.row_counts({"bronze": dirtied(spark, sf_dir), "silver": clean(FACTS, rows), "rejected": rows.where("_rank is null or _rank = 2")})
 
 
 @query
 def reconcile_fact(spark, sf_dir):
-    rows = staged_facts(spark, sf_dir)
-    return checks.reconcile(FACTS.name, dirtied(spark, sf_dir), clean(FACTS, rows), rejected(FACTS, rows, RUN))
+    return checks.reconcile_tagged(FACTS.name, dirtied(spark, sf_dir), tagged_facts(spark, sf_dir))
 
 
 @query
@@ -461,7 +458,7 @@ def replace_by_source_file(spark, sf_dir):
 @query
 def silver_load(spark, sf_dir):
     """Clean facts merged twice; the second time nothing changes."""
-    made, rows = new_table(spark, "silver"), staged_facts(spark, sf_dir)
+    made, rows = new_table(spark, "silver"), tagged_facts(spark, sf_dir)
     made.merge(clean(FACTS, rows), ["id"], {"change_feed": True}, skip_unchanged=True)
     made.merge(clean(FACTS, rows), ["id"], skip_unchanged=True)
     return made.read().withColumn("version", F.lit(made.version()).cast("long"))
@@ -470,7 +467,7 @@ def silver_load(spark, sf_dir):
 @query
 def audit_load(spark, sf_dir):
     """Rejections merged, then those of fewer rows: what was rejected once stays in the audit."""
-    made, rows = new_table(spark, "audit"), staged_facts(spark, sf_dir)
+    made, rows = new_table(spark, "audit"), tagged_facts(spark, sf_dir)
     found = rejected(FACTS, rows, RUN)
     made.merge(found, list(REJECTED_KEYS), skip_unchanged=True)
     made.merge(found.where("source_file = 'orders_1998_01_02.csv'"), list(REJECTED_KEYS), skip_unchanged=True)
@@ -498,48 +495,190 @@ def registered_view(spark, sf_dir):
     first, second = order_batches(spark, sf_dir)
     made = new_table(spark, "viewed")
     made.merge(first, ["o_orderkey"])
-    made.register("verdigris_queries", "orders_view")
+    name = new_name("orders_view")
+    made.register(*name.split("."))
     made.merge(second, ["o_orderkey"])
-    return spark.table("verdigris_queries.orders_view")
+    return spark.table(name)
+
+
+def new_name(name: str) -> str:
+    """A table name that no other run has."""
+    return f"verdigris_queries.{name}_{uuid.uuid4().hex}"
 
 
-def registered_orders(spark: SparkSession, sf_dir: str, name: str) -> str:
-    merged_orders(spark, sf_dir).register("verdigris_queries", name)
-    return f"verdigris_queries.{name}"
+def registered_orders(spark: SparkSession, sf_dir: str) -> str:
+    name = new_name("orders")
+    merged_orders(spark, sf_dir).register(*name.split("."))
+    return name
 
 
 @query
 def sql_time_travel(spark, sf_dir):
-    return run_sql(spark, f"SELECT count(*) AS n, sum(o_custkey) AS s FROM {registered_orders(spark, sf_dir, 'travelled')} VERSION AS OF 0")
+    return run_sql(spark, f"SELECT count(*) AS n, sum(o_custkey) AS s FROM {registered_orders(spark, sf_dir)} VERSION AS OF 0")
 
 
 @query
 def sql_changes(spark, sf_dir):
-    name = registered_orders(spark, sf_dir, "changed")
+    name = registered_orders(spark, sf_dir)
     return run_sql(spark, f"SELECT _change_type, count(*) AS n FROM table_changes('{name}', 1) GROUP BY _change_type")
 
 
 @query
 def sql_history(spark, sf_dir):
-    return run_sql(spark, f"DESCRIBE HISTORY {registered_orders(spark, sf_dir, 'told')}").select("version", "operation")
+    return run_sql(spark, f"DESCRIBE HISTORY {registered_orders(spark, sf_dir)}").select("version", "operation")
 
 
 @query
 def saved_table(spark, sf_dir):
     """Saved twice: the second time in place of the first."""
-    nation = table(spark, sf_dir, "nation")
-    save_as_table(nation.limit(3), "verdigris_queries.saved", comment="three")
-    return save_as_table(nation, "verdigris_queries.saved", comment="it's all")
+    nation, name = table(spark, sf_dir, "nation"), new_name("saved")
+    save_as_table(nation.limit(3), name, comment="three")
+    return save_as_table(nation, name, comment="it's all")
 
 
 @query
 def gold_rebuild(spark, sf_dir):
     """The pivot as a managed table, rebuilt, and sorted again as it is read."""
     spark.sql("CREATE SCHEMA IF NOT EXISTS verdigris_queries")
+    name = new_name("hires_by_quarter")
     for year in (YEAR - 1, YEAR):
         rows = metrics.quarter_pivot(located_orders(spark, sf_dir), "o_orderdate", year, ["department", "job"])
-        rebuild_table(spark, "verdigris_queries.hires_by_quarter", rows, f"Rebuilt for {year}")
-    return spark.table("verdigris_queries.hires_by_quarter").orderBy("department", "job")
+        rebuild_table(spark, name, rows, f"Rebuilt for {year}")
+    return spark.table(name).orderBy("department", "job")
+
+
+@query
+def sql_two_versions(spark, sf_dir):
+    """What an update changed, as a join of two versions by the table's own name."""
+    name = registered_orders(spark, sf_dir)
+    short = name.split(".")[1]
+    return run_sql(spark, f"""SELECT {short}.o_orderkey, old.o_custkey AS was, {short}.o_custkey AS is_now FROM {name} VERSION AS OF 1
+      JOIN {name} VERSION AS OF 0 old ON {short}.o_orderkey = old.o_orderkey WHERE {short}.o_custkey <> old.o_custkey""")
+
+
+# Upserts of few rows, constraints, new columns
+
+
+def line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return lines.dropDuplicates(["l_orderkey", "l_linenumber"]).drop("l_partkey", "l_suppkey", "l_quantity").withColumn("n", F.lit(0).cast("long"))
+
+
+@query
+def scattered_upserts(spark, sf_dir):
+    """A few rows from all over the table, upserted again and again; what the versions changed, by one scan of their deltas."""
+    made, lines = new_table(spark, "lines"), line_table(spark, sf_dir)
+    keys = ["l_orderkey", "l_linenumber"]
+    made.merge(lines, keys)
+    for k in (1, 2, 3):
+        made.merge(lines.where((F.col("l_orderkey") % 97 == k) & (F.col("l_linenumber") == 1)).withColumn("n", F.lit(k).cast("long")), keys)
+    told = made.changes(1).groupBy("_change_type", "_commit_version").agg(F.count("*").alias("rows"), F.sum("l_orderkey").alias("s"))
+    now = made.read().where("n > 0").groupBy(F.lit("now").alias("_change_type"), F.col("n").alias("_commit_version")).agg(F.count("*").alias("rows"), F.sum("l_orderkey").alias("s"))
+    return told.unionByName(now)
+
+
+@query
+def compacted_table(spark, sf_dir):
+    """Deltas that insert, update and delete, and the table before and after they are made one segment."""
+    made = merged_orders(spark, sf_dir)
+    made.merge(made.read().where("o_orderkey % 5 <> 0"), ["o_orderkey"], delete_unmatched=True)
+    before = made.version()
+    made.compact()
+    told = lambda v: made.as_of(v).agg(F.lit(v - before).cast("long").alias("after"), F.count("*").alias("n"), F.sum("o_custkey").alias("s"))
+    return told(before).unionByName(told(before + 1))
+
+
+@query
+def constrained_merge(spark, sf_dir):
+    """A batch that breaks a constraint leaves no version; the same rows without those that break it do."""
+    from .sources.versioned import ConstraintViolation
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    made = new_table(spark, "constrained")
+    made.create(orders.where("o_totalprice >= 1000 and o_orderkey % 2 = 0"), ["o_orderkey"], unique=True, not_null=["o_custkey"], checks={"price": "o_totalprice >= 1000"})
+    bad = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.lit(1.0).cast(orders.schema["o_totalprice"].dataType)).otherwise(F.col("o_totalprice")))
+    refused = 0
+    for batch in (bad, orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")))):
+        try:
+            made.merge(batch, ["o_orderkey"])
+        except ConstraintViolation:
+            refused += 1
+    made.merge(bad.where("o_totalprice >= 1000 and o_orderkey % 2 = 1"), ["o_orderkey"])
+    return made.read().select("o_orderkey", "o_custkey", F.lit(refused).cast("long").alias("refused"), F.lit(made.version()).cast("long").alias("version"))
+
+
+@query
+def new_columns(spark, sf_dir):
+    """A batch with a column more: older rows have nulls there, the older version is as it was."""
+    first, second = order_batches(spark, sf_dir)
+    made = new_table(spark, "evolved")
+    made.merge(first, ["o_orderkey"])
+    made.merge(second.withColumn("note", F.concat(F.lit("n"), F.col("o_orderkey"))), ["o_orderkey"], add_columns=True)
+    return made.read().select("o_orderkey", "o_custkey", "note", F.lit(len(made.as_of(0).columns)).cast("long").alias("columns_before"))
+
+
+# Landed text that does not parse, and the load of all layers
+
+
+def landed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts as CSV files, in which some ids and references are no numbers."""
+    from .plans.pipeline import SCHEMAS
+
+    k, path = F.col("o_orderkey"), work_dir(spark, "lines")
+    lines = table(spark, sf_dir, "orders").select(
+        F.when(k % 7 == 0, F.concat(F.lit("x"), k)).otherwise(k.cast("string")).alias("id"),
+        F.lit("Ann").alias("name"),
+        F.lit("1998-02-03T00:00:00Z").alias("datetime"),
+        F.when(k % 11 == 0, F.concat(F.lit("d"), k)).otherwise("1").alias("department_id"),
+        F.lit(1).alias("job_id"),
+    )
+    lines.write.option("header", True).csv(path)
+    return csv_source(spark, f"{path}/*.csv", SCHEMAS[FACTS.name], rescue=True).withColumn("source_system", F.lit("landing_csv"))
+
+
+@query
+def rescued_values(spark, sf_dir):
+    """The audit holds the line of which a value did not parse."""
+    tagged = tag(FACTS, stamp(landed_lines(spark, sf_dir), RUN), dimensions(spark, sf_dir))
+    lost = rejected(FACTS, tagged, RUN)
+    return lost.select("record_id", "rejection_reason", F.get_json_object("raw_payload", "$.rescued").alias("rescued"))
+
+
+@query
+def rescued_records(spark, sf_dir):
+    """The same for records of JSON pages: their text is kept, and their pages' other records are as they are."""
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    path, k = work_dir(spark, "records"), F.col("c_custkey")
+    record = F.concat(F.lit('{"id":'), F.when(k % 5 == 0, F.concat(F.lit('"x'), k, F.lit('"'))).otherwise(k.cast("string")), F.lit(',"name":"'), "c_name", F.lit('"}'))
+    pages = table(spark, sf_dir, "customer").groupBy((k % 10).alias("page")).agg(F.array_join(F.sort_array(F.collect_list(record)), ",\n").alias("data"))
+    text = F.concat(F.lit('{"page":'), "page", F.lit(',"has_next":true,"source_system":"api",\n"data":['), "data", F.lit("]}"))
+    pages.select(text.alias("value"), "page").repartition("page").write.partitionBy("page").text(path)
+    schema = StructType([StructField("id", IntegerType()), StructField("name", StringType())])
+    return page_records(json_pages(spark, f"{path}/page=*/*.txt", schema, rescue=True)).select("id", "name", "rescued", "source_system")
+
+
+@query
+def hiring_load(spark, sf_dir):
+    """All layers from landed files: dimensions first, facts validated against what of them was loaded, twice. What silver and the
+    audit hold, and gold's total."""
+    from .context import Paths
+    from .plans.pipeline import Lakehouse
+
+    root = work_dir(spark, "hiring")
+    paths, dims = Paths(f"{root}/data", f"{root}/lake"), dimensions(spark, sf_dir)
+    dims["departments"] = dims["departments"].withColumn("department", F.when(F.col("id") % 6 != 0, F.col("department")))
+    facts = dirtied(spark, sf_dir).where("source_file = 'orders_1998_01_01.csv'").drop("source_file")
+    for name, rows in {**dims, FACTS.name: facts}.items():
+        rows.write.option("header", True).csv(paths.landing(name))
+    spark.createDataFrame([('{"page": 1, "has_next": false, "source_system": "api", "data": []}',)], "value string").write.text(f"{root}/data/api/{FACTS.name}_page_1.json")
+    lake = Lakehouse(spark, paths, prefix=f"verdigris_{uuid.uuid4().hex}_")
+    for at in (1, 2):
+        lake.run(RunContext(f"batch {at}", datetime(1998, 2, at)), YEAR)
+    lost = checks.rejections(lake.table("silver", "rejected_records").read()).select("table_name", F.col("rejection_reason").alias("what"), "n")
+    held = [lake.table("silver", n).read().agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), F.lit("silver").alias("what"), "n") for n in (*dims, FACTS.name)]
+    gold = lake.hires_by_quarter(YEAR).agg(F.coalesce(F.sum(F.expr("Q1 + Q2 + Q3 + Q4")), F.lit(0)).cast("long").alias("n")).select(F.lit("gold").alias("table_name"), F.lit("hires").alias("what"), "n")
+    return union_all(lost, *held, gold)
 
 
 @query

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 FILE = "source_file"
+#: The text of a row or record of which something did not parse; null for the others.
+RESCUED = "rescued"
 
 
-def csv_source(spark: SparkSession, glob: str, schema: StructType) -> DataFrame:
+def csv_source(spark: SparkSession, glob: str, schema: StructType, rescue: bool = False) -> DataFrame:
     """CSV files with a header. The schema is explicit: what doesn't fit its type is null, short rows
-    are filled with nulls, and nothing is inferred."""
-    columns = [f.name for f in schema.fields if f.name != FILE]
-    return spark.read.option("header", True).schema(schema).csv(glob).select(*columns, F.col("_metadata.file_name").alias(FILE))
+    are filled with nulls, and nothing is inferred. With `rescue` such rows keep their line in `rescued`."""
+    columns = [f.name for f in schema.fields if f.name not in (FILE, RESCUED)]
+    reader = spark.read.option("header", True)
+    if rescue:
+        schema = StructType([f for f in schema.fields if f.name != RESCUED]).add(RESCUED, StringType())
+        reader, columns = reader.option("columnNameOfCorruptRecord", RESCUED), [*columns, RESCUED]
+    return reader.schema(schema).csv(glob).select(*columns, F.col("_metadata.file_name").alias(FILE))
 
 
 def page_schema(record: StructType) -> StructType:
@@ -27,9 +33,16 @@ def page_schema(record: StructType) -> StructType:
     )
 
 
-def json_pages(spark: SparkSession, glob: str, record: StructType) -> DataFrame:
-    """One row per page: every file is one document, whatever its line breaks."""
-    pages = spark.read.option("multiLine", True).schema(page_schema(record)).json(glob)
+def json_pages(spark: SparkSession, glob: str, record: StructType, rescue: bool = False) -> DataFrame:
+    """One row per page: every file is one document, whatever its line breaks. With `rescue` records of which something doesn't fit
+    its type keep their text in a field `rescued`."""
+    if rescue:
+        texts = StructType([StructField(f.name, ArrayType(StringType())) if f.name == "data" else f for f in page_schema(record).fields])
+        pages = spark.read.option("multiLine", True).schema(texts).json(glob)
+        parsed = F.transform("data", lambda x: F.from_json(x, StructType([*record.fields]).add(RESCUED, StringType()), {"columnNameOfCorruptRecord": RESCUED}))
+        pages = pages.withColumn("data", parsed)
+    else:
+        pages = spark.read.option("multiLine", True).schema(page_schema(record)).json(glob)
     return pages.select("page", "has_next", "source_system", "data", F.col("_metadata.file_name").alias(FILE))
 
 
