@@ -328,6 +328,39 @@ def test_labelled_license_texts(text, labels):
     assert licenses.scan(text.encode())[5] == labels
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("Licensed under MIT", "mit"), ("MIT-licensed code", "mit"), ("it is under the GPL", "gpl"), ("Eclipse Public License - v 2.0", "epl-2"),
+    ("Mozilla Public License, v. 2.0", "mpl-2"), ("MIT OR Apache-2.0", "apache-2,mit"), ("dual licensed under MIT and Apache 2.0", "apache-2,mit"),
+    ("GNU General Public License v3.0", "gpl-3"), ("GNU GPL v2 or later", "gpl-2-or-later"), ("GPL v3 or any later version", "gpl-3-or-later"),
+    ("under the terms of the GPL v2", "gpl-2"), ("Eclipse Public License - v 1.0", "epl-1"), ("do not redistribute this file", "no-redistribution"),
+    ("do not redistribute wealth", ""), ("no redistribution of seats in the commons", ""), ("may not be redistributed", "no-redistribution"),
+])
+def test_short_forms_and_versions(text, labels):
+    assert licenses.scan(text.encode())[5] == labels
+
+
+def test_scan_is_every_signature_with_plain_suppression(texts):
+    """Without keywords, and with every pair of places compared."""
+    some = [t for _, t in sorted(texts.items())] + [f"x {a} y {b}" for a in ("GPLv3", "Licensed under MIT", "CC BY-NC-SA 4.0") for b in ("or later", "License", "All rights reserved")]
+    labels = 0
+    for text in some:
+        low = text.encode().lower()
+        found = [licenses.Detection(*m.span(), r.label, r.priority, r.confidence, r.base) for r in licenses.signatures() for m in r.expression.finditer(low)]
+        plain = [(i, d) for i, d in enumerate(found) if not d.base]
+        inside = lambda d, o: o.start <= d.start and d.end <= o.end
+        kept, gone = [d for d in found if d.base], set()
+        for p in sorted({d.priority for _, d in plain}, reverse=True):
+            level = [(i, d) for i, d in plain if d.priority == p]
+            alive = [(i, d) for i, d in level if not any(inside(d, o) for o in kept if not o.base)]
+            for i, d in alive:
+                if any(inside(d, o) and ((o.end - o.start) > (d.end - d.start) or j < i) for j, o in alive if j != i and inside(d, o)):
+                    gone.add(i)
+            kept += [d for i, d in alive if i not in gone]
+        assert licenses.scan(text.encode())[5] == ",".join(sorted({d.label for d in kept})), text
+        labels += bool(kept)
+    assert labels > 8
+
+
 def test_signatures_are_written_by_hand():
     from verdigris.llm.license_rules import rules
 
@@ -957,6 +990,11 @@ def test_a_text_of_many_megabytes(spark):
     assert near_dedup.keep_first(df).count() == 3 and quality_rules.build_ledger(df).count() == 3
     assert {r.doc_id: r.n_removed > 0 for r in suffix_dedup.remove_repeats(df).collect()} == {1: False, 2: False, 3: False}
     assert exact_dedup.dedup(df).count() == simhash.near_duplicates(df).count() == 3
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 4)], "doc_id long, quality int, toxic int")
+    for module in (quality_classifier, toxicity):
+        assert all(0 <= r.score <= 1 for r in module.score(df, module.fit(df, labels)).collect())
+    sourced = df.withColumn("source", F.lit("web"))
+    assert sorted(r["size"] for r in mixing.curriculum(sourced).collect()) == [9, 480_000, 960_000]
     assert licenses.scan_licenses(df).count() == 3 and packing.pack(df, tokenizer_path()).where("start = 0").count() == 3
 
 

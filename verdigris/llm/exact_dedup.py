@@ -8,7 +8,8 @@ in every task before it is shuffled by digest as usual. No group is ever held in
 
 Defined cases: a null text is empty and equal to every blank text; a null doc_id comes after all others
 among rows of equal length; rows that repeat a doc_id and a text are told apart by a row number, so that one row of
-each group is kept however often its doc_id occurs; other columns do not matter; an empty table gives no rows.
+each group is kept however often its doc_id occurs; other columns do not matter; an empty table gives no rows; a very long text
+is one value of its row's task, normalised and hashed whole.
 """
 
 from __future__ import annotations

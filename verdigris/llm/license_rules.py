@@ -8,6 +8,9 @@ behind a tag, 55 a statement, 48 a grant without a version, 25 an abbreviation t
 
 SIGNATURES = r"""
 [mit]
+50 0.9 licensed under (?:the )?<mit>
+48 0.85 <mit> licensed
+20 0.7 <mit> or apache
 90 1.0 <permission> is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 90 0.95 <permission> is hereby granted free of charge to any person obtaining a copy of (?:this|the) software
 90 0.9 the above copyright notice and this <permission> notice shall be included in all copies or substantial portions of the software
@@ -87,6 +90,7 @@ SIGNATURES = r"""
 25 0.7 <asl> 2 0
 25 0.8 <apache> org licenses license 2 0
 [gpl]
+48 0.8 under the (?:terms of the )?<gpl>
 90 0.85 this program is free software you can <redistribute> it and or modify it
 90 0.8 this (?:program|library|file|package) is free software you can <redistribute> it
 80 0.85 you should have received a copy of the <gnu> general public license along with this program
@@ -101,6 +105,8 @@ SIGNATURES = r"""
 60 1.0 <spdx> license identifier gpl 1 0 or later
 80 0.95 <gnu> general public license as published by the free software foundation either version 1
 [gpl-2]
+80 0.9 gnu general <public> licen[cs]e (?:version |v ?)2(?: 0)?
+49 0.9 (?:under the )?(?:terms of the )?(?:gnu )?<gpl> v ?2(?: 0)?
 49 0.9 (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?<gpl> (?:version |v)?2(?: 0)?
 90 1.0 gnu general public license version 2 june <1991>
 60 1.0 <spdx> license identifier gpl 2 0(?: only)?
@@ -114,6 +120,7 @@ SIGNATURES = r"""
 25 0.8 <gpl> v2(?: 0)?
 25 0.7 <gpl2>
 [gpl-2-or-later]
+60 0.9 (?:under the )?(?:terms of the )?(?:gnu )?<gpl> v ?2(?: 0)? or (?:any )?later
 60 1.0 <spdx> license identifier gpl 2 0 or later
 95 1.0 this program is free software you can <redistribute> it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
 80 1.0 (?:under the terms of the )?<gnu> general public license as published by the free software foundation either version 2 of the license or at your option any later version
@@ -124,6 +131,8 @@ SIGNATURES = r"""
 25 0.85 <gplv2> or (?:any )?later
 25 0.8 <gpl> v2 or (?:any )?later
 [gpl-3]
+80 0.9 gnu general <public> licen[cs]e (?:version |v ?)3(?: 0)?
+49 0.9 (?:under the )?(?:terms of the )?(?:gnu )?<gpl> v ?3(?: 0)?
 49 0.9 (?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:gnu )?<gpl> (?:version |v)?3(?: 0)?
 90 1.0 gnu general public license version 3 29 june <2007>
 60 1.0 <spdx> license identifier gpl 3 0(?: only)?
@@ -137,6 +146,7 @@ SIGNATURES = r"""
 25 0.8 <gpl> v3(?: 0)?
 25 0.7 <gpl3>
 [gpl-3-or-later]
+60 0.9 (?:under the )?(?:terms of the )?(?:gnu )?<gpl> v ?3(?: 0)? or (?:any )?later
 60 1.0 <spdx> license identifier gpl 3 0 or later
 95 1.0 this program is free software you can <redistribute> it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
 80 1.0 (?:under the terms of the )?<gnu> general public license as published by the free software foundation either version 3 of the license or at your option any later version
@@ -197,10 +207,12 @@ SIGNATURES = r"""
 48 0.9 gnu free <documentation> licen[cs]e version 1 [123]
 25 0.8 <gfdl> 1 [123]
 [mpl-1.1]
+48 0.9 <mozilla> public licen[cs]e (?:version |v ?)1 1
 60 1.0 <spdx> license identifier mpl 1 1
 90 0.95 the contents of this file are subject to the <mozilla> public license version 1 1
 25 0.8 <mpl> 1 1
 [mpl-2]
+48 0.9 <mozilla> public licen[cs]e (?:version |v ?)2(?: 0)?
 90 1.0 this source code form is subject to the terms of the <mozilla> public license v 2 0
 80 0.9 if a copy of the mpl was not distributed with this file you can obtain one at (?:https? )?<mozilla> org mpl 2 0
 60 1.0 <spdx> license identifier mpl 2 0
@@ -209,11 +221,13 @@ SIGNATURES = r"""
 25 0.8 <mpl> 2 0
 25 0.8 <mplv2>
 [epl-1]
+48 0.9 <eclipse> public licen[cs]e (?:version |v ?)1(?: 0)?
 90 0.95 the accompanying program is provided under the terms of this <eclipse> public license
 60 1.0 <spdx> license identifier epl 1 0
 80 0.9 <eclipse> org legal epl v10
 25 0.8 <epl> 1 0
 [epl-2]
+48 0.9 <eclipse> public licen[cs]e (?:version |v ?)2(?: 0)?
 60 1.0 <spdx> license identifier epl 2 0
 80 0.95 this program and the accompanying materials are made available under the terms of the <eclipse> public license 2 0
 80 0.9 <eclipse> org legal epl 2 0
@@ -369,7 +383,9 @@ SIGNATURES = r"""
 55 0.8 this is <unpublished> proprietary source code
 55 0.75 <proprietary> licen[cs]e
 [no-redistribution]
-55 0.8 (?:may not be|do not|no) (?:copied or )?<redistribut>(?:ed?|ion)
+55 0.8 may not be (?:copied or )?<redistribut>ed
+55 0.8 do not (?:copy or )?<redistribut>e (?:this|the|these|it|without)
+55 0.8 no <redistribut>ion (?:is )?(?:allowed|permitted|without)
 55 0.8 unauthorized copying of this file via any medium is strictly <prohibited>
 55 0.8 may not be reproduced in any form without (?:the )?(?:prior |express )?(?:written )?<permission>
 55 0.75 reproduction (?:in whole or in part )?without (?:written )?permission is <prohibited>

@@ -12,7 +12,7 @@ institute counts only with the word "license".
 
 Defined cases: a null or empty text has no words, no labels and score 0; a text without a detection has
 score 0; the rest of a row (null doc_id, repeated rows, other columns of any name) is carried through; columns named
-like a result are replaced.
+like a result are replaced; a very long text is scanned whole, in one task.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ buckets are added to a running sum inside a bucket, and buckets hold about BUCKE
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own that comes
 last; rows with a null doc_id stand where a hash of their text puts them, so that they too are dealt over all
 buckets; rows that repeat a doc_id are documents of their own, in an order fixed by their size; an empty
-table gives no rows; columns of the input other than the three that are used do not matter, whatever their names.
+table gives no rows; columns of the input other than the three that are used do not matter, whatever their names; a very long
+text is counted whole.
 """
 
 from __future__ import annotations

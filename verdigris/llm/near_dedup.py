@@ -19,7 +19,7 @@ So a dense group costs comparisons with centres, not a comparison per pair of me
 
 Defined cases: texts without a word have equal sets; a text of fewer words than a shingle is one shingle;
 rows that repeat a doc_id, or have none, are told apart by a row number; an empty table gives no rows;
-other columns stay, whatever their names.
+other columns stay, whatever their names; a very long text is shingled whole, in its row's task.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ VOCABULARY vectors and pooled vectors of those documents are all that comes to t
 
 Defined cases: a null or empty text is the zero vector and has a score like any other; without labelled
 rows every score is 0.5; of rows that repeat a doc_id the smallest text is learnt; a null doc_id is never learnt from and its
-`held_out` is false; other columns do not matter.
+`held_out` is false; other columns do not matter; a very long text is pooled whole, some words at a time; columns named score or
+predicted are replaced.
 """
 
 from __future__ import annotations
@@ -78,14 +79,14 @@ def index_vectors(seed: int = 17) -> np.ndarray:
     return out
 
 
-_SUMS = "w int, " + ", ".join(f"v{k} int" for k in range(SIZE))
+_SUMS = "w int, " + ", ".join(f"v{k} long" for k in range(SIZE))
 #: Words whose surroundings are summed at once.
 CHUNK = 50_000
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per coordinate met the sum of the index vectors of the words around it."""
-    index, total = index_vectors().astype(np.int16), np.zeros((VOCABULARY, SIZE), np.int32)
+    index, total = index_vectors().astype(np.int16), np.zeros((VOCABULARY, SIZE), np.int64)
     met = np.zeros(VOCABULARY, bool)
 
     def add(parts: list[np.ndarray]) -> None:

@@ -6,7 +6,8 @@ each rule costs, reads the ledger and never the texts. A stored ledger is a vers
 
 Defined cases: a null or empty text has no words and zero measurements, so it fails `few_words`; a null
 doc_id, repeated rows and extra columns of any name are carried through as they are (one ledger row per input row),
-but for columns named like a measurement or `failed_bits`, which are replaced; an empty table gives an empty ledger.
+but for columns named like a measurement or `failed_bits`, which are replaced; an empty table gives an empty ledger; a very long
+text is measured whole, in its row's task.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ small-star steps over tables in the shared folder; nothing is collected.
 
 Defined cases: texts without a word have the fingerprint zero and link like any other; a null doc_id
 comes after all others, and a component of such rows alone has a null id; rows that repeat a doc_id
-stay one to one; an empty table gives no rows; columns other than the two used do not matter.
+stay one to one; an empty table gives no rows; columns other than the two used do not matter; a very long text is shingled
+whole, in its row's task.
 """
 
 from __future__ import annotations

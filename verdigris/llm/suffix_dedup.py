@@ -17,7 +17,8 @@ Results hold the union of the removed windows, judged on the input.
 
 Defined cases: a null text is empty and keeps nothing; texts shorter than MIN_BYTES stay; rows that repeat a
 doc_id (or have none) are documents of their own, in the order of a row number; matches never cross
-documents; an empty table gives no rows; other columns do not matter.
+documents; an empty table gives no rows; other columns do not matter; a very long text is cut into overlapping parts without a
+loss.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ features fit into TRAIN_BYTES, encoded where they lie and gone through EPOCHS ti
 
 Defined cases: a null or empty text has the bias alone as its features; without labelled rows, or with one
 class only, the score is that of the bias (0.5 without rows); a null doc_id is never learnt from and
-is held out if its null remainder says so, i.e. `held_out` is false; other columns do not matter.
+is held out if its null remainder says so, i.e. `held_out` is false; other columns do not matter; a very long text has its
+features hashed whole, in its row's task; columns named score or predicted are replaced.
 """
 
 from __future__ import annotations
