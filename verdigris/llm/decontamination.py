@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, with_row_key
+from .common import fresh, release, stage, with_row_key
 
 #: Words of a test string.
 WINDOW = 10
@@ -280,13 +280,14 @@ def _searched(docs: DataFrame, key: str, text: str, items: list[tuple[str | None
         found_in, names = sent.value
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
                 counts, spans, hit = search_texts(some.column(1).to_pylist(), found_in, names, window)
                 spans = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span)
                 out = [some.column(0), pa.array(counts, pa.int64()), spans, pa.array([sorted(h) for h in hit], pa.list_(pa.string()))]
                 out = pa.RecordBatch.from_arrays(out, ["key", "n_words", "spans", "items"])
                 yield out.filter(pa.array([bool(len(s)) for s in spans])) if hits_only else out
+        release()
 
     body = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     return body.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, n_words long, spans {_SPAN}, items array<string>")
