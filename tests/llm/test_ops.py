@@ -51,6 +51,24 @@ def test_query_agrees_with_sql(name, same_as_sql):
     same_as_sql(QUERIES[name], ORACLES[name])
 
 
+def test_hash_of_the_sql():
+    """The SQL's XXH64 of strings of all lengths around its blocks."""
+    import random
+
+    import duckdb
+    import xxhash
+
+    from verdigris.llm.queries import _xxh64_sql
+
+    some = random.Random(1)
+    words = ["".join(some.choice("abcé漢 z") for _ in range(n)) for n in range(140)] + ["x" * 1000]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE words (s VARCHAR)")
+    con.executemany("INSERT INTO words VALUES (?)", [(w,) for w in words])
+    found = dict(con.execute(f"WITH {_xxh64_sql('words')} SELECT s, h FROM hashed").fetchall())
+    assert found == {w: xxhash.xxh64_intdigest(w.encode(), 42) for w in words}
+
+
 def norm(t):
     return "".join(c for c in t if c not in SPACE)
 

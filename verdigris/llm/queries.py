@@ -175,6 +175,72 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
        (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM c{rounds}) AS codebooks_sha256
 FROM coded"""
 
+#: Fixed values of XXH64: its five primes.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _xxh64_sql(words: str, seed: int = 42) -> str:
+    """Steps that end in `hashed (s, h)`: the unsigned XXH64 of every s of a step, by its UTF-8 bytes."""
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in _PRIMES)
+    space = "18446744073709551616::UHUGEINT"  # 2^64
+
+    def low(x: str) -> str:
+        return f"CAST(({x}) % {space} AS UBIGINT)"
+
+    def rotated(x: str, by: int) -> str:
+        shifted = f"(({x})::UHUGEINT * {1 << by}::UHUGEINT)"
+        return f"({shifted} % {space} + {shifted} // {space})"
+
+    def number(at: str, width: int) -> str:
+        return f"CAST('0x' || {' || '.join(f'substr(x, 2 * ({at}) + {2 * k + 1}, 2)' for k in reversed(range(width)))} AS UBIGINT)"
+
+    starts = (seed + _PRIMES[0] + _PRIMES[1], seed + _PRIMES[1], seed, seed - _PRIMES[0])
+    lanes = [
+        f"list_reduce(list_transform(range({j}, 4 * (n // 32), 4), lambda i: {low(f'e[i + 1]::UHUGEINT * {p2}')}), "
+        f"lambda a, k: {low(rotated(low(f'a::UHUGEINT + k::UHUGEINT'), 31) + f' * {p1}')}, {start % (1 << 64)}::UBIGINT) AS v{j}"
+        for j, start in enumerate(starts)
+    ]
+    joined = low(" + ".join(rotated(f"v{j}", by) for j, by in enumerate((1, 7, 12, 18))))
+    merged = "joined"
+    for j in range(4):
+        merged = low(f"xor({merged}, {low(rotated(low(f'v{j}::UHUGEINT * {p2}'), 31) + f' * {p1}')})::UHUGEINT * {p1} + {p4}")
+    rest = f"list_transform(e[4 * (n // 32) + 1:], lambda k: {low(rotated(low(f'k::UHUGEINT * {p2}'), 31) + f' * {p1}')})"
+    by_eight = f"list_reduce({rest}, lambda a, k: {low(rotated('xor(a, k)', 27) + f' * {p1} + {p4}')}, {low('h::UHUGEINT + n::UHUGEINT')})"
+    four = f"xor(h, {low(f'{number(chr(110) + ' // 8 * 8', 4)}::UHUGEINT * {p1}')})"
+    by_one = f"list_reduce(list_transform(range(n // 4 * 4, n), lambda i: {number('i', 1)}), lambda a, k: {low(rotated(f'xor(a, {low(f"k::UHUGEINT * {p5}")})', 11) + f' * {p1}')}, h)"
+    steps = (
+        f"SELECT s, x, len(x) // 2 AS n, list_transform(range(0, len(x) // 16), lambda i: {number('8 * i', 8)}) AS e FROM (SELECT s, hex(encode(s)) AS x FROM {words})",
+        f"SELECT *, {', '.join(lanes)} FROM x0",
+        f"SELECT s, x, n, e, v0, v1, v2, v3, {joined} AS joined FROM x1",
+        f"SELECT s, x, n, e, CASE WHEN n >= 32 THEN {merged} ELSE {seed + _PRIMES[4]}::UBIGINT END AS h FROM x2",
+        f"SELECT s, x, n, {by_eight} AS h FROM x3",
+        f"SELECT s, x, n, CASE WHEN n % 8 >= 4 THEN {low(rotated(four, 23) + f' * {p2} + {p3}')} ELSE h END AS h FROM x4",
+        f"SELECT s, {by_one} AS h FROM x5",
+        f"SELECT s, {low(f'xor(h, h >> 33)::UHUGEINT * {p2}')} AS h FROM x6",
+        f"SELECT s, {low(f'xor(h, h >> 29)::UHUGEINT * {p3}')} AS h FROM x7",
+    )
+    return ", ".join(f"x{k} AS MATERIALIZED ({step})" for k, step in enumerate(steps)) + ", hashed AS (SELECT s, xor(h, h >> 32) AS h FROM x8)"
+
+
+def _simhash_sql() -> str:
+    """Fingerprints by words counted per bit; components as what a recursion reaches over links of all pairs of fingerprints."""
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}+'), lambda x: x <> '') AS ws FROM documents
+), shingles AS MATERIALIZED (
+  SELECT r, array_to_string(ws[i:i + 2], ' ') AS s FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)
+), words AS MATERIALIZED (SELECT DISTINCT s FROM shingles), {_xxh64_sql("words")}, bits AS (
+  SELECT r, b, sum(CASE WHEN (h >> b) % 2 = 1 THEN n ELSE 0 END) * 2 > sum(n) AS one
+  FROM (SELECT r, s, count(*) AS n FROM shingles GROUP BY r, s) JOIN hashed USING (s), range(0, 64) AS t(b) GROUP BY r, b
+), prints AS MATERIALIZED (
+  SELECT r, doc_id, CAST(coalesce(f, 0) AS UBIGINT) AS f FROM d LEFT JOIN (SELECT r, bit_or(1::UBIGINT << b::UBIGINT) AS f FROM bits WHERE one GROUP BY r) USING (r)
+), nodes AS MATERIALIZED (SELECT f, min(doc_id) AS first FROM prints GROUP BY f
+), links AS MATERIALIZED (SELECT a.f, b.f AS g FROM nodes a JOIN nodes b ON bit_count(xor(a.f, b.f)) <= 3
+), reached AS (SELECT f, f AS g FROM nodes UNION SELECT reached.f, links.g FROM reached JOIN links ON reached.g = links.f)
+SELECT doc_id, printf('%016x', f) AS fingerprint, component_id
+FROM prints JOIN (SELECT reached.f, min(first) AS component_id FROM reached JOIN nodes ON reached.g = nodes.f GROUP BY reached.f) USING (f)"""
+
 
 ORACLES: dict[str, str] = {
     "quality_rule_ablations": _LEDGER
@@ -199,6 +265,25 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op3_suffix_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), starts AS (
+  SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM d)
+), twice AS (
+  SELECT r, i FROM starts QUALIFY count(*) OVER (PARTITION BY k) > 1
+), runs AS (
+  SELECT r, min(i) AS a, max(i) + 200 AS b FROM (
+    SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS g FROM (
+      SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS opens FROM twice)) GROUP BY r, g
+), cut AS (
+  SELECT r, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS after,
+         string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs) JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(from_hex(coalesce(kept, '') || substr(x, 2 * coalesce(after, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)""",
     "op4_quality_rules": _LEDGER + """SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, CAST(failed_bits AS BIGINT) AS failed_bits FROM bits""",
@@ -243,6 +328,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
             WHEN schedule = 1 THEN (sqrt(2.25 + 2 * -1.0 * share) - 1.5) / -1.0
             ELSE (sqrt(0.25 + 2 * 1.0 * share) - 0.5) / 1.0 END AS position
 FROM (SELECT *, least(1.0, (before + least(size, asked - before) / 2) / asked) AS share FROM placed)""",
+    "op10_simhash": _simhash_sql(),
     "op11_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
