@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from verdigris.context import RunContext
 from verdigris.functions.columns import batch_date, iso_timestamp, null_or_blank
 from verdigris.operators import checks, metrics
-from verdigris.operators.validate import SUPERSEDED, clean, rejected, stamp, tag
+from verdigris.operators.validate import SUPERSEDED, ForeignKey, clean, newest, probe, ranked, rejected, stamp, tag
 from verdigris.plans.pipeline import DEPARTMENTS, EMPLOYEES
 
 RUN = RunContext("b1", datetime(2021, 3, 1, 12))
@@ -163,3 +163,68 @@ def test_one_of_equal_valid_rows_stays(spark):
     tagged = tag(EMPLOYEES, facts(spark, same, same, same), dims(spark))
     assert clean(EMPLOYEES, tagged).count() == 1
     assert sorted(r.occurrence for r in rejected(EMPLOYEES, tagged, RUN).collect()) == [1, 2]
+
+
+def test_ranks_of_a_hot_key_are_counted_in_ranges(spark):
+    """Half of the rows are of one key, many of them equal: no range holds the key, and the numbers are those of one window."""
+    n = 20_000
+    k = F.col("id")
+    rows = spark.range(0, n, 1, 8).select(
+        F.when(k % 2 == 0, 7).when(k % 97 != 0, k % 50).cast("long").alias("k"), F.when(k % 11 != 0, F.expr("date_add(date'2021-01-01', cast(id * 31 % 40 as int))")).alias("at"), (k % 3).alias("v")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or these few rows would be one range
+    try:
+        found = ranked(rows, ["k"], ["at"], ["v"], "rn", path=(where := f"{spark.conf.get('spark.checkpoint.dir')}/ranked-here"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found.columns == ["k", "at", "v", "rn"]
+    spread = spark.read.parquet(where).where("k = 7").groupBy("_range").count().collect()
+    assert len(spread) > 1 and max(r["count"] for r in spread) < n // 2
+    got, want = {}, {}
+    for r in found.collect():
+        got.setdefault(r.k, []).append((r.rn, r.at, r.v))
+    for r in rows.collect():
+        want.setdefault(r.k, []).append((r.at is None, -r.at.toordinal() if r.at else 0, r.v, r.at))
+    assert {key: sorted(v) for key, v in got.items()} == {key: [(i, x[3], x[2]) for i, x in enumerate(sorted(v, key=lambda x: x[:3]), 1)] for key, v in want.items()}
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("long", [-(2**63), -1, 0, 5, 2**63 - 1, None]), ("string", ["", "a", "ab", "b", "é", "漢", None]), ("double", [float("-inf"), -0.5, 0.0, 2.5, float("inf"), float("nan"), None]),
+    ("decimal(5,2)", [None, 1, -2, 3]), ("date", [datetime(1900, 1, 1).date(), datetime(2021, 3, 1).date(), None]), ("timestamp", [datetime(1960, 1, 1), datetime(2021, 3, 1, 1), None]),
+])
+def test_the_newest_row_of_any_type(spark, kind, values):
+    """Of every two values the one that Spark sorts first in descending order stays; equals are decided by the tie."""
+    rows = [(i * 100 + j, side, x) for i, a in enumerate(values) for j, b in enumerate(values) for side, x in ((0, a), (1, b))]
+    df = spark.createDataFrame([(k, s) for k, s, _ in rows], "k long, side int")
+    shown = spark.createDataFrame([(i, str(x) if kind.startswith("decimal") and x is not None else x) for i, x in enumerate(values)], f"i long, x {'string' if kind.startswith('decimal') else kind}")
+    at = shown.select("i", F.col("x").cast(kind).alias("at"))
+    df = df.join(at, F.when(F.col("side") == 0, F.floor(F.col("k") / 100)).otherwise(F.col("k") % 100) == F.col("i")).select("k", "side", "at")
+    from pyspark.sql import Window
+
+    first = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("at"), "side"))).where("rn = 1")
+    assert sorted((r.k, r.side) for r in newest(df, ["k"], ["at"], ["side"]).collect()) == sorted((r.k, r.side) for r in first.collect())
+
+
+def test_an_order_that_cannot_be_turned_is_refused(spark):
+    with pytest.raises(TypeError):
+        newest(spark.sql("SELECT 1 AS k, array(1) AS at, 2 AS v"), ["k"], ["at"], ["v"])
+
+
+def test_rows_without_a_reference_are_spread(spark):
+    """A shuffled probe of rows of which most have no reference: their partition is split."""
+    fk = ForeignKey("d", "departments")
+    rows = spark.range(0, 40_000, 1, 4).select(F.when(F.col("id") % 4 == 0, F.col("id") % 400).alias("d"), F.col("id").alias("v"))
+    known = spark.range(0, 200, 8).union(spark.range(0, 16, 8))
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    before = {c: spark.conf.get(c) for c in small}
+    try:
+        for c, v in small.items():
+            spark.conf.set(c, v)
+        found = probe(rows, {"departments": known}, [fk])
+        got = found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(got) == 40_000 and all((r[fk.found] is not None) == (r.d is not None and r.d % 8 == 0 and r.d < 200) for r in got)

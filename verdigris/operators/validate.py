@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType, TimestampNTZType, TimestampType
 
 from ..context import RunContext, shared_dir
 from ..functions.columns import batch_date, failed, iso_timestamp, null_or_blank, payload
@@ -102,17 +103,65 @@ def stamp(df: DataFrame, run: RunContext, source_system: str | None = None) -> D
 
 def probe(df: DataFrame, dimensions: dict[str, DataFrame], foreign_keys: Sequence[ForeignKey]) -> DataFrame:
     """Left joins that mark which references exist. Ids are made distinct first, so no row multiplies; whether
-    a dimension is broadcast is for its size to decide."""
+    a dimension is broadcast is for its size to decide. Where it is too large, rows without a reference, or with a frequent one, meet in one
+    partition of the shuffle, which adaptive execution splits. It does so only where the join reads both its shuffles itself, so ids are made
+    distinct in another partitioning than the join's, that of a hash beside them."""
     for fk in foreign_keys:
-        ids = dimensions[fk.dimension].select(F.col(fk.key).alias(fk.found)).distinct()
+        ids = dimensions[fk.dimension].select(F.col(fk.key).alias(fk.found), F.xxhash64(fk.key).alias("_hash")).distinct().drop("_hash")
         df = df.join(ids, F.col(fk.column) == F.col(fk.found), "left")
     return df
 
 
-def rank_in_key(df: DataFrame, keys: Sequence[str], newest_first: Sequence[Column], tie: Sequence[str]) -> Column:
-    """1 for the row that stays: the newest, and among equals the first by the tie columns, so that the
-    order is total over distinct rows."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*[c.desc() for c in newest_first], *tie))
+def descending(column: Column, kind: DataType) -> Column:
+    """What sorts in ascending order as the column does in descending order, nulls last."""
+    if isinstance(kind, DateType):
+        turned = F.bitwise_not(F.unix_date(column))
+    elif isinstance(kind, (TimestampType, TimestampNTZType)):
+        turned = F.bitwise_not(F.unix_micros(column.cast("timestamp")))
+    elif isinstance(kind, StringType):
+        turned = F.concat(F.translate(F.hex(column), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
+    elif isinstance(kind, IntegralType):
+        turned = F.bitwise_not(column)
+    elif isinstance(kind, (FloatType, DoubleType)):
+        turned = F.struct((~F.isnan(column)).alias("number"), (-column).alias("x"))
+    elif isinstance(kind, DecimalType):
+        turned = -column
+    else:
+        raise TypeError(f"{kind.simpleString()} has no order that can be turned round")
+    return F.struct(column.isNull().alias("none"), turned.alias("turned"))
+
+
+def newest(df: DataFrame, keys: Sequence[str], newest_first: Sequence[str], tie: Sequence[str]) -> DataFrame:
+    """One row of each key: the newest, and among equals the first by the tie columns. Found by an aggregate that tasks begin
+    before anything is shuffled, so a key that most rows share costs no task more than others."""
+    order = F.struct(*[descending(F.col(c), df.schema[c].dataType).alias(f"n{i}") for i, c in enumerate(newest_first)], *tie)
+    rest = [c for c in df.columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col("_best")[c].alias(c) for c in df.columns])
+
+
+def ranked(df: DataFrame, keys: Sequence[str], newest_first: Sequence[str], tie: Sequence[str], name: str, path: str | None = None) -> DataFrame:
+    """df with a number from 1 on inside each key, the newest row first, equals by the tie columns, so that the order is total over
+    distinct rows. Rows are dealt into ranges of the whole order, which cut a key that has many rows, and written; they are numbered
+    inside a range, and the rows of a key in the ranges before are added. Only keys at the ends of ranges are in more than one, so what is
+    broadcast has at most two rows a range."""
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/ranked-{uuid.uuid4().hex}"
+    order = [*[F.col(c).desc() for c in newest_first], *tie, "_row"]
+    rows = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    key = F.struct(*keys)
+    ends = rows.groupBy("_range").agg(F.min(key).alias("a"), F.max(key).alias("b"))
+    cut = ends.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("k")).groupBy("k").count().where("count > 1")
+    cut = cut.select(*[F.col("k")[c].alias(f"_same{i}") for i, c in enumerate(keys)])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_same{i}")) for i, c in enumerate(keys)])
+    earlier = Window.partitionBy(*[f"_same{i}" for i in range(len(keys))]).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.join(F.broadcast(cut), same).groupBy(*cut.columns, F.col("_range").alias("_in")).agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").drop("_n")
+    number = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    found = rows.withColumn("_number", number).join(F.broadcast(counts), same & (F.col("_range") == F.col("_in")), "left")
+    return found.select(*df.columns, (F.col("_number") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
 
 
 def judge(spec: EntitySpec, rows: DataFrame, dimensions: dict[str, DataFrame] | None = None) -> DataFrame:

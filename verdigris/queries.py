@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .context import RunContext, shared_dir
 from .functions.columns import batch_date, in_year, iso_timestamp, null_or_blank, payload
 from .operators import checks, metrics
-from .operators.validate import REJECTED_KEYS, ForeignKey, clean, dimension_spec, event_spec, judge, probe, rejected, stamp, tag, union_all
+from .operators.validate import REJECTED_KEYS, ForeignKey, clean, dimension_spec, event_spec, judge, newest, probe, ranked, rejected, stamp, tag, union_all
 from .plans.dirtied import dirtied
 from .plans.sqlrun import run_sql
 from .sources.catalog import rebuild_table, save_as_table
@@ -135,27 +135,29 @@ def orphan_check(spark, sf_dir):
 # Windows
 
 
-def ranked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .operators.validate import rank_in_key
+LINE_KEYS = ["l_orderkey", "l_linenumber"]
+LINE_TIES = ["l_partkey", "l_suppkey", "l_extendedprice"]
 
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
-    rank = rank_in_key(lines, ["l_orderkey", "l_linenumber"], [F.col("l_shipdate")], ["l_partkey", "l_suppkey", "l_extendedprice"])
-    return lines.withColumn("rn", rank)
+
+def dated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*LINE_KEYS, "l_shipdate", *LINE_TIES)
 
 
 @query
 def dedup_row_number(spark, sf_dir):
-    return ranked_lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("rn").cast("int").alias("rn"))
+    rows = ranked(dated_lines(spark, sf_dir), LINE_KEYS, ["l_shipdate"], LINE_TIES, "rn")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("rn").cast("int").alias("rn"))
 
 
 @query
 def dedup_kept(spark, sf_dir):
-    return ranked_lines(spark, sf_dir).where("rn = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    return newest(dated_lines(spark, sf_dir), LINE_KEYS, ["l_shipdate"], LINE_TIES).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
 @query
 def dedup_superseded(spark, sf_dir):
-    return ranked_lines(spark, sf_dir).where("rn > 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    rows = ranked(dated_lines(spark, sf_dir), LINE_KEYS, ["l_shipdate"], LINE_TIES, "rn")
+    return rows.where("rn > 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
 @query

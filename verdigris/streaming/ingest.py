@@ -7,9 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.validate import rank_in_key
+from ..operators.validate import newest
 from ..sources.versioned import VersionedTable
-from pyspark.sql import functions as F
 
 
 def upsert_stream(rows: DataFrame, table: VersionedTable, keys: Sequence[str], newest_first: Sequence[str], prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataStreamWriter:
@@ -18,8 +17,7 @@ def upsert_stream(rows: DataFrame, table: VersionedTable, keys: Sequence[str], n
 
     def merge(batch: DataFrame, batch_number: int) -> None:
         batch = prepare(batch) if prepare else batch
-        tie = [c for c in batch.columns if c not in newest_first]
-        rank = rank_in_key(batch, keys, [F.col(c) for c in newest_first], tie)
-        table.merge(batch.withColumn("_rank", rank).where("_rank = 1").drop("_rank"), keys, skip_unchanged=True)
+        tie = [c for c in batch.columns if c not in (*keys, *newest_first)]
+        table.merge(newest(batch, keys, newest_first, tie), keys, skip_unchanged=True)
 
     return rows.writeStream.foreachBatch(merge)
