@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.context import RunContext
+from verdigris.context import RunContext, clear_shared, shared_dir
 from verdigris.functions.columns import batch_date, iso_timestamp, null_or_blank
 from verdigris.operators import checks, metrics
 from verdigris.operators.validate import SUPERSEDED, ForeignKey, clean, newest, probe, ranked, rejected, stamp, tag
@@ -228,3 +228,19 @@ def test_rows_without_a_reference_are_spread(spark):
         for c, v in before.items():
             spark.conf.set(c, v)
     assert len(got) == 40_000 and all((r[fk.found] is not None) == (r.d is not None and r.d % 8 == 0 and r.d < 200) for r in got)
+
+
+def test_what_steps_have_written_is_cleared(spark):
+    """Only what this application wrote for its own steps goes; a caller's own path stays."""
+    import os
+
+    clear_shared(spark)
+    root = shared_dir(spark).removeprefix("file://")
+    before, mine = set(os.listdir(root)), f"{shared_dir(spark)}/callers-own"
+    row = (7, "Ann", "2021-02-01T08:00:00Z", 1, 1, "f_2021_01_01.csv")
+    assert clean(EMPLOYEES, tag(EMPLOYEES, facts(spark, row), dims(spark))).count() == 1
+    assert ranked(facts(spark, row), ["id"], ["datetime"], ["name"], "rn").count() == 1
+    assert tag(EMPLOYEES, facts(spark, row), dims(spark), mine).count() == 1
+    made = set(os.listdir(root)) - before
+    assert len(made) == 3 and clear_shared(spark) == 2 and clear_shared(spark) == 0
+    assert set(os.listdir(root)) - before == {"callers-own"}

@@ -58,3 +58,24 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="verdigris-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+#: Folders made by shared_path, by the application that asked for them.
+_MADE: dict[str, list[str]] = {}
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, for what a later step reads."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete what this application has written under shared_path, once the results made from it are read or written;
+    returns how many folders there were."""
+    found = 0
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return found

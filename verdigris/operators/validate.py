@@ -8,7 +8,6 @@ counts are added up. So no step brings the rows of one id, or equal rows, togeth
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DateType, DecimalType, DoubleType, FloatType, IntegralType, StringType, TimestampNTZType, TimestampType
 
-from ..context import RunContext, shared_dir
+from ..context import RunContext, shared_path
 from ..functions.columns import batch_date, failed, iso_timestamp, null_or_blank, payload
 from ..sources.files import RESCUED
 
@@ -146,7 +145,7 @@ def ranked(df: DataFrame, keys: Sequence[str], newest_first: Sequence[str], tie:
     inside a range, and the rows of a key in the ranges before are added. Only keys at the ends of ranges are in more than one, so what is
     broadcast has at most two rows a range."""
     spark = df.sparkSession
-    path = path or f"{shared_dir(spark)}/ranked-{uuid.uuid4().hex}"
+    path = path or shared_path(spark, "ranked")
     order = [*[F.col(c).desc() for c in newest_first], *tie, "_row"]
     rows = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     rows.write.parquet(path)
@@ -176,7 +175,7 @@ def tag(spec: EntitySpec, rows: DataFrame, dimensions: dict[str, DataFrame] | No
     its id, 2 for those it supersedes, null for invalid rows. Validation comes first: an invalid newer row supersedes nothing.
     The judged rows are written to `path`, or a new folder that driver and executors share."""
     spark = rows.sparkSession
-    path = path or f"{shared_dir(spark)}/judged-{spec.name}-{uuid.uuid4().hex}"
+    path = path or shared_path(spark, f"judged-{spec.name}")
     judged = judge(spec, rows, dimensions).withColumn("_row", F.monotonically_increasing_id())
     judged.write.mode("overwrite").parquet(path)
     judged = spark.read.schema(judged.schema).parquet(path)

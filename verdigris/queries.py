@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .context import RunContext, shared_dir
+from .context import RunContext, shared_path
 from .functions.columns import batch_date, in_year, iso_timestamp, null_or_blank, payload
 from .operators import checks, metrics
 from .operators.validate import REJECTED_KEYS, ForeignKey, clean, dimension_spec, event_spec, judge, newest, probe, ranked, rejected, stamp, tag, union_all
@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 # Metrics
