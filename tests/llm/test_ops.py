@@ -53,10 +53,7 @@ def test_query_agrees_with_sql(name, same_as_sql):
 
 def test_hash_of_the_sql():
     """The SQL's XXH64 of strings of all lengths around its blocks."""
-    import random
-
     import duckdb
-    import xxhash
 
     from verdigris.llm.queries import _xxh64_sql
 
