@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from verdigris.context import RunContext, clear_shared, shared_dir
+from verdigris.context import RunContext, clear_shared, own_schema, shared_dir
 from verdigris.functions.columns import batch_date, iso_timestamp, null_or_blank
 from verdigris.operators import checks, metrics
 from verdigris.operators.validate import SUPERSEDED, ForeignKey, clean, newest, probe, ranked, rejected, stamp, tag
@@ -132,6 +132,13 @@ def test_checks(spark):
     assert not checks.reconcile("b", spark.range(5), spark.range(3), audit).first().passed
 
 
+def test_entities_reconcile_by_one_read_of_the_audit(spark, tmp_path):
+    spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("other", "y"), (None, "y")], "table_name string, rejection_reason string").write.parquet(f"{tmp_path}/audit")
+    found = checks.reconcile_all({"a": (spark.range(5), spark.range(3)), "b": (spark.range(5), spark.range(3)), "none": (spark.range(0), spark.range(0))}, spark.read.parquet(f"{tmp_path}/audit"))
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 5, 3, 2, 5, True), ("b", 5, 3, 1, 4, False), ("none", 0, 0, 0, 0, True)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
 def test_rows_of_one_id_are_never_brought_together(spark):
     """A table of one id: the row that stays is found without a window, and every task keeps its rows."""
     n = 20_000
@@ -244,3 +251,15 @@ def test_what_steps_have_written_is_cleared(spark):
     made = set(os.listdir(root)) - before
     assert len(made) == 3 and clear_shared(spark) == 2 and clear_shared(spark) == 0
     assert set(os.listdir(root)) - before == {"callers-own"}
+
+
+def test_schemas_of_steps_are_dropped(spark):
+    """With what is in them; a schema that only looks alike stays."""
+    clear_shared(spark)
+    mine, others = own_schema(spark, "step"), own_schema(spark, "step")[:-4] + "_not"
+    for schema in (mine, f"{mine}_gold", others):
+        spark.sql(f"CREATE SCHEMA {schema}")
+        spark.range(3).write.saveAsTable(f"{schema}.t")
+    clear_shared(spark)
+    assert [s for s in (mine, f"{mine}_gold", others) if spark.catalog.databaseExists(s)] == [others]
+    spark.sql(f"DROP SCHEMA {others} CASCADE")

@@ -37,6 +37,21 @@ def test_merge_history_and_time_travel(spark, made):
     assert {r._change_type for r in made.changes(2).collect()} == {"delete"}
 
 
+def test_incidental_columns_change_nothing_alone(spark, made):
+    df = lambda *r: spark.createDataFrame(r, "k int, v string, m map<string,int>, at int")
+    again = lambda *r: made.merge(df(*r), ["k"], skip_unchanged=True, incidental=["at"])
+    made.merge(df((1, "a", {"x": 1, "y": 2}, 1), (2, None, None, 1), (3, "c", {}, None)), ["k"])
+    assert again((1, "a", {"y": 2, "x": 1}, 2), (2, None, None, None), (3, "c", {}, 2)) is None
+    assert again((1, "a", {"x": 1, "y": 3}, 2), (2, "b", None, 2), (3, "c", {}, 2), (4, "d", None, 2)) == 1
+    assert {r.k: (r.v, r.at) for r in made.read().collect()} == {1: ("a", 2), 2: ("b", 2), 3: ("c", None), 4: ("d", 2)}
+    assert sorted((r.k, r._change_type) for r in made.changes(1).collect()) == [(1, "update_postimage"), (1, "update_preimage"), (2, "update_postimage"), (2, "update_preimage"), (4, "insert")]
+    assert made.merge(df((1, "a", {"x": 1, "y": 3}, 3)), ["k"], delete_unmatched=True, incidental=["at"]) == 2
+    assert [(r.k, r.at) for r in made.read().collect()] == [(1, 2)]
+    for wrong in (["k"], ["none"]):
+        with pytest.raises(ValueError):
+            made.merge(df((1, "a", None, 1)), ["k"], incidental=wrong)
+
+
 def test_repeated_source_keys_raise(spark, made):
     with pytest.raises(RepeatedKeys):
         made.merge(spark.createDataFrame([(1, "a", 1), (1, "a", 2)], SCHEMA), ["k", "l"])

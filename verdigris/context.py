@@ -71,10 +71,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Schemas of the catalog made for a step's own tables and views, by the application that asked for them.
+_SCHEMAS: dict[str, list[str]] = {}
+
+
+def own_schema(spark: SparkSession, name: str) -> str:
+    """The name of a schema that no other run has, for tables and views which only a step's own statements speak of."""
+    schema = f"verdigris_{name}_{uuid.uuid4().hex}"
+    _SCHEMAS.setdefault(spark.sparkContext.applicationId, []).append(schema)
+    return schema
+
+
 def clear_shared(spark: SparkSession) -> int:
-    """Delete what this application has written under shared_path, once the results made from it are read or written;
-    returns how many folders there were."""
+    """Delete what this application has written under shared_path, and schemas that begin with own_schema's names, once the results
+    made from them are read or written; returns how many folders there were."""
     found = 0
+    mine = tuple(_SCHEMAS.pop(spark.sparkContext.applicationId, []))
+    for database in spark.catalog.listDatabases() if mine else []:
+        if database.name.startswith(mine):
+            spark.sql(f"DROP SCHEMA IF EXISTS {database.name} CASCADE")
     for path in _MADE.pop(spark.sparkContext.applicationId, []):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         found += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -26,6 +26,8 @@ SUPERSEDED = "duplicate_id_superseded_by_newer_record"
 TECHNICAL = ("source_system", "source_file", "ingestion_timestamp", "ingestion_date", "batch_id")
 #: What tells one rejection from another, null-safe: also rows without an id, and equal rows of a file.
 REJECTED_KEYS = ("table_name", "record_id", "source_file", "record_hash", "occurrence")
+#: What tells when a rejection was seen; a rerun that sees it again changes nothing. The payload holds the run's time too.
+SEEN = ("rejection_timestamp", "batch_id", "raw_payload")
 
 
 @dataclass(frozen=True)

@@ -32,6 +32,19 @@ _NATIONS = """dirty AS (
 _MERGED = """merged AS (
   SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, o_totalprice FROM orders
 )"""
+_HIRED = f"""{_FACTS}, judged AS (
+  SELECT list_filter([
+      CASE WHEN id IS NULL THEN 'id_is_null' END,
+      CASE WHEN name IS NULL OR trim(name) = '' THEN 'name_is_null_or_empty' END,
+      CASE WHEN datetime IS NULL THEN 'datetime_is_null' END,
+      CASE WHEN datetime IS NOT NULL AND hire_datetime IS NULL THEN 'datetime_invalid_iso_format' END,
+      CASE WHEN department_id IS NULL THEN 'department_id_is_null' END,
+      CASE WHEN department_id IS NOT NULL AND (n_nationkey IS NULL OR n_nationkey % 6 = 0) THEN 'department_id_not_found_in_departments' END,
+      CASE WHEN job_id IS NULL THEN 'job_id_is_null' END,
+      CASE WHEN job_id IS NOT NULL AND r_regionkey IS NULL THEN 'job_id_not_found_in_jobs' END
+    ], lambda x: x IS NOT NULL) AS reasons, hire_datetime, department_id, n_name, r_name
+  FROM parsed LEFT JOIN nation ON department_id = n_nationkey LEFT JOIN region ON job_id = r_regionkey WHERE source_file = 'orders_1998_01_01.csv'
+)"""
 _REFUSED = "'hired_employees' AS table_name, CAST(id AS VARCHAR) AS record_id, 'landing_csv' AS source_system, source_file, reason AS rejection_reason"
 
 ORACLES: dict[str, str] = {
@@ -106,6 +119,10 @@ UNION ALL SELECT o_orderkey, o_custkey + 1, 'update_postimage', 1 FROM orders WH
 UNION ALL SELECT id, 'it''s new', source_file FROM dirtied WHERE source_file = 'orders_1998_01_02.csv' AND id % 2 = 0""",
     "silver_load": f"{_FACTS} SELECT id, name, hire_datetime, department_id, job_id, CAST(0 AS BIGINT) AS version FROM tagged WHERE rank = 1",
     "audit_load": f"{_FACTS} SELECT 'hired_employees' AS table_name, reason AS rejection_reason, COUNT(*) AS n FROM refused GROUP BY 1, 2",
+    "audit_first_seen": f"""{_FACTS}, seen AS (SELECT source_file, reason, source_file = 'orders_1998_01_01.csv' AND reason <> 'id_is_null' AS known FROM refused)
+SELECT source_file, CASE WHEN reason = 'id_is_null' THEN 'id_is_missing' ELSE reason END AS rejection_reason, CASE WHEN known THEN 'batch' ELSE 'batch 2' END AS batch_id,
+  CASE WHEN known THEN TIMESTAMP '1998-02-01 00:00:00' ELSE TIMESTAMP '1998-02-02 00:00:00' END AS rejection_timestamp, COUNT(*) AS n, CAST(1 AS BIGINT) AS version
+FROM seen GROUP BY ALL""",
     "table_exists": 'SELECT false AS "before", true AS "after"',
     "table_properties": "SELECT CAST(0 AS BIGINT) AS version, 'audit' AS owner, 'true' AS change_feed",
     "registered_view": f"WITH {_MERGED} SELECT * FROM merged",
@@ -131,25 +148,31 @@ WHERE o_totalprice >= 1000 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0)""",
 FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""",
     "rescued_records": """SELECT CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS INT) END AS id, c_name AS name,
   CASE WHEN c_custkey % 5 = 0 THEN concat('{"id":"x', c_custkey, '","name":"', c_name, '"}') END AS rescued, 'api' AS source_system FROM customer""",
-    "hiring_load": f"""{_FACTS}, judged AS (
-  SELECT list_filter([
-      CASE WHEN id IS NULL THEN 'id_is_null' END,
-      CASE WHEN name IS NULL OR trim(name) = '' THEN 'name_is_null_or_empty' END,
-      CASE WHEN datetime IS NULL THEN 'datetime_is_null' END,
-      CASE WHEN datetime IS NOT NULL AND hire_datetime IS NULL THEN 'datetime_invalid_iso_format' END,
-      CASE WHEN department_id IS NULL THEN 'department_id_is_null' END,
-      CASE WHEN department_id IS NOT NULL AND (n_nationkey IS NULL OR n_nationkey % 6 = 0) THEN 'department_id_not_found_in_departments' END,
-      CASE WHEN job_id IS NULL THEN 'job_id_is_null' END,
-      CASE WHEN job_id IS NOT NULL AND r_regionkey IS NULL THEN 'job_id_not_found_in_jobs' END
-    ], lambda x: x IS NOT NULL) AS reasons, hire_datetime
-  FROM parsed LEFT JOIN nation ON department_id = n_nationkey LEFT JOIN region ON job_id = r_regionkey WHERE source_file = 'orders_1998_01_01.csv'
-)
+    "hiring_load": f"""{_HIRED}
 SELECT 'hired_employees' AS table_name, array_to_string(reasons, '; ') AS what, COUNT(*) AS n FROM judged WHERE len(reasons) > 0 GROUP BY 2
 UNION ALL SELECT 'departments', 'department_is_null_or_empty', COUNT(*) FROM nation WHERE n_nationkey % 6 = 0
 UNION ALL SELECT 'departments', 'silver', COUNT(*) FROM nation WHERE n_nationkey % 6 <> 0
 UNION ALL SELECT 'jobs', 'silver', COUNT(*) FROM region
 UNION ALL SELECT 'hired_employees', 'silver', COUNT(*) FROM judged WHERE len(reasons) = 0
 UNION ALL SELECT 'gold', 'hires', COUNT(*) FROM judged WHERE len(reasons) = 0 AND year(hire_datetime) = 1998""",
+    "scripted_load": f"""{_HIRED}, good AS (SELECT * FROM judged WHERE len(reasons) = 0), hires AS (SELECT * FROM good WHERE year(hire_datetime) = 1998),
+per AS (SELECT department_id, COUNT(*) AS n FROM hires GROUP BY 1), bad AS (SELECT 1 FROM judged WHERE len(reasons) > 0 UNION ALL SELECT 1 FROM nation WHERE n_nationkey % 6 = 0),
+counts(name, n) AS (
+  SELECT 'bronze.departments_raw', COUNT(*) FROM nation
+  UNION ALL SELECT 'bronze.jobs_raw', COUNT(*) FROM region
+  UNION ALL SELECT 'bronze.hired_employees_raw', COUNT(*) FROM judged
+  UNION ALL SELECT 'silver.departments', COUNT(*) FROM nation WHERE n_nationkey % 6 <> 0
+  UNION ALL SELECT 'silver.jobs', COUNT(*) FROM region
+  UNION ALL SELECT 'silver.hired_employees', COUNT(*) FROM good
+  UNION ALL SELECT 'silver.rejected_records', COUNT(*) FROM bad
+  UNION ALL SELECT 'gold.hires_by_department_job_quarter_1998', COUNT(*) FROM (SELECT DISTINCT n_name, r_name FROM hires)
+  UNION ALL SELECT 'gold.departments_above_average_hiring_1998', COUNT(*) FROM per WHERE n > (SELECT AVG(n) FROM per)
+)
+SELECT 'row_counts' AS "check", name, n, CAST(NULL AS BOOLEAN) AS passed FROM counts
+UNION ALL SELECT 'reconciliation', name[8:-5], n, true FROM counts WHERE name LIKE 'bronze%'
+UNION ALL SELECT unnest(['duplicates', 'orphans']), 'hired_employees', 0, true
+UNION ALL SELECT 'gold_rollup', n_name, COUNT(*), NULL FROM hires GROUP BY n_name
+UNION ALL SELECT 'audit', 'of this batch', COUNT(*), NULL FROM bad""",
     "saved_table": "SELECT * FROM nation",
     "gold_rebuild": f"WITH {_LOCATED} {_PIVOT}",
     "in_memory_source": "SELECT r_name, label FROM region JOIN (VALUES (0, 'none'), (1, 'one'), (2, NULL)) AS t(k, label) ON r_regionkey = k",

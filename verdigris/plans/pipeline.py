@@ -16,7 +16,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..context import Paths, RunContext
 from ..operators import checks, metrics
-from ..operators.validate import REJECTED_KEYS, EntitySpec, ForeignKey, clean, dimension_spec, event_spec, rejected, stamp, tag, union_all
+from ..operators.validate import REJECTED_KEYS, SEEN, EntitySpec, ForeignKey, clean, dimension_spec, event_spec, rejected, stamp, tag, union_all
 from ..sources.catalog import rebuild_table
 from ..sources.files import csv_source, json_pages, page_records
 from ..sources.versioned import VersionedTable
@@ -90,15 +90,9 @@ class Lakehouse:
         found = [self._load(spec, run, {}) for spec in DIMENSIONS]
         dimensions = {spec.name: self.table("silver", spec.name).read() for spec in DIMENSIONS}
         found.append(self._load(EMPLOYEES, run, dimensions))
-        audit, records = self.table("silver", "rejected_records"), union_all(*found)
-        if audit.exists():
-            # A rejection that stays keeps its first timestamp and batch, so a rerun changes nothing.
-            known = audit.read().select(*REJECTED_KEYS, "rejection_reason", F.col("rejection_timestamp").alias("_at"), F.col("batch_id").alias("_batch"), F.col("raw_payload").alias("_raw"))
-            new = records.alias("n").join(known.alias("k"), _same((*REJECTED_KEYS, "rejection_reason")), "left")
-            old_or_new = lambda old, c: F.coalesce(F.col(f"k.{old}"), F.col(f"n.{c}")).alias(c)
-            renewed = {"rejection_timestamp": "_at", "batch_id": "_batch", "raw_payload": "_raw"}
-            records = new.select(*[old_or_new(renewed[c], c) if c in renewed else F.col(f"n.{c}") for c in records.columns])
-        audit.merge(records, list(REJECTED_KEYS), delete_unmatched=self.forget_resolved, skip_unchanged=True)
+        # A rejection that stays keeps its first timestamp and batch, so a rerun changes nothing.
+        audit = self.table("silver", "rejected_records")
+        audit.merge(union_all(*found), list(REJECTED_KEYS), delete_unmatched=self.forget_resolved, skip_unchanged=True, incidental=SEEN)
         audit.register(f"{self.prefix}silver", "rejected_records")
         for spec in (*DIMENSIONS, EMPLOYEES):
             at = self.spark._jvm.org.apache.hadoop.fs.Path(self._judged(spec, run))
@@ -143,7 +137,7 @@ class Lakehouse:
         pivot = next(iter(gold.values()))
         return {
             "row_counts": checks.row_counts(tables | {f"gold.{n}": df for n, df in gold.items()}),
-            "reconciliation": union_all(*[checks.reconcile(n, bronze[n], silver[n], audit) for n in SCHEMAS]),
+            "reconciliation": checks.reconcile_all({n: (bronze[n], silver[n]) for n in SCHEMAS}, audit),
             "rejections": checks.rejections(audit),
             "duplicates": checks.duplicates(silver[EMPLOYEES.name], ["id"]),
             "orphans": checks.orphans(silver[EMPLOYEES.name], silver, REFERENCES, ["id", "department_id", "job_id"]),
@@ -173,14 +167,7 @@ def run_gold(spark: SparkSession, paths: Paths, year: int = 2021) -> None:
     Lakehouse(spark, paths).gold(year)
 
 
-def _same(columns: Sequence[str]):
-    out = F.lit(True)
-    for c in columns:
-        out = out & F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}"))
-    return out
-
-
-def main(argv: Sequence[str] | None = None) -> None:
+def main(argv: Sequence[str] | None = None, session: SparkSession | None = None) -> None:
     import argparse
 
     from ..session import get_spark
@@ -190,11 +177,12 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--data-root")
     parser.add_argument("--lakehouse-root")
     parser.add_argument("--year", type=int, default=2021)
+    parser.add_argument("--prefix", default="", help="of the schemas' names in the catalog")
     given = parser.parse_args(argv)
     known = Paths.from_environment()
-    running = SparkSession.getActiveSession()
+    running = session or SparkSession.getActiveSession()
     spark = running or get_spark()
-    lake = Lakehouse(spark, Paths(given.data_root or known.data_root, given.lakehouse_root or known.lakehouse_root))
+    lake = Lakehouse(spark, Paths(given.data_root or known.data_root, given.lakehouse_root or known.lakehouse_root), prefix=given.prefix)
     if given.step == "run":
         print("batch", lake.run(year=given.year))
     else:

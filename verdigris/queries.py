@@ -9,10 +9,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .context import RunContext, shared_path
+from .context import Paths, RunContext, own_schema, shared_path
 from .functions.columns import batch_date, in_year, iso_timestamp, null_or_blank, payload
 from .operators import checks, metrics
-from .operators.validate import REJECTED_KEYS, ForeignKey, clean, dimension_spec, event_spec, judge, newest, probe, ranked, rejected, stamp, tag, union_all
+from .operators.validate import REJECTED_KEYS, SEEN, ForeignKey, clean, dimension_spec, event_spec, judge, newest, probe, ranked, rejected, stamp, tag, union_all
 from .plans.dirtied import dirtied
 from .plans.sqlrun import run_sql
 from .sources.catalog import rebuild_table, save_as_table
@@ -298,24 +298,29 @@ def reconcile_dims(spark, sf_dir):
     jobs = dimensions(spark, sf_dir)["jobs"].withColumn("source_file", F.lit("jobs_2021_01_01.csv"))
     tagged_jobs = tag(none, stamp(jobs, RUN, "landing_csv"))
     lost = union_all(rejected(spec, rows, RUN), rejected(none, tagged_jobs, RUN))
-    return union_all(
-        checks.reconcile("departments", bronze, clean(spec, rows), lost), checks.reconcile("jobs", jobs, clean(none, tagged_jobs), lost)
-    )
+    return checks.reconcile_all({"departments": (bronze, clean(spec, rows)), "jobs": (jobs, clean(none, tagged_jobs))}, lost)
 
 
 # Sources
 
 
+def temporary(df: DataFrame, name: str) -> str:
+    """A view of df, under a name that no other run has."""
+    view = f"verdigris_{name}_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    return view
+
+
 @query
 def table_scan(spark, sf_dir):
-    table(spark, sf_dir, "customer").createOrReplaceTempView("verdigris_customer")
-    return run_sql(spark, "-- one; comment\nSELECT c_custkey, c_name FROM verdigris_customer WHERE c_mktsegment <> ';' AND c_nationkey >= :least;", {"least": 3})
+    name = temporary(table(spark, sf_dir, "customer"), "customer")
+    return run_sql(spark, f"-- one; comment\nSELECT c_custkey, c_name FROM {name} WHERE c_mktsegment <> ';' AND c_nationkey >= :least;", {"least": 3})
 
 
 @query
 def one_row_relation(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("verdigris_orders")
-    return run_sql(spark, "SELECT (SELECT count(*) FROM verdigris_orders) AS n, (SELECT count(*) FROM verdigris_orders) + 1 AS n_plus_one")
+    name = temporary(table(spark, sf_dir, "orders"), "orders")
+    return run_sql(spark, f"SELECT (SELECT count(*) FROM {name}) AS n, (SELECT count(*) FROM {name}) + 1 AS n_plus_one")
 
 
 @query
@@ -476,6 +481,21 @@ def audit_load(spark, sf_dir):
     return checks.rejections(made.read())
 
 
+@query
+def audit_first_seen(spark, sf_dir):
+    """Rejections of one file, then a later run that sees them again and those of the other file too: what is known keeps the batch that
+    saw it first, unless its reason has become another."""
+    made, rows = new_table(spark, "seen"), tagged_facts(spark, sf_dir)
+    made.merge(rejected(FACTS, rows, RUN).where("source_file = 'orders_1998_01_01.csv'"), list(REJECTED_KEYS))
+    reason = F.col("rejection_reason")
+    later = rejected(FACTS, rows, RunContext("batch 2", datetime(1998, 2, 2))).withColumn("batch_id", F.lit("batch 2"))
+    later = later.withColumn("rejection_reason", F.when(reason == "id_is_null", "id_is_missing").otherwise(reason))
+    for _ in range(2):
+        made.merge(later, list(REJECTED_KEYS), skip_unchanged=True, incidental=SEEN)
+    counts = made.read().groupBy("source_file", "rejection_reason", "batch_id", "rejection_timestamp").agg(F.count("*").alias("n"))
+    return counts.withColumn("version", F.lit(made.version()).cast("long"))
+
+
 @query
 def table_exists(spark, sf_dir):
     made = new_table(spark, "exists")
@@ -497,19 +517,19 @@ def registered_view(spark, sf_dir):
     first, second = order_batches(spark, sf_dir)
     made = new_table(spark, "viewed")
     made.merge(first, ["o_orderkey"])
-    name = new_name("orders_view")
+    name = new_name(spark, "orders_view")
     made.register(*name.split("."))
     made.merge(second, ["o_orderkey"])
     return spark.table(name)
 
 
-def new_name(name: str) -> str:
-    """A table name that no other run has."""
-    return f"verdigris_queries.{name}_{uuid.uuid4().hex}"
+def new_name(spark: SparkSession, name: str) -> str:
+    """A table name in a schema that no other run has."""
+    return f"{own_schema(spark, 'queries')}.{name}"
 
 
 def registered_orders(spark: SparkSession, sf_dir: str) -> str:
-    name = new_name("orders")
+    name = new_name(spark, "orders")
     merged_orders(spark, sf_dir).register(*name.split("."))
     return name
 
@@ -533,7 +553,7 @@ def sql_history(spark, sf_dir):
 @query
 def saved_table(spark, sf_dir):
     """Saved twice: the second time in place of the first."""
-    nation, name = table(spark, sf_dir, "nation"), new_name("saved")
+    nation, name = table(spark, sf_dir, "nation"), new_name(spark, "saved")
     save_as_table(nation.limit(3), name, comment="three")
     return save_as_table(nation, name, comment="it's all")
 
@@ -541,8 +561,8 @@ def saved_table(spark, sf_dir):
 @query
 def gold_rebuild(spark, sf_dir):
     """The pivot as a managed table, rebuilt, and sorted again as it is read."""
-    spark.sql("CREATE SCHEMA IF NOT EXISTS verdigris_queries")
-    name = new_name("hires_by_quarter")
+    name = new_name(spark, "hires_by_quarter")
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name.split('.')[0]}")
     for year in (YEAR - 1, YEAR):
         rows = metrics.quarter_pivot(located_orders(spark, sf_dir), "o_orderdate", year, ["department", "job"])
         rebuild_table(spark, name, rows, f"Rebuilt for {year}")
@@ -660,13 +680,8 @@ def rescued_records(spark, sf_dir):
     return page_records(json_pages(spark, f"{path}/page=*/*.txt", schema, rescue=True)).select("id", "name", "rescued", "source_system")
 
 
-@query
-def hiring_load(spark, sf_dir):
-    """All layers from landed files: dimensions first, facts validated against what of them was loaded, twice. What silver and the
-    audit hold, and gold's total."""
-    from .context import Paths
-    from .plans.pipeline import Lakehouse
-
+def landed_hiring(spark: SparkSession, sf_dir: str) -> tuple[Paths, dict[str, DataFrame]]:
+    """Landed files of dimensions and facts, one page of records without any, and the dimensions' rows."""
     root = work_dir(spark, "hiring")
     paths, dims = Paths(f"{root}/data", f"{root}/lake"), dimensions(spark, sf_dir)
     dims["departments"] = dims["departments"].withColumn("department", F.when(F.col("id") % 6 != 0, F.col("department")))
@@ -674,7 +689,17 @@ def hiring_load(spark, sf_dir):
     for name, rows in {**dims, FACTS.name: facts}.items():
         rows.write.option("header", True).csv(paths.landing(name))
     spark.createDataFrame([('{"page": 1, "has_next": false, "source_system": "api", "data": []}',)], "value string").write.text(f"{root}/data/api/{FACTS.name}_page_1.json")
-    lake = Lakehouse(spark, paths, prefix=f"verdigris_{uuid.uuid4().hex}_")
+    return paths, dims
+
+
+@query
+def hiring_load(spark, sf_dir):
+    """All layers from landed files: dimensions first, facts validated against what of them was loaded, twice. What silver and the
+    audit hold, and gold's total."""
+    from .plans.pipeline import Lakehouse
+
+    paths, dims = landed_hiring(spark, sf_dir)
+    lake = Lakehouse(spark, paths, prefix=f"{own_schema(spark, 'hiring')}_")
     for at in (1, 2):
         lake.run(RunContext(f"batch {at}", datetime(1998, 2, at)), YEAR)
     lost = checks.rejections(lake.table("silver", "rejected_records").read()).select("table_name", F.col("rejection_reason").alias("what"), "n")
@@ -683,6 +708,34 @@ def hiring_load(spark, sf_dir):
     return union_all(lost, *held, gold)
 
 
+@query
+def scripted_load(spark, sf_dir):
+    """The run script over landed files, then what the validation script shows of the lakehouse it leaves: rows of every table, the
+    reconciliation, what the other checks find, and the audit's rows of the batch that the script names."""
+    import contextlib
+    import io
+
+    from .plans.pipeline import Lakehouse, main
+
+    (paths, _), prefix, said = landed_hiring(spark, sf_dir), f"{own_schema(spark, 'scripted')}_", io.StringIO()
+    with contextlib.redirect_stdout(said):
+        main(["run", "--data-root", paths.data_root, "--lakehouse-root", paths.lakehouse_root, "--year", str(YEAR), "--prefix", prefix], spark)
+    batch = said.getvalue().split("batch ")[-1].strip()
+    lake = Lakehouse(spark, paths, prefix=prefix)
+    told, none = lake.validation(YEAR), F.lit(None).cast("boolean").alias("passed")
+    row = lambda check, name, n, passed=none: (F.lit(check).alias("check"), name.alias("name"), n.alias("n"), passed)
+    empty = lambda c: told[c].agg(F.count("*").alias("k")).select(*row(c, F.lit(FACTS.name), F.col("k"), (F.col("k") == 0).alias("passed")))
+    mine = lake.table("silver", "rejected_records").read().where(F.col("batch_id") == batch).agg(F.count("*").alias("k"))
+    return union_all(
+        told["row_counts"].select(*row("row_counts", F.col("table_name"), F.col("row_count"))),
+        told["reconciliation"].select(*row("reconciliation", F.col("entity"), F.col("reconciled_total"), F.col("passed"))),
+        empty("duplicates"),
+        empty("orphans"),
+        told["gold_rollup"].select(*row("gold_rollup", F.col("department"), F.col("total_hires"))),
+        mine.select(*row("audit", F.lit("of this batch"), F.col("k"))),
+    )
+
+
 @query
 def in_memory_source(spark, sf_dir):
     rows = spark.createDataFrame([(0, "none"), (1, "one"), (2, None)], "k int, label string")

@@ -306,24 +306,34 @@ class VersionedTable:
             return self._apply(folders, entry, changed, 2 * n, "REPLACE", {"keys": keys}, read)
 
     def merge(
-        self, df: DataFrame, keys: Sequence[str], properties: dict | None = None, delete_unmatched: bool = False, skip_unchanged: bool = False, add_columns: bool = False
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        properties: dict | None = None,
+        delete_unmatched: bool = False,
+        skip_unchanged: bool = False,
+        add_columns: bool = False,
+        incidental: Sequence[str] = (),
     ) -> int | None:
         """Upsert by keys, null-safe: rows of a known key take df's values, rows of new keys come, and with
         delete_unmatched rows of other keys go. Keys must be unique in df. With skip_unchanged no version is made
-        (and None returned) if nothing changes."""
+        (and None returned) if nothing changes. A row that differs in nothing but incidental columns, such as the time of the run
+        that saw it, stays as it is, those columns included; one that differs in another takes all of df's values."""
         if not self.exists():
             return self.create(df, keys, properties, unique=True)
         entry = self.entry()
         if list(keys) != entry["keys"]:
             raise ValueError(f"{self.path} has the keys {entry['keys']}, not {list(keys)}")
         entry = self._evolved(entry, df, add_columns)
+        if unknown := set(incidental) - {f.name for f in _schema(entry).fields} or set(incidental) & set(keys):
+            raise ValueError(f"{sorted(unknown)} are keys or no columns of {self.path}")
         with self._writing() as folders:
             source, n = folders.fit(df, entry)
             self._checked(source, entry)
             self._no_repeats(source, keys)
             target, read = self._candidates(entry, source, None if delete_unmatched else n, places=True)
-            changed = _differences(target, source, keys, _schema(entry), delete_unmatched)
-            told = {"keys": list(keys), "delete_unmatched": delete_unmatched}
+            changed = _differences(target, source, keys, _schema(entry), delete_unmatched, incidental)
+            told = {"keys": list(keys), "delete_unmatched": delete_unmatched, "incidental": list(incidental)}
             return self._apply(folders, entry, changed, 2 * (entry["rows"] if delete_unmatched else 0) + 2 * n, "MERGE", told, read, skip_unchanged)
 
     def _apply(self, folders: _Folders, entry: dict, changed: DataFrame, most: int, operation: str, parameters: dict, read: dict, skip: bool = False) -> int | None:
@@ -580,8 +590,9 @@ def _dealt(rows: DataFrame, entry: dict, n: int) -> DataFrame:
     return rows.repartitionById(parts, F.least(F.floor(share), F.lit(parts - 1)).cast("int"))
 
 
-def _differences(target: DataFrame, source: DataFrame, keys: Sequence[str], schema: StructType, delete_unmatched: bool) -> DataFrame:
-    """What makes target, with places of its rows, into source by keys: changed rows with their kind and where they were."""
+def _differences(target: DataFrame, source: DataFrame, keys: Sequence[str], schema: StructType, delete_unmatched: bool, incidental: Sequence[str]) -> DataFrame:
+    """What makes target, with places of its rows, into source by keys: changed rows with their kind and where they were. Rows
+    are compared without the incidental columns."""
     columns = [f"`{f.name}`" for f in schema.fields]
     t = target.select(F.struct(*columns).alias("t"), F.col(_FILE), F.col(_ROW), *[F.col(f"`{k}`").alias(f"_t{i}") for i, k in enumerate(keys)])
     s = source.select(F.struct(*columns).alias("s"), *[F.col(f"`{k}`").alias(f"_s{i}") for i, k in enumerate(keys)])
@@ -592,7 +603,9 @@ def _differences(target: DataFrame, source: DataFrame, keys: Sequence[str], sche
     was = (F.col(_FILE), F.col(_ROW))
     kinds = F.when(F.col(_FILE).isNull(), F.array(change(_INSERT, "s", *none)))
     kinds = kinds.when(F.col("s").isNull(), F.array(change(_DELETE, "t", *was)))
-    differ = ~comparable(F.col("t"), schema).eqNullSafe(comparable(F.col("s"), schema))
+    compared = StructType([f for f in schema.fields if f.name not in incidental])
+    told = lambda side: F.struct(*[comparable(F.col(side)[f.name], f.dataType).alias(f.name) for f in compared.fields])
+    differ = ~told("t").eqNullSafe(told("s"))
     kinds = kinds.when(differ, F.array(change(_BEFORE, "t", *was), change(_AFTER, "s", *none)))
     found = pair.select(F.explode(kinds).alias("c"))
     return found.select("c.row.*", F.col("c.kind").alias(_KIND), F.col("c.file").alias(_OLD_FILE), F.col("c.at").alias(_OLD_ROW))
