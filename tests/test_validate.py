@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from verdigris.context import RunContext, clear_shared, own_schema, shared_dir
 from verdigris.functions.columns import batch_date, iso_timestamp, null_or_blank
 from verdigris.operators import checks, metrics
-from verdigris.operators.validate import SUPERSEDED, ForeignKey, clean, newest, probe, ranked, rejected, stamp, tag
+from verdigris.operators.validate import REJECTED_KEYS, SEEN, SUPERSEDED, ForeignKey, clean, newest, probe, ranked, rejected, stamp, tag
 from verdigris.plans.pipeline import DEPARTMENTS, EMPLOYEES
+from verdigris.sources.versioned import VersionedTable
 
 RUN = RunContext("b1", datetime(2021, 3, 1, 12))
 FACT = "id long, name string, datetime string, department_id long, job_id long, source_file string"
@@ -165,6 +166,18 @@ def test_equal_rejections_of_all_tasks_are_numbered_apart(spark, monkeypatch):
     assert tagged.groupBy("name", F.shiftright("_row", 10)).count().agg(F.max("count")).first()[0] <= 1024  # what one window counts
 
 
+def test_rejections_that_differ_in_which_values_are_null(spark, tmp_path):
+    at = ("2021-02-01T08:00:00Z", "f_2021_01_01.csv")
+    lost = facts(spark, (None, "Ann", at[0], None, 1, at[1]), (None, "Ann", at[0], 1, None, at[1]), (None, None, "Ann", 1, 1, at[1]), (None, "Ann", None, 1, 1, at[1]))
+    found = rejected(EMPLOYEES, tag(EMPLOYEES, lost, dims(spark)), RUN)
+    assert {r.occurrence for r in found.collect()} == {1} and found.select("record_hash").distinct().count() == 4
+    audit = VersionedTable(spark, f"file://{tmp_path}/audit")
+    for first in (found.where("rejection_reason <> 'id_is_null; job_id_is_null'"), found, found):
+        audit.merge(first, list(REJECTED_KEYS), skip_unchanged=True, incidental=SEEN)
+    assert audit.version() == 1 and audit.read().count() == 4
+    assert sorted(r.rejection_reason for r in audit.read().collect()) == sorted(r.rejection_reason for r in found.collect())
+
+
 def test_one_of_equal_valid_rows_stays(spark):
     same = (7, "Ann", "2021-02-01T08:00:00Z", 1, 1, "f_2021_01_01.csv")
     tagged = tag(EMPLOYEES, facts(spark, same, same, same), dims(spark))

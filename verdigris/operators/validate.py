@@ -207,23 +207,29 @@ def numbered(rows: DataFrame, same: Sequence[str], name: str) -> DataFrame:
     return rows.join(counts, on, "left").withColumn(name, number.cast("long")).drop(*[f"_same{i}" for i in range(len(same) + 1)], "_before", "_chunk")
 
 
+def record_hash(business: Sequence[str]) -> Column:
+    """A hash of the values and of which of them are null: xxhash64 passes over nulls, so (null, 4) alone would be (4, null)."""
+    return F.xxhash64(*business, *[F.col(c).isNull() for c in business])
+
+
 def rejected(spec: EntitySpec, tagged: DataFrame, run: RunContext) -> DataFrame:
     """Rejected records of invalid and superseded rows: the eight columns of an audit table, `record_hash`
-    of the business columns, and `occurrence`, which numbers equal rows of one file. Where rows bring the text that did not parse,
-    it is in the payload."""
+    of the business columns, and `occurrence`, which numbers rows of one file that have the same id and hash, so that REJECTED_KEYS tell
+    all rows apart, whatever their hashes. Where rows bring the text that did not parse, it is in the payload."""
     reasons = F.when(F.col("_rank") == 2, F.lit(SUPERSEDED)).otherwise(F.array_join("_reasons", "; "))
-    losing = numbered(tagged.where("_rank is null or _rank = 2"), ["source_file", *spec.business], "_occurrence")
+    losing = tagged.where("_rank is null or _rank = 2").withColumns({"_id": F.col(spec.id_column).cast("string"), "_hash": record_hash(spec.business)})
+    losing = numbered(losing, ["source_file", "_id", "_hash"], "_occurrence")
     rescued = [RESCUED] if RESCUED in tagged.columns else []
     return losing.select(
         F.lit(spec.name).alias("table_name"),
-        F.col(spec.id_column).cast("string").alias("record_id"),
+        F.col("_id").alias("record_id"),
         "source_system",
         "source_file",
         payload([*spec.business, *TECHNICAL, *rescued]).alias("raw_payload"),
         reasons.alias("rejection_reason"),
         run.timestamp().alias("rejection_timestamp"),
         "batch_id",
-        F.xxhash64(*spec.business).alias("record_hash"),
+        F.col("_hash").alias("record_hash"),
         F.col("_occurrence").alias("occurrence"),
     )
 
