@@ -178,6 +178,17 @@ def test_rejections_that_differ_in_which_values_are_null(spark, tmp_path):
     assert sorted(r.rejection_reason for r in audit.read().collect()) == sorted(r.rejection_reason for r in found.collect())
 
 
+def test_rejections_of_one_hash_are_numbered_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("verdigris.operators.validate.record_hash", lambda business: F.lit(1).cast("long"))
+    lost = facts(spark, *[(i, n, "bad", 1, 1, "f_2021_01_01.csv") for i in (None, 1) for n in ("Ann", "Bob", "Cid")])
+    found = rejected(EMPLOYEES, tag(EMPLOYEES, lost, dims(spark)), RUN)
+    assert sorted((r.record_id or "", r.occurrence) for r in found.collect()) == [("", 1), ("", 2), ("", 3), ("1", 1), ("1", 2), ("1", 3)]
+    audit = VersionedTable(spark, f"file://{tmp_path}/audit")
+    for _ in range(2):
+        audit.merge(found, list(REJECTED_KEYS), skip_unchanged=True)
+    assert checks.rejections(audit.read()).agg(F.sum("n")).first()[0] == 6 and audit.version() == 0
+
+
 def test_one_of_equal_valid_rows_stays(spark):
     same = (7, "Ann", "2021-02-01T08:00:00Z", 1, 1, "f_2021_01_01.csv")
     tagged = tag(EMPLOYEES, facts(spark, same, same, same), dims(spark))
