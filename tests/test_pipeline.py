@@ -71,6 +71,19 @@ def test_steps_and_sql_over_the_layers(spark, lake):
     assert tuple(run_sql(spark, text, {"year": 2021}).first()) == (0, 0, 3, 3)
 
 
+#: Rows without an id that differ only in which reference is missing.
+MISSING = "id,name,datetime,department_id,job_id\n,Ann,2021-01-05T00:00:00Z,,1\n,Ann,2021-01-05T00:00:00Z,1,\n"
+
+
+def test_rejections_that_differ_in_the_missing_reference_are_loaded(spark, lake, tmp_path):
+    write(tmp_path / "data/landing/hired_employees/hired_employees_2021_01_03.csv", MISSING)
+    for at in (3, 4):
+        lake.run(RunContext(f"r{at}", datetime(2021, 1, at)), 2021)
+    audit = lake.table("silver", "rejected_records")
+    found = audit.read().where("source_file = 'hired_employees_2021_01_03.csv'").select("rejection_reason", "batch_id").collect()
+    assert sorted(tuple(r) for r in found) == [("id_is_null; department_id_is_null", "r3"), ("id_is_null; job_id_is_null", "r3")] and audit.version() == 0
+
+
 def test_bad_pages_are_told(spark, lake, tmp_path):
     write(tmp_path / "data/api/hired_employees_page_3.json", "{broken")
     pages = json_pages(spark, lake.paths.api("hired_employees_page_*.json"), SCHEMAS["hired_employees"])
