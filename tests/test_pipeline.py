@@ -84,6 +84,15 @@ def test_rejections_that_differ_in_the_missing_reference_are_loaded(spark, lake,
     assert sorted(tuple(r) for r in found) == [("id_is_null; department_id_is_null", "r3"), ("id_is_null; job_id_is_null", "r3")] and audit.version() == 0
 
 
+def test_the_run_script_loads_rejections_that_differ_in_the_missing_reference(spark, lake, tmp_path, capsys):
+    from verdigris.plans import pipeline
+
+    write(tmp_path / "data/landing/hired_employees/hired_employees_2021_01_03.csv", MISSING)
+    pipeline.main(["run", "--data-root", lake.paths.data_root, "--lakehouse-root", lake.paths.lakehouse_root, "--year", "2021"], spark)
+    assert capsys.readouterr().out.startswith("batch ")
+    assert all(r.passed for r in lake.validation(2021)["reconciliation"].collect())
+
+
 def test_bad_pages_are_told(spark, lake, tmp_path):
     write(tmp_path / "data/api/hired_employees_page_3.json", "{broken")
     pages = json_pages(spark, lake.paths.api("hired_employees_page_*.json"), SCHEMAS["hired_employees"])
