@@ -132,6 +132,31 @@ def test_records_of_pages_keep_their_text(spark, tmp_path):
     assert {r.rejection_reason for r in bad_pages(pages).collect()} == {"page_is_empty", "page_is_corrupt"}
 
 
+def bytes_read(spark, df):
+    read = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = read()
+    df.write.format("noop").mode("overwrite").save()
+    return read() - before
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    n = 2000
+    data = ",\n".join(f'{{"id" : {i}, "name":{i}.5}}' for i in range(n))
+    write(tmp_path / "p_1.json", f'{{"page": 1,\n"data": [{data}]}}\n')
+    size = (tmp_path / "p_1.json").stat().st_size
+    for rescue in (True, False):
+        records = page_records(json_pages(spark, f"file://{tmp_path}/p_*.json", spark.createDataFrame([], "id int, name string").schema, rescue=rescue))
+        assert {(r.id, r.name) for r in records.collect()} == {(i, f"{i}.5") for i in range(n)}
+        assert bytes_read(spark, records) < 4 * size
+
+
+def test_text_of_records_is_kept_as_it_is(spark, tmp_path):
+    odd = '{ "id" :"x1",\r\n\t"name": "d\\u00e9j\u00e0 \u65e5", "more":[1.50, {"y":1e2}] }'
+    write(tmp_path / "p_1.json", f'\n{{"page": 1,\n"data": [{{"id":2,"name":"b"}},\n{odd}\n]}}\n\n')
+    pages = json_pages(spark, f"file://{tmp_path}/p_*.json", spark.createDataFrame([], "id int, name string").schema, rescue=True)
+    assert [(r.id, r.name, r.rescued) for r in page_records(pages).collect()] == [(2, "b", None), (None, "d\u00e9j\u00e0 \u65e5", odd)]
+
+
 def test_scripts_and_paths(spark, lake, monkeypatch, capfd):
     from verdigris.plans import pipeline
     from verdigris.session import get_spark

@@ -21,6 +21,8 @@ from .sources.versioned import VersionedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 YEAR = 1998
+#: Records of a landed JSON page at most: a larger table has more pages.
+PAGE = 5_000
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -673,7 +675,7 @@ def rescued_records(spark, sf_dir):
 
     path, k = work_dir(spark, "records"), F.col("c_custkey")
     record = F.concat(F.lit('{"id":'), F.when(k % 5 == 0, F.concat(F.lit('"x'), k, F.lit('"'))).otherwise(k.cast("string")), F.lit(',"name":"'), "c_name", F.lit('"}'))
-    pages = table(spark, sf_dir, "customer").groupBy((k % 10).alias("page")).agg(F.array_join(F.sort_array(F.collect_list(record)), ",\n").alias("data"))
+    pages = table(spark, sf_dir, "customer").groupBy(F.floor(k / PAGE).alias("page")).agg(F.array_join(F.sort_array(F.collect_list(record)), ",\n").alias("data"))
     text = F.concat(F.lit('{"page":'), "page", F.lit(',"has_next":true,"source_system":"api",\n"data":['), "data", F.lit("]}"))
     pages.select(text.alias("value"), "page").repartition("page").write.partitionBy("page").text(path)
     schema = StructType([StructField("id", IntegerType()), StructField("name", StringType())])

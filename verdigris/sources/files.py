@@ -9,6 +9,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, S
 FILE = "source_file"
 #: The text of a row or record of which something did not parse; null for the others.
 RESCUED = "rescued"
+#: Ends a JSON document: control characters that no JSON text holds, so a file is one document whatever its line breaks. A file read so is in memory
+#: when it is parsed; with multiLine, Spark opens the file anew for each value whose text it takes (some 14 KB read a record).
+END = "\x1e" * 4
 
 
 def csv_source(spark: SparkSession, glob: str, schema: StructType, rescue: bool = False) -> DataFrame:
@@ -35,14 +38,14 @@ def page_schema(record: StructType) -> StructType:
 
 def json_pages(spark: SparkSession, glob: str, record: StructType, rescue: bool = False) -> DataFrame:
     """One row per page: every file is one document, whatever its line breaks. With `rescue` records of which something doesn't fit
-    its type keep their text in a field `rescued`."""
+    its type keep their text in a field `rescued`, in UTF-8 files; records of UTF-16 files come as nulls then."""
     if rescue:
         texts = StructType([StructField(f.name, ArrayType(StringType())) if f.name == "data" else f for f in page_schema(record).fields])
-        pages = spark.read.option("multiLine", True).schema(texts).json(glob)
+        pages = spark.read.option("lineSep", END).schema(texts).json(glob)
         parsed = F.transform("data", lambda x: F.from_json(x, StructType([*record.fields]).add(RESCUED, StringType()), {"columnNameOfCorruptRecord": RESCUED}))
         pages = pages.withColumn("data", parsed)
     else:
-        pages = spark.read.option("multiLine", True).schema(page_schema(record)).json(glob)
+        pages = spark.read.option("lineSep", END).schema(page_schema(record)).json(glob)
     return pages.select("page", "has_next", "source_system", "data", F.col("_metadata.file_name").alias(FILE))
 
 
