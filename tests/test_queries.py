@@ -17,7 +17,7 @@ def test_query_agrees_with_sql(name, same_as_sql):
 ALIKE = (101 * 43, 101 * 53)
 
 
-@pytest.mark.parametrize("name", ["audit_load", "hiring_load"])
+@pytest.mark.parametrize("name", ["audit_load", "hiring_load", "scripted_load"])
 def test_load_of_facts_that_differ_in_the_missing_reference(name, spark, sf, tmp_path):
     import duckdb
 
